@@ -49,3 +49,18 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Shared:
+    """A broadcast value, and what each Python worker makes of it once."""
+
+    made: dict = {}
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def once(self, make):
+        if self.key not in Shared.made:
+            Shared.made.clear()
+            Shared.made[self.key] = make(self.held.value)
+        return Shared.made[self.key]

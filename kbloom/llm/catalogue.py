@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from kbloom.llm.bpe import op5_bpe
+from kbloom.llm.decontaminate import op8_decontaminate
+from kbloom.llm.simhash_dedup import op2_simhash_dedup
 from kbloom.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op5_bpe": op5_bpe,
+    "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
