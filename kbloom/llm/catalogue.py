@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from kbloom.llm.bpe import op5_bpe
 from kbloom.llm.decontaminate import op8_decontaminate
+from kbloom.llm.language_id import op1_language_id
+from kbloom.llm.quality_rules import op4_quality_rules
+from kbloom.llm.sharding import OP7_SQL, op7_sharding
 from kbloom.llm.simhash_dedup import op2_simhash_dedup
 from kbloom.llm.substring_dedup import op9_substring_dedup
+from kbloom.llm.url_filters import op3_url_filters
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_url_filters": op3_url_filters,
+    "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
+    "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_sharding": OP7_SQL,
+}
