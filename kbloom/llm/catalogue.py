@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from kbloom.llm.bpe import op5_bpe
 from kbloom.llm.decontaminate import op8_decontaminate
+from kbloom.llm.html_extract import op6_html_extract
 from kbloom.llm.language_id import op1_language_id
+from kbloom.llm.licenses import op10_license_scan
 from kbloom.llm.quality_rules import op4_quality_rules
 from kbloom.llm.sharding import OP7_SQL, op7_sharding
 from kbloom.llm.simhash_dedup import op2_simhash_dedup
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
+    "op6_html_extract": op6_html_extract,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
