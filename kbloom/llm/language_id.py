@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 SWITCH_PENALTY = 8.0
 #: A language uses a script if so large a share of its words is in it.
 SCRIPT_SHARE = 0.001
-#: Score of a word in a language that doesn't use its script.
+#: A word's score, against its likeliest language, in one that doesn't use its script.
 NOT_A_CANDIDATE = -60.0
 MOST_LANGUAGES = 512
 #: Text decoded in one run of Viterbi steps.
@@ -156,9 +156,12 @@ def _scores(model: Model, chars, starts, ends, script) -> np.ndarray:
     uses = model.uses[script]
     narrowed = uses.any(1)
     out[~narrowed] = 0
-    out[narrowed[:, None] & ~uses] = NOT_A_CANDIDATE
+    others = narrowed[:, None] & ~uses
+    out[others] = -np.inf
     # only differences between the languages matter
-    return out - out.max(1, keepdims=True) if len(starts) else out
+    out -= out.max(1, keepdims=True, initial=-np.inf)
+    out[others] = NOT_A_CANDIDATE
+    return out
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -234,7 +237,7 @@ def _label(shared: Shared, penalty: float, spans: bool):
                         new = np.ones(len(path), bool)
                         new[1:] = (path[1:] != path[:-1]) | (row[1:] != row[:-1])
                         i = np.flatnonzero(new)
-                        j = np.append(i[1:], len(path)) - 1
+                        j = np.append(i[1:], len(path))[: len(i)] - 1
                         runs = [[] for _ in range(hi - lo)]
                         for r, s, e, k in zip(row[i].tolist(), (starts[i] - at[row[i]]).tolist(), (ends[j] - at[row[i]]).tolist(), path[i].tolist(), strict=True):
                             runs[r].append({"start": s, "stop": e, "lang": model.langs[k]})
