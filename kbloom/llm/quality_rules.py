@@ -129,10 +129,11 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _thresholds(labelled: DataFrame, levels: int) -> dict[str, list[float]]:
-    """Values to cut each feature at: quantiles of both classes."""
+    """Values to cut each feature at: quantiles of both classes, and midpoints."""
     at = F.array(*[F.lit(k / (levels + 1)) for k in range(1, levels + 1)])
     rows = labelled.groupBy("bad").agg(*[F.percentile_approx(F.col(f).cast("double"), at, F.lit(10_000)).alias(f) for f in FEATURES]).collect()
-    return {f: sorted({v for r in rows for v in r[f] or []}) for f in FEATURES}
+    cuts = {f: sorted({v for r in rows for v in r[f] or []}) for f in FEATURES}
+    return {f: sorted({*c, *((a + b) / 2 for a, b in zip(c, c[1:], strict=False))}) for f, c in cuts.items()}
 
 
 def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> list[list[Literal]]:
