@@ -47,7 +47,7 @@ def words(text: Column) -> Column:
 
 def sentences(squashed: Column) -> Column:
     """Sentences of three tokens or more of a squashed text."""
-    parts = F.transform(F.split(squashed, r"(?<=[.!?])\s+(?=[A-Z\"“(])"), F.trim)
+    parts = F.transform(F.split(squashed, r"(?<=[.!?])\s+(?=[A-Z\"“(])"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.size(F.split(s, " ")) >= 3)
 
 
@@ -154,7 +154,7 @@ def role_from_title(title: Column) -> Column:
 
 def name_from_title(title: Column) -> Column:
     """The shortest part of a page title, the first of equals, up to 60 long."""
-    parts = F.filter(F.transform(F.split(title, r"\s*[|\-–—·»]\s*"), F.trim), lambda s: F.length(s) > 1)
+    parts = F.filter(F.transform(F.split(title, r"\s*[|\-–—·»]\s*"), lambda s: F.trim(s)), lambda s: F.length(s) > 1)
     first = F.array_min(F.transform(parts, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), s.alias("s"))))
     return F.when(first["n"] <= 60, first["s"])
 
@@ -219,3 +219,66 @@ GAP_WORDS = "and or the for of in a an to with services service solutions soluti
 def significant(name: Column) -> Column:
     """The first three telling words of an offering's name."""
     return F.slice(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: (F.length(w) > 3) & ~w.isin(GAP_WORDS)), 1, 3)
+
+
+# Promises, (kind, pattern), one match of each.
+GUARANTEES = [
+    ("licensing", r"\b(?:fully\s+)?licensed(?:,)?\s*(?:and\s+)?(?:bonded)?(?:,)?\s*(?:and\s+)?insured\b"),
+    ("satisfaction", r"\b(?:100%\s*)?satisfaction guarantee(?:d)?\b"),
+    ("satisfaction", r"\bmoney[\- ]back guarantee\b"),
+    ("warranty", r"\b([0-9]+)[\- ]year (?:warranty|guarantee)\b"),
+    ("warranty", r"\blifetime (?:warranty|guarantee)\b"),
+    ("insurance", r"\bfully insured\b"),
+    ("bonding", r"\bbonded\b"),
+]
+# Credentials, (name, kind, pattern).
+CREDENTIALS = [
+    ("Certified Public Accountant (CPA)", "certification", r"\bCPA\b|\bCertified Public Accountant\b"),
+    ("AICPA", "membership", r"\bAICPA\b|American Institute of (Certified Public Accountants|CPAs)"),
+    ("QuickBooks Certified ProAdvisor", "certification", r"(?i)QuickBooks\s+(Certified\s+)?ProAdvisor"),
+    ("National Ground Water Association (NGWA)", "membership", r"(?i)\bNGWA\b|National Ground ?Water Association"),
+    ("Better Business Bureau", "accreditation", r"(?i)\bBBB\b|Better Business Bureau"),
+    ("LEED", "certification", r"(?i)\bLEED\b\s*(certified|accredited)?"),
+    ("NATE Certified", "certification", r"(?i)\bNATE[\- ]certified\b"),
+    ("ASE Certified", "certification", r"(?i)\bASE[\- ]certified\b"),
+    ("EPA Certified", "certification", r"(?i)\bEPA[\- ]certified\b"),
+    ("National Association of Realtors", "membership", r"(?i)\bRealtor®|\bNAR\b|National Association of Realtors"),
+    ("Multiple Listing Service", "membership", r"\bMLS\b"),
+    ("Chamber of Commerce", "membership", r"(?i)Chamber of Commerce"),
+]
+SEASONAL = (
+    r"\b((?:spring|summer|fall|autumn|winter|holiday|christmas|black friday|new year|memorial day|labor day|back[\- ]to[\- ]school)\b"
+    r"[^.!?]{0,60}(?:special|savings|sale|offer|promotion|discount|deal|event))"
+)
+SERVING = r"\b(?:[Pp]roudly\s+)?[Ss]erv(?:ing|es)\s+([A-Z][A-Za-z.'\-]*(?:\s+[A-Z][A-Za-z.'\-]*){0,3}(?:\s*,\s*(?:and\s+)?(?:the\s+)?[A-Z][A-Za-z.'\-]*(?:\s+[A-Z][A-Za-z.'\-]*){0,3}){0,15})"
+NOT_A_PLACE = (
+    r"\b(customer|client|business|home|owner|need|since|year|community|team|company|service|quality|water|well|call|contact|free|estimate|and more|others|pumping|drilling|"
+    r"plumbing|roofing|hvac|electric(?:al)?|landscaping|cleaning|repair|inspections?|monitoring|realty|group|associates|insurance|agency|solutions)\b"
+)
+AUDIENCE = (
+    r"^(smbs?|smes?|clients?|customers?|businesses|companies|brands?|agencies|dealers?|contractors?|homeowners?|families|professionals?|realtors?|investors?|"
+    r"patients?|students?)$"
+)
+
+
+def guarantees(text: Column) -> Column:
+    """Promises as structs (kind, text): the first of each kind of wording."""
+    each = [F.struct(F.lit(kind).alias("kind"), squash(F.regexp_extract(text, "(?i)" + words_bounded(p), 0)).alias("text")) for kind, p in GUARANTEES]
+    some = F.filter(F.array(*each), lambda x: x["text"] != "")
+    bonded = F.exists(some, lambda x: (x["kind"] != "bonding") & F.contains(F.lower(x["text"]), F.lit("bonded")))
+    return F.filter(some, lambda x: ~((x["kind"] == "bonding") & bonded))
+
+
+def credentials(text: Column) -> Column:
+    """Named credentials as structs (name, kind)."""
+    each = [F.when(text.rlike(words_bounded(p)), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))) for name, kind, p in CREDENTIALS]
+    return F.array_compact(F.array(*each))
+
+
+def service_areas(text: Column) -> Column:
+    """Places that a text says are served, each once, in order."""
+    lists = F.regexp_extract_all(text, F.lit(words_bounded(SERVING)), F.lit(1))
+    parts = F.flatten(F.transform(lists, lambda x: F.split(squash(x), words_bounded(r"\s*(?:,|;|·|\||\band\b|&)\s*"))))
+    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "^(?i)the +", ""), r"[.!?]+$", "")))
+    good = F.filter(clean, lambda x: F.length(x).between(3, 60) & x.rlike("^[A-Z]") & ~has(x, NOT_A_PLACE) & ~F.lower(x).rlike(AUDIENCE) & (F.size(F.split(x, " ")) <= 5))
+    return F.array_distinct(good)

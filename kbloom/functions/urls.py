@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,10 +194,6 @@ def blocked_host(host: Column) -> Column:
 
 def blocked_v6(host: Column) -> Column:
     """IPv6 literals that are not public, IPv4-mapped and NAT64 forms unwrapped."""
-    import ipaddress
-
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def judge(hosts: pd.Series) -> pd.Series:
         def one(text):

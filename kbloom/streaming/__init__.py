@@ -1 +1 @@
-
+"""Streams of crawl events."""
