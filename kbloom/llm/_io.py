@@ -20,10 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Text that one Arrow batch to a Python worker holds at most, about.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session bounds them lower.
+
+    Batches of 10,000 rows are as large as their texts; the buffers on both
+    sides of the pipe grow with them.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Parquet tables of one operator call, in a folder of its own."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        small_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +73,7 @@ class Shared:
     made: dict = {}
 
     def __init__(self, spark: SparkSession, value):
+        small_batches(spark)
         self.key, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
 
     def once(self, make):
