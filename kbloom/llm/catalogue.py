@@ -7,6 +7,7 @@ from kbloom.llm.decontaminate import op8_decontaminate
 from kbloom.llm.html_extract import op6_html_extract
 from kbloom.llm.language_id import op1_language_id
 from kbloom.llm.licenses import op10_license_scan
+from kbloom.llm.oracles import OP3_SQL, OP8_SQL, OP9_SQL
 from kbloom.llm.quality_rules import op4_quality_rules
 from kbloom.llm.sharding import OP7_SQL, op7_sharding
 from kbloom.llm.simhash_dedup import op2_simhash_dedup
@@ -27,5 +28,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
     "op7_sharding": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
