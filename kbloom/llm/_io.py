@@ -81,3 +81,18 @@ class Shared:
             Shared.made.clear()
             Shared.made[self.key] = make(self.held.value)
         return Shared.made[self.key]
+
+
+def shielded(docs: DataFrame, *reserved: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of reserved names renamed, and their old names."""
+    old = {}
+    taken = {c.lower() for c in docs.columns}
+    for name in docs.columns:
+        if name.lower() in reserved:
+            new = f"_kept_{name}"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            old[new] = name
+            docs = docs.withColumnRenamed(name, new)
+    return docs, old

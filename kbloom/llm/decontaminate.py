@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kbloom.llm import _text
-from kbloom.llm._io import Scratch, Shared, table
+from kbloom.llm._io import Scratch, Shared, shielded, table
 
 WINDOW_WORDS = 10
 #: Text of a benchmark block that is broadcast at once.
@@ -230,9 +230,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     hit words and what stands between them are cut from the text and the
     document stays, with an empty text if nothing is left.
     """
+    names = docs.columns
+    docs, old = shielded(docs, "_spans", "_items", "_id", "_text", "_s", "_i")
     hits = find_hits(spark, docs, benchmark, width)
     if drop_documents:
-        return hits.where("size(_spans) = 0").select(*docs.columns)
+        return hits.where("size(_spans) = 0").drop("_spans", "_items").withColumnsRenamed(old).select(*names)
     fields = {f.name: f for f in docs.schema.fields}
     others = [c for c in docs.columns if c != "text"]
-    return hits.select("_spans", "text", *others).mapInArrow(_cut, StructType([fields["text"], *(fields[c] for c in others)])).select(*docs.columns)
+    return hits.select("_spans", "text", *others).mapInArrow(_cut, StructType([fields["text"], *(fields[c] for c in others)])).withColumnsRenamed(old).select(*names)

@@ -128,5 +128,5 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS)
 
     Rows that repeat that doc_id, and rows without a doc_id, stay.
     """
-    gone = classes(spark, docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs.doc_id == F.col("_gone"), "left_anti")
+    gone = classes(spark, docs.select("doc_id", "text"), width).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

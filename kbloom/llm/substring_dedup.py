@@ -26,16 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbloom.llm import _text
-from kbloom.llm._io import Scratch, table
+from kbloom.llm._io import Scratch, shielded, table
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 12
-#: A block's start is held shifted by this many bits above its window count.
+#: A block's window count, its start and its text's tag share one number.
 SHIFT = 16
+TAG_SHIFT = 32
 #: Blocks of periodic text are cut after so many windows.
 LONGEST_BLOCK = 4096
 
@@ -43,6 +45,16 @@ _BLOCKS = "doc_id long, loc long, anchor long, block long"
 _WINDOWS = "doc_id long, start long, anchor long, win long"
 
 
+def _tag(text: bytes) -> int:
+    """Fifteen bits of a text's hash, which tell rows of one doc_id apart."""
+    return xxhash.xxh32_intdigest(text) & 0x7FFF
+
+
+def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    raw = data.tobytes()
+    return np.array([_tag(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+
+
 def _blocks(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +80,7 @@ def _blocks(window: int, k: int):
                 length = np.diff(np.append(begin, len(i)))
                 block = _text.range_hashes(words, _text.SECOND_BASE)(i[begin], i[begin] + length + window - 1)
                 own = doc[begin]
-                loc = ((i[begin] - first[own]) << SHIFT) | length
+                loc = (_tags(data, offsets)[own] << (SHIFT + TAG_SHIFT)) | ((i[begin] - first[own]) << SHIFT) | length
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own]), pa.array(loc), pa.array(least[begin].view(np.int64)), pa.array(block.view(np.int64))], ["doc_id", "loc", "anchor", "block"])
 
     return run
@@ -88,19 +100,23 @@ def _windows(window: int):
                 flat = part.flatten()
                 loc, anchor = np.asarray(flat.field(0)), np.asarray(flat.field(1))
                 own = np.repeat(np.arange(hi - lo), each)
+                tags = _tags(data, offsets)
+                mine = tags[own] == loc >> (SHIFT + TAG_SHIFT)
+                loc, anchor, own = loc[mine], anchor[mine], own[mine]
                 n = loc & ((1 << SHIFT) - 1)
                 back = np.repeat(np.arange(len(n)), n)
-                start = (loc >> SHIFT)[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
+                start = ((loc >> SHIFT) & ((1 << TAG_SHIFT) - 1))[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
                 there = start + first[own[back]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own[back]]), pa.array(start), pa.array(anchor[back]), pa.array(hashed(there, there + window).view(np.int64))], ["doc_id", "start", "anchor", "win"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own[back]]), pa.array((tags[own[back]] << TAG_SHIFT) | start), pa.array(anchor[back]), pa.array(hashed(there, there + window).view(np.int64))], ["doc_id", "start", "anchor", "win"])
 
     return run
 
 
 def duplicate_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
-    """(doc_id, start, stop): word ranges covered by windows of smaller documents.
+    """(doc_id, tag, start, stop): word ranges covered by smaller documents' windows.
 
-    ``docs`` holds doc_id and text.  Ranges of one document may touch or overlap.
+    ``docs`` holds doc_id and text.  Ranges of one document may touch or overlap;
+    the tag says which of its texts they are of, should a doc_id have several.
     """
     blocks = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_blocks(window, k), _BLOCKS)
     found = scratch.save(
@@ -116,30 +132,35 @@ def duplicate_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW_WORD
         "copied",
     )
     held = scratch.save(near.join(copied, ["anchor", "block"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).select("doc_id", "loc", "anchor", "varied", "copy"), "held")
-    start, length = F.shiftright("loc", SHIFT), F.col("loc").bitwiseAND((1 << SHIFT) - 1)
-    factors = held.where("copy").select("doc_id", start.alias("start"), (start + length + window - 1).alias("stop"))
+    place, length = F.shiftright("loc", SHIFT), F.col("loc").bitwiseAND((1 << SHIFT) - 1)
+    tagged = lambda at: (F.shiftright(at, TAG_SHIFT).alias("tag"), at.bitwiseAND((1 << TAG_SHIFT) - 1))
+    tag, start = tagged(place)
+    factors = held.where("copy").select("doc_id", tag, start.alias("start"), (start + length + window - 1).alias("stop"))
     asked = held.where("varied and not copy").groupBy("doc_id").agg(F.collect_list(F.struct("loc", "anchor")).alias("asked"))
     windows = scratch.save(docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(window), _WINDOWS), "windows")
     shared = scratch.save(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "win", "lo"), "shared")
-    edges = windows.join(shared, ["anchor", "win"]).where("doc_id > lo").select("doc_id", "start", (F.col("start") + window).alias("stop"))
+    edges = windows.join(shared, ["anchor", "win"]).where("doc_id > lo")
+    tag, start = tagged(F.col("start"))
+    edges = edges.select("doc_id", tag, start.alias("start"), (start + window).alias("stop"))
     return factors.unionByName(edges)
 
 
 def _with_spans(docs: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """Documents with the list of their duplicate word ranges, null if none."""
     spans = duplicate_spans(docs, scratch, window)
-    listed = scratch.save(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")), "spans")
+    listed = scratch.save(spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("_spans")), "spans")
     for name in ("anchors", "near", "copied", "held", "windows", "shared"):
         scratch.drop(name)
     return docs.join(listed, "doc_id", "left").select(*docs.columns, "_spans")
 
 
-def _gone(n: int, spans) -> np.ndarray:
-    """Which of n words the ranges cover."""
-    edge = np.zeros(n + 1, np.int64)
+def _gone(n: int, spans, text: bytes) -> np.ndarray:
+    """Which of a text's n words its ranges cover."""
+    edge, tag = np.zeros(n + 1, np.int64), _tag(text)
     for s in spans or ():
-        edge[s["start"]] += 1
-        edge[min(s["stop"], n)] -= 1
+        if s["tag"] == tag and s["stop"] <= n:
+            edge[s["start"]] += 1
+            edge[s["stop"]] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -148,10 +169,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, spans = batch.column(0), batch.column(1), batch.column(2)
         n_words, n_removed, kept = [], [], []
         for i in range(len(ids)):
-            words = (texts[i].as_py() or "").encode().split()
-            gone = np.zeros(0, bool)
+            raw = (texts[i].as_py() or "").encode()
+            words = raw.split()
             if spans[i].is_valid:
-                gone = _gone(len(words), spans[i].as_py())
+                gone = _gone(len(words), spans[i].as_py(), raw)
                 held = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             else:
                 held = words
@@ -179,10 +200,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             data = np.frombuffer(text.encode(), np.uint8)
             starts, ends, _ = _text.split_words(data, np.array([0, len(data)]), _text.SPACE_WORDS)
-            gone = _gone(len(starts), spans)
+            gone = _gone(len(starts), spans, data.tobytes())
             # each removed word goes with the white space that follows it
             to = np.append(starts[1:], len(data))
-            keep = np.ones(len(data) + 1, np.int64)
             edge = np.zeros(len(data) + 1, np.int64)
             np.add.at(edge, starts[gone], 1)
             np.add.at(edge, to[gone], -1)
@@ -197,14 +217,16 @@ def remove_duplicates(spark: SparkSession, docs: DataFrame, window: int = WINDOW
     A word goes if a window of ``window`` words that covers it also starts in a
     document with a smaller doc_id.  Null and empty texts, and rows without a
     doc_id, stay as they are; documents that lose all their words stay with an
-    empty text.  Rows that repeat a doc_id are treated as one document's parts:
-    none of them is a smaller document of the other.  Other columns, whatever
-    their names, pass through.
+    empty text.  Rows that repeat a doc_id are judged text by text, and none is a
+    smaller document of the other.  Other columns, whatever their names, pass
+    through.
     """
+    names = docs.columns
+    docs, old = shielded(docs, "_spans")
     held = _with_spans(docs, Scratch(spark, "substring"), window)
     others = [c for c in docs.columns if c != "text"]
     fields = {f.name: f for f in docs.schema.fields}
     from pyspark.sql.types import StructType
 
     out = held.select("text", "_spans", *others).mapInArrow(_cut, StructType([fields["text"], *(fields[c] for c in others)]))
-    return out.select(*docs.columns)
+    return out.withColumnsRenamed(old).select(*names)
