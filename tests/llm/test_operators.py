@@ -147,6 +147,15 @@ def test_lines_of_malformed_pages():
     assert html_extract.lines(page) == [("m", gone), ("T", article), ("x", article), ("c", gone), ("y", article), ("f", gone)]
 
 
+def test_markup_that_speaks_for_itself():
+    text = lambda page: html_extract.main_text(html_extract.lines(page), None)
+    assert text('<main><p>teaser</p><article class="post"><div class="post-header"><h1>T</h1></div><p>A</p><div class="notice">n</div></article></main>') == "T\nA"
+    assert text('<div role="main"><p>A<form>f</form><p>B</div><p>outside') == "A\nB"
+    assert text("<p>A<button>b<p>B &lt;i&gt; &eacute;&nbsp;x") == "A b\nB <i> é x"
+    assert text("<p>A<style>b<p>B") == "A"
+    assert text('<article><p>A</article><article class="comment"><p>c</article>') == "A"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     def length(a, b):
         row = [0] * (len(b) + 1)
