@@ -65,7 +65,7 @@ def fetch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COPY = [
     "We are fully licensed, bonded and insured. 100% Satisfaction Guaranteed!", "Every pump has a 5-year warranty. Bonded crews. CPA on staff, BBB member.", "Our lifetime guarantee is your money-back guarantee; NGWA and LEED certified.",
-    "Summer pump special! Proudly serving Austin, Round Rock, and the Hill Country.", "Back to school savings event now. We serve Customers, Dallas & Waco.", "Serving Bee Cave and Marfa since 1990. Winter deal? Chamber of Commerce, EPA-certified.", "Nothing to see here.",
+    "Summer pump special! Proudly serving Austin, Round Rock, and the Hill Country.", "Back to school savings event now. We serve Customers, Dallas & Waco.", "Serving Marble Falls and Marfa since 1990. Winter deal? Chamber of Commerce, EPA-certified.", "Nothing to see here.",
 ]
 
 
@@ -96,7 +96,7 @@ def seasonal_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy(spark, sf_dir).select("s_suppkey", F.explode(T.found(F.col("text"), T.SEASONAL, 1)).alias("label"))
 
 
-_PLACES = {3: ["Austin", "Round Rock", "Hill Country"], 4: ["Dallas"], 5: ["Bee Cave"]}
+_PLACES = {3: ["Austin", "Round Rock", "Hill Country"], 4: ["Dallas"], 5: ["Marble Falls"]}
 
 
 @query("SELECT s_suppkey, unnest(CASE s_suppkey % 7 " + " ".join(f"WHEN {k} THEN {_ARRAY(v)}" for k, v in _PLACES.items()) + " END) AS area FROM supplier")
@@ -225,8 +225,8 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("site")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_type")), 1, 30), "|").alias("categories"))
 
 
-@query(r"""WITH a AS (SELECT s_suppkey, s_suppkey || ' Oak St, Bee Cave, TX 787' || lpad((s_suppkey % 100)::VARCHAR, 2, '0') AS f FROM supplier)
-SELECT s_suppkey, s_suppkey || ' Oak St' AS street, 'Bee Cave' AS city, 'TX' AS region, '787' || lpad((s_suppkey % 100)::VARCHAR, 2, '0') AS postal_code FROM a""")
+@query(r"""WITH a AS (SELECT s_suppkey, s_suppkey || ' Oak St, Marble Falls, TX 787' || lpad((s_suppkey % 100)::VARCHAR, 2, '0') AS f FROM supplier)
+SELECT s_suppkey, s_suppkey || ' Oak St' AS street, 'Marble Falls' AS city, 'TX' AS region, '787' || lpad((s_suppkey % 100)::VARCHAR, 2, '0') AS postal_code FROM a""")
 def us_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.format_string("%d Oak St, Bee Cave, TX 787%02d", F.col("s_suppkey"), F.col("s_suppkey") % 100)
+    line = F.format_string("%d Oak St, Marble Falls, TX 787%02d", F.col("s_suppkey"), F.col("s_suppkey") % 100)
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.us_address(line).alias("a")).select("s_suppkey", "a.street", "a.city", "a.region", "a.postal_code")
