@@ -60,3 +60,18 @@ def failure(warnings: DataFrame, run: str, seq: str, ranked: list[str]) -> DataF
     """Per run the warning of the lowest rank, or else the first one."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ranked)), F.col("code")), F.lit(0)), F.lit(99)).cast("int")
     return warnings.withColumn("rank", rank).groupBy(run).agg(F.min_by("code", F.struct("rank", seq)).alias("code"), F.min("rank").alias("rank"))
+
+
+# Roles worth a fetch before anything unclassified.
+HIGH_VALUE = ["home", "about", "services", "contact", "products", "team", "testimonials", "pricing", "faq"]
+
+
+def finish(found: DataFrame, seen: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """What a crawl under budget leaves behind: pages found and high-value ones.
+
+    Takes what ``frontier`` takes; sites within budget have no row.
+    """
+    first = found.groupBy("site", "url").agg(F.min_by("anchor", F.struct("page_id", "pos")).alias("anchor"))
+    left = first.join(seen.select("site", "url").distinct(), ["site", "url"], "left_anti")
+    role = urls.classify(F.col("url"), F.col("anchor"))["role"]
+    return left.groupBy("site").agg(F.count(F.lit(1)).alias("found"), F.count_if(role.isin(HIGH_VALUE)).alias("high_value")).where(F.col("found") > budget).withColumn("left_over", F.col("found") - budget)

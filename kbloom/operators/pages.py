@@ -88,3 +88,56 @@ def color_counts(css: Column) -> Column:
     whole = F.filter(F.regexp_extract_all(F.lower(css), F.lit(rgb), F.lit(0)), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, rgb, 4), F.lit("")).try_cast("double"), F.lit(1.0)) >= 0.25)
     channel = lambda x, k: F.lpad(F.lower(F.hex(F.least(F.regexp_extract(x, rgb, k).cast("int"), F.lit(255)))), 2, "0")
     return F.transform(F.concat(hexes, F.transform(whole, lambda x: F.concat(channel(x, 1), channel(x, 2), channel(x, 3)))), lambda x: F.concat(F.lit("#"), x))
+
+
+# Marks of review widgets whose quotes load in the browser.
+REVIEW_WIDGETS = [
+    (r"birdeye\.com|birdeye_|bdreview", "Birdeye"),
+    (r"trustpilot\.com/(bootstrap|widget)|tp-widget", "Trustpilot"),
+    (r"yotpo\.com|yotpo-widget", "Yotpo"),
+    (r"podium\.com|podium-widget", "Podium"),
+    (r"nicejob\.co|nicejob-", "NiceJob"),
+    (r"grade\.us|reviewsonmywebsite", "Grade.us"),
+    (r"elfsight\.com.*google-reviews|elfsight-app", "Elfsight"),
+    (r"reviews\.io|reviewsio", "Reviews.io"),
+    (r"shopperapproved\.com", "Shopper Approved"),
+]
+
+
+def review_widgets(html: Column) -> Column:
+    """Names of the review widgets in a page's source."""
+    return F.array_compact(F.array(*[F.when(F.lower(html).rlike(pattern), name) for pattern, name in REVIEW_WIDGETS]))
+
+
+# Types that name no trade.
+GENERIC_TYPES = ["Organization", "Corporation", "LocalBusiness", "ProfessionalService", "Service", "Store", "Thing"]
+
+
+def industry_from_type(kind: Column) -> Column:
+    """A structured-data type as words; null for a generic one."""
+    words = F.regexp_replace(F.regexp_replace(kind, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(words, r"(?<![A-Za-z0-9_])Business(?![A-Za-z0-9_])", ""), r"\s+", " "))
+    return F.when(~kind.isin(GENERIC_TYPES) & (F.length(plain) >= 3), plain)
+
+
+def google_fonts(href: Column) -> Column:
+    """Families that a font link asks for."""
+    return F.filter(F.transform(F.regexp_extract_all(href, F.lit("family=([^&:]+)"), F.lit(1)), lambda x: F.trim(F.try_url_decode(x))), lambda x: x != "")
+
+
+COPYRIGHT = r"(?i)(?:©|\(c\)|copyright)([^|\n]{3,120})"
+COPYRIGHT_NOISE = r"(?i)(?<![A-Za-z0-9_])all\s+rights\s+reserved.*$|copyright|©|\(c\)|(?:18|19|20)[0-9]{2}(?:\s*[\-–—]\s*(?:18|19|20)[0-9]{2})?"
+FOOTER_TAIL = r"(?i)(?<![A-Za-z0-9_])(privacy|terms|cookie\s+policy|sitemap|accessibility|disclaimer|web(?:site)?\s+(?:design|by)|designed?\s+by|powered\s+by|built\s+by).*$"
+ENTITY = r"(?:^|[\s,])(LLC|L\.L\.C\.|Inc\.?|Incorporated|Ltd\.?|Corp\.?|Corporation|LLP|PLLC|P\.C\.|PA)$"
+
+
+def legal_name(footer: Column) -> Column:
+    """The registered name of a copyright line; null if it is no name."""
+    line = F.regexp_extract(footer, COPYRIGHT, 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, COPYRIGHT_NOISE, " "), FOOTER_TAIL, " "), r"\s+", " ")
+    name = F.regexp_replace(bare, r"^[\s,.|·©\-]+|[\s,.|·©\-]+$", "")
+    return F.when(F.length(name).between(4, 70) & name.rlike("^[A-Z]") & name.rlike("[a-z]"), name)
+
+
+def legal_entity(name: Column) -> Column:
+    return F.nullif(F.regexp_replace(F.regexp_extract(name, ENTITY, 1), r"\.$", ""), F.lit(""))

@@ -43,3 +43,17 @@ def questions(filled: DataFrame, most: int = fields.MOST_QUESTIONS) -> DataFrame
     )
     chosen = asked.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("first"))).where(F.col("k") <= most)
     return chosen.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("priority"), "first"))).select("site", "id", "fills", "priority", "rank")
+
+
+def attention(fields_: DataFrame, conflicts: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Fields to review in order: contested ones first, then by impact.
+
+    ``fields_(site, path, place, impact, method, note, value, confidence)``;
+    ``conflicts(site, path)`` are open; ``reviewed(site, path)`` are done.  A
+    field is safe to accept unless it is contested or a model's.
+    """
+    open_ = conflicts.select("site", "path").distinct().withColumn("contested", F.lit(True))
+    asked = fields_.where(fields.needs_review(F.col("method"), F.col("note"), F.col("value"), F.col("confidence"))).join(reviewed.select("site", "path"), ["site", "path"], "left_anti")
+    each = asked.join(open_, ["site", "path"], "left").withColumn("contested", F.coalesce("contested", F.lit(False)))
+    order = Window.partitionBy("site").orderBy(F.desc("contested"), F.desc("impact"), "place")
+    return each.select("site", "path", "contested", (~F.col("contested") & ~F.col("method").isin("ai-live", "ai-mock")).alias("safe"), F.row_number().over(order).alias("rank"))
