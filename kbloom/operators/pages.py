@@ -14,8 +14,11 @@ from kbloom.functions.dialect import let
 def excerpts(docs: DataFrame, site: str, order: str, budget: int) -> DataFrame:
     """Rows within a site's running budget; ``take`` is how much of each fits.
 
-    ``docs`` has n, the characters a row asks for; rows are served in order.
+    ``docs`` has n, the characters a row asks for; rows are served in order.  A
+    row asks for one at least, so no more rows than the budget can be served and
+    the rest of a large site is left out before the running sum.
     """
+    docs = docs.withColumn("used", F.row_number().over(Window.partitionBy(site).orderBy(order))).where(F.col("used") <= budget).drop("used")
     before = Window.partitionBy(site).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum("n").over(before), F.lit(0))
     return docs.withColumn("used", used).where(F.col("used") < budget).withColumn("take", F.least(F.col("n"), F.lit(budget) - F.col("used")).cast("int"))

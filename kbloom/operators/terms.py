@@ -22,7 +22,7 @@ def statistics(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(site, term, tf, df, spread) over a site's documents."""
     size = docs.groupBy("site").agg(F.count(F.lit(1)).alias("docs"))
     each = found.groupBy("site", "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"), F.min(F.struct("doc", "pos")).alias("first"))
-    return each.join(F.broadcast(size), "site").withColumn("spread", F.col("df") / F.greatest(F.col("docs"), F.lit(1)))
+    return each.join(size, "site").withColumn("spread", F.col("df") / F.greatest(F.col("docs"), F.lit(1)))
 
 
 def top_terms(found: DataFrame, most: int = 15, least: int = 3) -> DataFrame:

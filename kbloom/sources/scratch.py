@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one in local mode only."""
     held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        held = f"file://{tempfile.mkdtemp(prefix='kbloom-')}"
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held.rstrip("/")
+    if held:
+        return held.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='kbloom-')}"
 
 
 def cutter(spark: SparkSession, tag: str):
