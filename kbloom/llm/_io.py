@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +16,12 @@ def shared_dir(spark: SparkSession) -> str:
         return held.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='kbloom-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='kbloom-')}"
 
 
 #: Text that one Arrow batch to a Python worker holds at most, about.
