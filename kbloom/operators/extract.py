@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbloom.functions import urls
@@ -23,7 +23,16 @@ CLAIMS = "page_id long, extractor int, seq int, path string, value string, metho
 
 # --- structured data ---
 
-BUSINESS = re.compile(r"(Organization|Corporation|LocalBusiness|Business|Store|Contractor|Restaurant|Service|Agent|Dealer|Attorney|Dentist|Physician|Plumber|Electrician)$")
+# Structured-data types of businesses, and the endings of further ones.
+BUSINESS_TYPES = frozenset(
+    """Organization Corporation LocalBusiness NGO Airline Consortium Plumber Electrician Locksmith Roofing RoofingContractor HVACBusiness GeneralContractor
+    HousePainter MovingCompany Dentist Physician MedicalClinic Optician Pharmacy VeterinaryCare LegalService Attorney Notary AccountingService InsuranceAgency
+    FinancialService RealEstateAgent TravelAgency AutoRepair AutoDealer AutoBodyShop GasStation Restaurant Bakery CafeOrCoffeeShop BarOrPub Hotel Motel
+    Campground Winery Brewery Distillery BeautySalon HairSalon NailSalon DaySpa TattooParlor HealthClub SportsClub Gym ChildCare Preschool School Library Museum
+    Church Casino Florist Bookstore ClothingStore GroceryStore HardwareStore PetStore FurnitureStore JewelryStore Photographer EventVenue SelfStorage Landscaper
+    PestControl WasteManagement SecurityService Emergency""".split()
+)
+BUSINESS_ENDINGS = re.compile(r"(Business|Service|Agent|Store|Shop|Agency|Practice|Contractor|Company)$")
 
 
 def _nodes(value, out: list[dict]) -> list[dict]:
@@ -70,7 +79,7 @@ def json_ld(root: Node, page: dict):
     def follow(x):
         return by_id.get(x["@id"], x) if isinstance(x, dict) and set(x) == {"@id"} else x
 
-    firm = next((n for n in nodes if any(BUSINESS.search(t) for t in _types(n))), None)
+    firm = next((n for n in nodes if any(t in BUSINESS_TYPES or BUSINESS_ENDINGS.search(t) for t in _types(n))), None)
     if firm:
         for key, path in (("name", "companyName"), ("telephone", "foundation.phone"), ("email", "foundation.email"), ("foundingDate", "foundation.yearFounded"), ("url", "foundation.website")):
             if isinstance(firm.get(key), str) and firm[key].strip():
@@ -257,23 +266,80 @@ def claims(pages: DataFrame) -> DataFrame:
 
 # --- vendors ---
 
-# Vendors by host.
+# Vendors by host, first match wins.
 VENDORS = [
-    ("Google Analytics", r"(^|\.)(google-analytics|googletagmanager)\.com$"),
-    ("Google Maps", r"(^|\.)maps\.google(apis)?\.com$"),
-    ("Google Fonts", r"(^|\.)fonts\.(googleapis|gstatic)\.com$"),
-    ("Facebook Pixel", r"(^|\.)connect\.facebook\.net$"),
-    ("Calendly", r"(^|\.)calendly\.com$"),
-    ("Stripe", r"(^|\.)stripe\.com$"),
-    ("HubSpot", r"(^|\.)(hubspot|hs-scripts|hsforms)\.(com|net)$"),
-    ("Mailchimp", r"(^|\.)(list-manage|mailchimp)\.com$"),
-    ("Shopify", r"(^|\.)(shopify|myshopify)\.com$"),
-    ("Squarespace", r"(^|\.)squarespace(-cdn)?\.com$"),
-    ("Wix", r"(^|\.)(wix|wixstatic|parastorage)\.com$"),
-    ("Vimeo", r"(^|\.)vimeo\.com$"),
-    ("YouTube", r"(^|\.)(youtube|youtube-nocookie)\.com$"),
-    ("Intercom", r"(^|\.)intercom(cdn)?\.(io|com)$"),
+    ("Google Analytics", r"google-analytics\.com|googletagmanager\.com"),
+    ("Google", r"(^|\.)(google|gstatic|googleapis|googleusercontent)\.com$"),
+    ("Google Ads", r"googleadservices\.com|doubleclick\.net"),
+    ("Plausible", r"plausible\.io"),
+    ("Fathom", r"usefathom\.com"),
+    ("Hotjar", r"hotjar\.com"),
+    ("Meta Pixel", r"connect\.facebook\.net"),
+    ("HubSpot", r"hubspot\.com|hs-scripts\.com|hsforms\.(net|com)"),
+    ("Salesforce", r"salesforce\.com|force\.com"),
+    ("Mailchimp", r"mailchimp\.com|list-manage\.com|chimpstatic\.com"),
+    ("Sendgrid", r"sendgrid\.(net|com)"),
+    ("MailGun", r"mailgun\.(net|org|com)"),
+    ("Klaviyo", r"klaviyo\.com"),
+    ("Constant Contact", r"constantcontact\.com"),
+    ("ActiveCampaign", r"activehosted\.com|activecampaign\.com"),
+    ("Wufoo", r"wufoo\.com"),
+    ("Typeform", r"typeform\.com"),
+    ("Jotform", r"jotform\.com"),
+    ("Gravity Forms", r"gravityforms\.com"),
+    ("Calendly", r"calendly\.com"),
+    ("Acuity Scheduling", r"acuityscheduling\.com"),
+    ("Housecall Pro", r"housecallpro\.com"),
+    ("ServiceTitan", r"servicetitan\.com"),
+    ("Stripe", r"stripe\.(com|network)"),
+    ("PayPal", r"paypal(objects)?\.com"),
+    ("Square", r"squareup\.com|squarecdn\.com"),
+    ("Birdeye", r"birdeye\.com"),
+    ("Trustpilot", r"trustpilot\.com"),
+    ("Yotpo", r"yotpo\.com"),
+    ("Podium", r"podium\.com"),
+    ("NiceJob", r"nicejob\.co"),
+    ("Yelp", r"yelp\.com"),
+    ("Yext", r"yext(apis)?\.com"),
+    ("Bright Local", r"brightlocal\.com"),
+    ("Intercom", r"intercom\.(io|com)"),
+    ("Drift", r"drift\.com"),
+    ("Tawk.to", r"tawk\.to"),
+    ("Zendesk", r"zendesk\.com|zdassets\.com"),
+    ("Twilio", r"twilio\.com|twiliocdn\.com"),
+    ("DialogTech", r"dialogtech\.com"),
+    ("CallRail", r"callrail\.com"),
+    ("Cloudflare", r"cloudflare(insights)?\.com|cdnjs\.cloudflare\.com"),
+    ("Amazon Web Services", r"amazonaws\.com|awsstatic\.com"),
+    ("Rackspace", r"rackspace\.com|rackcdn\.com"),
+    ("Box.com", r"box\.(com|net)"),
+    ("Dropbox", r"dropbox(static)?\.com"),
+    ("Vimeo", r"vimeo(cdn)?\.com"),
+    ("YouTube", r"youtube(-nocookie)?\.com|ytimg\.com"),
+    ("Wistia", r"wistia\.(com|net)"),
+    ("TransUnion", r"transunion\.com|tlo\.com"),
+    ("Elfsight", r"elfsight\.com"),
+    ("jQuery", r"code\.jquery\.com"),
+    ("WordPress.com", r"wp\.com|wordpress\.com"),
+    ("Wix", r"wix(static|apps)?\.com|parastorage\.com"),
+    ("Squarespace", r"squarespace(-cdn)?\.com"),
+    ("Shopify", r"shopify(cdn|cloud)?\.com"),
+    ("Webflow", r"webflow\.(com|io)"),
+    ("HighLevel", r"gohighlevel\.com|leadconnectorhq\.com"),
+    ("Usercentrics", r"usercentrics\.(eu|com)"),
+    ("UserWay", r"userway\.org"),
+    ("jsDelivr", r"jsdelivr\.net"),
+    ("unpkg", r"unpkg\.com"),
+    ("LiveChat", r"livechatinc\.com"),
+    ("Popupsmart", r"popupsmart\.com"),
+    ("Diverse Solutions", r"diversesolutions\.com"),
+    ("CountingWorks Pro", r"countingworkspro\.com"),
+    ("UI Avatars", r"ui-avatars\.com"),
 ]
+# Hosts that are no supplier's.
+NOT_A_SUPPLIER = r"(^|\.)(facebook|instagram|twitter|x|linkedin|youtube|tiktok|pinterest|reddit|yelp|example)\.(com|org|net)$"
+SPECIFICATIONS = r"(^|\.)(w3|schema|gmpg|purl|xmlns|dublincore)\.org$"
+MOST_UNKNOWN = 15
 
 
 def _hosts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,10 +359,20 @@ def _hosts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def vendors(pages: DataFrame) -> DataFrame:
-    """(page_id, vendor, method): known vendors, and other foreign hosts."""
+    """(page_id, vendor, method): known vendors, and up to 15 other foreign hosts.
+
+    Social and specification hosts are no suppliers, nor are names of eight
+    letters or more with less than a quarter of vowels, which no person chose.
+    """
     found = pages.select("page_id", "url", "html").mapInPandas(_hosts, "page_id long, url string, host string")
     foreign = found.where(urls.registrable_domain(F.col("host")) != urls.registrable_domain(urls.host_of(F.col("url"))))
     name = F.lit(None).cast("string")
     for vendor, pattern in reversed(VENDORS):
         name = F.when(F.col("host").rlike(pattern), vendor).otherwise(name)
-    return foreign.select("page_id", F.coalesce(name, F.col("host")).alias("vendor"), F.when(name.isNotNull(), "dom").otherwise("heuristic").alias("method")).distinct()
+    named = foreign.withColumn("name", name)
+    label = F.substring_index(urls.registrable_domain(F.col("host")), ".", 1)
+    made_up = (F.length(label) >= 8) & (F.length(F.regexp_replace(label, "[^aeiouy]", "")) / F.length(label) < 0.25)
+    other = named.where(F.col("name").isNull() & ~F.col("host").rlike(NOT_A_SUPPLIER) & ~F.col("host").rlike(SPECIFICATIONS) & ~made_up).select("page_id", F.col("host").alias("vendor")).distinct()
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("vendor"))
+    other = other.withColumn("place", place).where(F.col("place") <= MOST_UNKNOWN).select("page_id", "vendor", F.lit("heuristic").alias("method"))
+    return named.where("name is not null").select("page_id", F.col("name").alias("vendor"), F.lit("dom").alias("method")).distinct().unionByName(other)

@@ -174,6 +174,6 @@ def vendor_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendors by the hosts that a page loads from, and hosts that no table names."""
     even = '<script src="https://www.googletagmanager.com/gtag/js"></script><iframe src="https://calendly.com/x"></iframe>'
     odd = '<script src="https://js.stripe.com/v3/"></script>'
-    body = F.concat(F.when(F.col("s_suppkey") % 2 == 0, even).otherwise(odd), F.lit('<img src="https://widgets.acmehost.com/a.png"><img src="/own.png"><script src="https://cdn.site.io/x.js"></script>'))
+    body = F.concat(F.when(F.col("s_suppkey") % 2 == 0, even).otherwise(odd), F.lit('<img src="https://widgets.acmehost.com/a.png"><img src="/own.png"><script src="https://cdn.site.io/x.js"></script><link href="https://gmpg.org/x"><img src="https://ksrndkhqnwntyx.com/a.gif">'))
     pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://site.io/").alias("url"), F.lit("home").alias("role"), body.alias("html"))
     return extract.vendors(pages).select("page_id", "vendor", "method")
