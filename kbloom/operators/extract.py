@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbloom.functions import urls
+from kbloom.functions.text import AUDIENCE, NOT_A_PLACE
 from kbloom.operators.dom import Node, parse
 
 CLAIMS = "page_id long, extractor int, seq int, path string, value string, method string, confidence double"
@@ -241,7 +242,114 @@ def testimonials(root: Node, page: dict):
             yield "proof.testimonials", {"quote": quote}, "dom", 0.65
 
 
-EXTRACTORS = [json_ld, metadata, contact, people, offerings, content, testimonials]
+# Headings over the places that a company serves.
+AREA_HEADING = re.compile(
+    r"\b(areas?\s+(we\s+)?serve[sd]?|service\s+areas?|communities?\s+we\s+serve|where\s+we\s+work|locations?\s+we\s+serve|proudly\s+serving|now\s+serving)\b", re.I)
+_PLACE = re.compile(r"^[A-Z]")
+_NO_PLACE = re.compile(NOT_A_PLACE, re.I)
+_AUDIENCE = re.compile(AUDIENCE, re.I)
+
+
+def locations(root: Node, page: dict):
+    """Items of lists, or of the paragraph, that follow an area heading."""
+    seen = set()
+    for head in root.find("h1", "h2", "h3", "h4", "h5", "h6", "strong"):
+        if not AREA_HEADING.search(head.text()) or len(head.text()) > 80:
+            continue
+        names, after, steps = [], head.after(), 0
+        while after is not None and steps < 3:
+            names += [n.text() for n in after.find("li")]
+            if after.tag == "p":
+                names += [re.sub(r"^the\s+|[.!?]+$", "", x, flags=re.I).strip() for x in re.split(r"\s*(?:,|;|·|\||\band\b|&)\s*", after.text())]
+            after, steps = after.after(), steps + 1
+        for name in names:
+            good = 3 <= len(name) <= 60 and _PLACE.match(name) and len(name.split()) <= 5 and not _NO_PLACE.search(name) and not _AUDIENCE.match(name)
+            if good and name.lower() not in seen and len(seen) < 40:
+                seen.add(name.lower())
+                yield "foundation.serviceLocations", name, "dom", 0.7
+
+
+def logos(root: Node, page: dict):
+    """Up to three images of the home page that call themselves a logo."""
+    if page["role"] != "home":
+        return
+    seen = set()
+    for image in root.find("img"):
+        source = image.attrs.get("src") or image.attrs.get("data-src") or image.attrs.get("data-lazy-src") or (image.attrs.get("srcset") or "").split(" ")[0]
+        near, up = False, image.up
+        while up is not None:
+            near = near or up.tag == "header" or up.has_class("logo") or up.tag == "a" and up.has_class("brand")
+            up = up.up
+        hints = [source or "", image.attrs.get("alt") or "", image.attrs.get("class") or "", image.attrs.get("id") or ""]
+        if source and (near or any("logo" in h.lower() for h in hints[2:])) and any(re.search("logo|brand", h, re.I) for h in hints[:3]):
+            url = urljoin(page["url"], source)
+            if url not in seen and len(seen) < 3:
+                seen.add(url)
+                yield "branding.logos", {"url": url, "alt": image.attrs.get("alt")}, "dom", 0.75
+
+
+def funnels(root: Node, page: dict):
+    """Ways in which a visitor can convert."""
+    found = []
+    if root.first("form"):
+        words = " ".join(f.text() for f in root.find("form")).lower()
+        kinds = [("quote|estimate", "Quote request form"), ("appointment|schedule|book", "Appointment scheduler"), ("subscribe|newsletter|email updates", "Newsletter signup")]
+        found.append(next((name for pattern, name in kinds if re.search(pattern, words)), "Contact form"))
+    links = [n.attrs.get("href") or "" for n in root.find("a")]
+    html = page["html"] or ""
+    tests = [
+        (any(h.startswith("tel:") for h in links), "Phone call"),
+        (any(h.startswith("mailto:") for h in links), "Email"),
+        (re.search(r"calendly\.com|acuityscheduling\.com|housecallpro\.com", html, re.I), "Online booking"),
+        (re.search("mailchimp|klaviyo|constantcontact|list-manage", html, re.I), "Newsletter signup"),
+        (any("/cart" in h or "/checkout" in h for h in links) or any("cart" in (f.attrs.get("action") or "") for f in root.find("form")), "Online checkout"),
+        (re.search(r"livechat|tawk\.to|intercom|drift\.com|messenger", html, re.I), "Live chat"),
+    ]
+    for name in dict.fromkeys([*found, *(name for test, name in tests if test)]):
+        yield "market.funnels", name, "dom", 0.7
+
+
+def posts(root: Node, page: dict):
+    """Posts that a blog's index lists."""
+    if page["role"] != "blog-index":
+        return
+    seen = set()
+    for item in root.walk():
+        if not (item.tag == "article" or item.attrs.get("class") and item.has_class("post|entry")) or item.first("article"):
+            continue
+        link, head = next((a for a in item.find("a") if a.attrs.get("href")), None), item.first("h1", "h2", "h3", "h4")
+        title = (head.text() if head else "") or (link.text() if link else "")
+        if link is None or not 8 <= len(title) <= 200:
+            continue
+        url = urljoin(page["url"], link.attrs["href"])
+        if url in seen or len(seen) >= 40:
+            continue
+        seen.add(url)
+        time, text = item.first("time"), item.first("p")
+        when = (time.attrs.get("datetime") or time.text() or None) if time else None
+        yield "contentIntelligence.posts", {"title": title, "url": url, "publishedAt": when, "excerpt": text.text() if text else None}, "dom", 0.65
+
+
+_JOB = re.compile(r"\b(owner|founder|president|ceo|cfo|coo|cto|manager|director|supervisor|lead|foreman|technician|advisor|consultant|attorney|accountant|partner|principal|driller|engineer|agent|assistant|specialist|coordinator)\b", re.I)
+
+
+def people_in_sequence(root: Node, page: dict):
+    """People named by a heading whose next lines are a job title."""
+    if page["role"] not in ("team", "about"):
+        return
+    lines = [n for n in root.walk() if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "span") and n.text()]
+    for k, line in enumerate(lines):
+        name = line.text()
+        if line.tag[0] != "h" or not _PERSON.match(name):
+            continue
+        after = [n.text() for n in lines[k + 1 : k + 8]]
+        title = next((t.rstrip(".") for t in after[:2] if len(t) <= 70 and len(t.split()) <= 8 and not re.search(r"\d", t) and _JOB.search(t)), None)
+        if title:
+            bio = next((t[:800] for t in after if len(t) >= 60 and re.search(r"[.!?]", t)), None)
+            yield "people", {"name": name, "title": title, "bio": bio}, "dom", 0.6
+
+
+EXTRACTORS = [json_ld, metadata, contact, people, offerings, content, testimonials, locations, logos, funnels, posts, people_in_sequence]
 
 
 def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -136,7 +136,7 @@ def people_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     letters = F.concat(F.char(97 + key % 26), F.char(97 + F.floor(key / 26) % 26))
     body = '<div class="team"><div class="team-member"><h3>Anna Lee%s</h3><p>Office Manager<p>Short</div><div class="team-member"><h3>Bob Stone</h3><p class="title">Owner</p></div></div>'
-    found = extract.claims(_page_of(spark, sf_dir, "team", body, letters)).where("path = 'people'")
+    found = extract.claims(_page_of(spark, sf_dir, "team", body, letters)).where("path = 'people' and confidence = 0.7")
     return found.select("page_id", F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.title").alias("title"), T.role_from_title(F.get_json_object("value", "$.title")).alias("role"))
 
 
@@ -177,3 +177,46 @@ def vendor_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.when(F.col("s_suppkey") % 2 == 0, even).otherwise(odd), F.lit('<img src="https://widgets.acmehost.com/a.png"><img src="/own.png"><script src="https://cdn.site.io/x.js"></script><link href="https://gmpg.org/x"><img src="https://ksrndkhqnwntyx.com/a.gif">'))
     pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://site.io/").alias("url"), F.lit("home").alias("role"), body.alias("html"))
     return extract.vendors(pages).select("page_id", "vendor", "method")
+
+
+@query("SELECT s_suppkey AS page_id, unnest(['Austin', 'Town ' || s_suppkey, 'Waco', 'Lake Country']) AS area FROM supplier")
+def area_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = "<h3>Areas we serve</h3><ul><li>Austin<li>Town %d<li>Free estimates</ul><h2>Now serving</h2><p>Waco, the Lake Country and homeowners.</p>"
+    return extract.claims(_page_of(spark, sf_dir, "other", body, F.col("s_suppkey"))).where("path = 'foundation.serviceLocations'").select("page_id", F.col("value").alias("area"))
+
+
+@query("SELECT s_suppkey AS page_id, 'https://site.io/img/logo-' || s_suppkey || '.png' AS url FROM supplier")
+def logos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = '<header><img src="/img/logo-%d.png" alt="Acme"><img src="/img/hero.jpg"></header><p><img src="/img/logo-of-other.png"></p>'
+    found = extract.claims(_page_of(spark, sf_dir, "home", body, F.col("s_suppkey"))).where("path = 'branding.logos'")
+    return found.select("page_id", F.get_json_object("value", "$.url").alias("url"))
+
+
+@query("SELECT s_suppkey AS page_id, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['Quote request form', 'Phone call', 'Online checkout'] ELSE ['Contact form', 'Online booking', 'Live chat'] END) AS funnel FROM supplier")
+def funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = "<form><label>Get an estimate</label></form><a href='tel:1'>c</a><a href='/cart'>x</a>"
+    odd = "<form>Name</form><iframe src='https://calendly.com/a'></iframe><script src='//tawk.to/x'></script>"
+    body = F.when(F.col("s_suppkey") % 2 == 0, even).otherwise(odd)
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://site.io/").alias("url"), F.lit("home").alias("role"), body.alias("html"))
+    return extract.claims(pages).where("path = 'market.funnels'").select("page_id", F.col("value").alias("funnel"))
+
+
+@query("SELECT s_suppkey AS page_id, unnest(['A story about wells ' || s_suppkey, 'Pumps in winter']) AS title, unnest(['https://site.io/blog/a' || s_suppkey, 'https://site.io/blog/b']) AS url, unnest(['2024-01-02', 'May 2024']) AS published FROM supplier")
+def blog_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = '<article><h2>A story about wells %d</h2><a href="/blog/a%d">more</a><time datetime="2024-01-02">Jan</time><p>Text</article><div class="post-item"><a href="/blog/b">Pumps in winter</a><time>May 2024</time></div><article><h2>Short</h2><a href="/blog/c">c</a></article>'
+    found = extract.claims(_page_of(spark, sf_dir, "blog-index", body, F.col("s_suppkey"), F.col("s_suppkey"))).where("path = 'contentIntelligence.posts'")
+    return found.select("page_id", F.get_json_object("value", "$.title").alias("title"), F.get_json_object("value", "$.url").alias("url"), F.get_json_object("value", "$.publishedAt").alias("published"))
+
+
+@query("SELECT s_suppkey AS page_id, 'Ann Field' AS name, 'Lead Driller' AS title, 'Ann has drilled wells in number ' || s_suppkey || ' of the counties of this state for years.' AS bio FROM supplier")
+def people_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = "<h3>Ann Field</h3><p>Lead Driller.</p><p>Ann has drilled wells in number %d of the counties of this state for years.</p><h3>Our Values</h3><p>We care about 3 things.</p>"
+    found = extract.claims(_page_of(spark, sf_dir, "about", body, F.col("s_suppkey"))).where("path = 'people'")
+    return found.select("page_id", *[F.get_json_object("value", f"$.{k}").alias(k) for k in ("name", "title", "bio")])
+
+
+@query("SELECT s_suppkey AS page_id, 'They drilled well number ' || s_suppkey || ' in a day, and it was great.' AS quote FROM supplier")
+def testimonials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = '<div class="testimonials"><div class="testimonial">They drilled well number %d in a day, and it was great.</div></div><blockquote>Too short.</blockquote>'
+    found = extract.claims(_page_of(spark, sf_dir, "testimonials", body, F.col("s_suppkey"))).where("path = 'proof.testimonials'")
+    return found.select("page_id", F.get_json_object("value", "$.quote").alias("quote"))
