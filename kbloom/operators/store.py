@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from kbloom.functions import fields
 from kbloom.operators import versions
 
 
@@ -101,3 +102,70 @@ def slugs(names: DataFrame) -> DataFrame:
     root = F.substring(F.when(base == "", "workspace").otherwise(base), 1, 40)
     k = F.row_number().over(Window.partitionBy("root").orderBy("id")) - 1
     return names.withColumn("root", root).withColumn("k", k).withColumn("slug", F.when(F.col("k") == 0, F.col("root")).otherwise(F.concat("root", F.lit("-"), F.col("k").cast("string")))).drop("root", "k")
+
+
+#: Record tables: where a collection stands in a document, and its columns.
+RECORD = "id string, method string, confidence double"
+PROJECTIONS = {
+    "people": ("people.value", "name string, title string, role string, gender string, bio string, email string, phone string, imageUrl string, profileUrl string, linkedin string"),
+    "offerings": ("offerings.value", "name string, category string, description string, features array<string>, pricing string, url string"),
+    "testimonials": ("proof.testimonials.value", "quote string, authorName string, authorRole string, authorCompany string, authorLocation string, rating double, date string, platform string"),
+    "aggregate_ratings": ("proof.aggregateRatings.value", "platform string, ratingValue double, bestRating double, reviewCount int"),
+    "case_studies": ("proof.caseStudies.value", "title string, client string, problem string, solution string, results array<string>, url string"),
+    "certifications": ("proof.certifications.value", "name string, issuer string, identifier string, validUntil string, kind string"),
+    "memberships": ("proof.memberships.value", "name string, issuer string, identifier string, validUntil string, kind string"),
+    "awards": ("proof.awards.value", "name string, issuer string, year int"),
+    "press_mentions": ("proof.pressMentions.value", "outlet string, title string, url string, date string, kind string"),
+    "trust_stats": ("proof.trustStats.value", "claim string, value double, unit string, category string, asOfDate string"),
+    "guarantees": ("proof.guarantees.value", "text string, kind string, terms string"),
+    "logos": ("branding.logos.value", "url string, alt string, kind string, width int, height int"),
+    "client_logos": ("proof.clientLogos.value", "url string, alt string, kind string, width int, height int"),
+    "brand_colors": ("branding.colors.value", "hex string, role string, frequency int"),
+    "social_profiles": ("onlinePresence.profiles.value", "platform string, url string, handle string"),
+    "content_themes": ("contentIntelligence.themes.value", "label string, weight double, terms array<string>, exampleUrls array<string>"),
+    "content_items": ("contentIntelligence.posts.value", "title string, url string, publishedAt string, author string, category string, excerpt string, wordCount int"),
+    "headline_patterns": ("contentIntelligence.headlinePatterns.value", "pattern string, count int, examples array<string>"),
+    "faqs": ("contentIntelligence.faqs.value", "question string, answer string, topic string"),
+    "glossary_terms": ("contentIntelligence.glossary.value", "term string, definition string"),
+    "seasonal_signals": ("contentIntelligence.seasonalSignals.value", "label string, period string, text string"),
+    "content_gaps": ("contentIntelligence.contentGaps.value", "topic string, reason string, relatedOffering string"),
+    "conflicts": ("quality.conflicts", "path string, label string, resolved boolean"),
+    "follow_up_questions": ("quality.followUpQuestions", "question string, example string, fills array<string>, priority double, answered boolean"),
+    "scrape_pages": ("scrape.pages", "url string, role string, status int, bytes long"),
+    "scrape_warnings": ("scrape.warnings", "code string, message string, url string"),
+}
+
+
+def projections(documents: DataFrame) -> dict[str, DataFrame]:
+    """Every record table as a view of ``documents(doc, version, document)``."""
+    return {name: project(documents, path, f"{RECORD}, {item}") for name, (path, item) in PROJECTIONS.items()}
+
+
+def provenance(documents: DataFrame) -> DataFrame:
+    """One row for each field of a document: its envelope, and whether it is filled.
+
+    An empty list or a blank string is a value but not a filled field.
+    """
+    every = F.array(*[F.struct(F.lit(p).alias("path"), F.get_json_object("document", f"$.{p}").alias("e")) for p, *_ in fields.FIELDS])
+    each = documents.select("doc", "version", F.inline(every)).where("e is not null")
+    value = F.get_json_object("e", "$.value")
+    return each.select(
+        "doc", "version", "path", F.get_json_object("e", "$.method").alias("method"), F.get_json_object("e", "$.confidence").try_cast("double").alias("confidence"),
+        F.get_json_object("e", "$.note").alias("note"), value.isNotNull().alias("value_present"), (value.isNotNull() & (F.trim(value) != "") & (value != "[]")).alias("is_filled"),
+    )
+
+
+def rebuild(spark: SparkSession, documents: DataFrame, base: str) -> dict[str, tuple[int, int]]:
+    """Write every record table anew; rows removed and written by table.
+
+    Repeating a rebuild over the same documents changes nothing.
+    """
+    out = {}
+    for name, rows in projections(documents).items():
+        try:
+            before = spark.read.parquet(f"{base}/{name}").count()
+        except AnalysisException:
+            before = 0
+        rows.write.mode("overwrite").parquet(f"{base}/{name}")
+        out[name] = (before, spark.read.parquet(f"{base}/{name}").count())
+    return out

@@ -139,3 +139,40 @@ def test_results_don_t_depend_on_partitions(spark, parts):
     df = spark.createDataFrame(rows, CLAIM).repartition(parts)
     got = sorted(map(tuple, reconcile.scalars(df).drop("candidates").collect()))
     assert got == sorted(map(tuple, reconcile.scalars(spark.createDataFrame(rows, CLAIM)).drop("candidates").collect()))
+
+
+DOCUMENT = {
+    "companyName": {"value": "Acme", "method": "scraped", "confidence": 0.9},
+    "foundation": {"altNames": {"value": [], "method": "scraped", "confidence": 0.5}, "phone": {"value": " ", "method": "scraped", "confidence": 0.5}, "email": {"value": None, "method": "not-found", "confidence": 0, "note": "n"}},
+    "people": {"value": [{"id": "1", "name": "P", "confidence": 0.7}, {"id": "2", "name": "Q"}], "method": "scraped", "confidence": 0.7},
+    "quality": {"conflicts": [{"path": "companyName", "label": "Name", "resolved": False}]},
+}
+
+
+def test_projections_rebuild_to_the_same_rows(spark, tmp_path):
+    documents = spark.createDataFrame([("a", 1, json.dumps(DOCUMENT)), ("b", 1, "{}"), ("c", 1, None)], "doc string, version int, document string")
+    first = store.rebuild(spark, documents, str(tmp_path / "p"))
+    assert first["people"] == (0, 2) and first["conflicts"] == (0, 1) and first["awards"] == (0, 0)
+    again = store.rebuild(spark, documents, str(tmp_path / "p"))
+    assert all(removed == written == first[name][1] for name, (removed, written) in again.items())
+    got = {r.path: (r.value_present, r.is_filled, r.note) for r in store.provenance(documents).collect()}
+    assert got == {"companyName": (True, True, None), "foundation.altNames": (True, False, None), "foundation.phone": (True, False, None), "foundation.email": (False, False, "n"), "people": (True, True, None)}
+    assert {p for p, _ in store.PROJECTIONS.values()} & {"people.value", "quality.conflicts"}
+
+
+def test_generated_lists_and_prices(spark):
+    from kbloom.operators import enrich
+
+    df = spark.createDataFrame([(["A"], [" a ", "b", "B", ""]), (None, ["x"]), (["A"], None)], "h array<string>, m array<string>")
+    assert [r[0] for r in df.select(enrich.extend_list(F.col("h"), F.col("m"))).collect()] == [["A", "b"], ["x"], ["A"]]
+
+
+def test_site_files(spark, tmp_path):
+    from kbloom.sources import scratch, site_files
+
+    xml = "<urlset><url><loc>https://x.com/a?b=1&amp;utm_source=q</loc><lastmod>2024</lastmod></url><!-- <url><loc>https://x.com/no</loc></url> --><url><loc>ftp://x.com/</loc></url><url></url></urlset>"
+    got = site_files.sitemap_entries(spark.createDataFrame([("s", xml), ("t", None)], "source string, xml string")).collect()
+    assert [(r.url, r.modified, r.is_index) for r in got] == [("https://x.com/a?b=1", "2024", False)]
+    files = spark.createDataFrame([("s", xml)], "source string, xml string")
+    none = site_files.discover(spark.createDataFrame([(1, "https://y.com/", "s")], "site long, origin string, source string"), files, scratch.cutter(spark, "t"))
+    assert none.collect() == []
