@@ -1,10 +1,11 @@
 """Benchmark decontamination by a broadcast hash set of word windows.
 
 A benchmark item of ``WINDOW_WORDS`` words or more is its set of windows of so
-many consecutive words; a shorter item is one window.  Window hashes are
-broadcast; executors scan every document's windows with rolling hashes and
-verify each candidate word for word.  A benchmark beyond ``BROADCAST_BYTES`` of
-text is broadcast in blocks, one after another, and their hits are merged.
+many consecutive words; a shorter item is one window.  The items are broadcast
+and each worker makes their hash set, in arrays of some ten times the items'
+bytes; executors scan every document's windows with rolling hashes and verify
+each candidate word for word.  A benchmark beyond ``BROADCAST_BYTES`` of text is
+broadcast in blocks, one after another, and their hits are merged.
 """
 
 from __future__ import annotations
@@ -23,86 +24,106 @@ from kbloom.llm._io import Scratch, Shared, shielded, table
 
 WINDOW_WORDS = 10
 #: Text of a benchmark block that is broadcast at once.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 _BITS = 22
+_LOW = np.uint64((1 << _BITS) - 1)
 
 _SPANS = "array<struct<start: int, stop: int>>"
 
 
-def _windows_of(text: str | None, width: int) -> list[bytes]:
-    data = _text.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = _text.split_words(data, np.array([0, len(data)]), _text.ALNUM_WORDS)
-    words = [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-    if not words:
-        return []
-    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-
-
 class Grams:
-    """The windows of one benchmark block: words to item ids, and hash tables."""
+    """The windows of one benchmark block as arrays.
+
+    ``words`` are the block's words joined by one space each.  For each window
+    length there are the sorted hashes of the distinct windows, a place in
+    ``words`` to verify each by, and the rows of the items that have it.
+    """
 
     def __init__(self, rows: list[tuple], width: int):
-        self.items: dict[bytes, list] = {}
-        for item, text in rows:
-            for window in _windows_of(text, width):
-                held = self.items.setdefault(window, [])
-                if item is not None and str(item) not in held:
-                    held.append(str(item))
-        self.lengths = sorted({w.count(b" ") + 1 for w in self.items})
-
-    def tables(self) -> dict[int, np.ndarray]:
-        """For each window length, a bitmap over the low bits of its hashes."""
-        out = {}
-        for n in self.lengths:
-            joined = [w for w in self.items if w.count(b" ") + 1 == n]
-            data = np.frombuffer(b" ".join(joined), np.uint8)
-            starts, ends, _ = _text.split_words(data, np.array([0, len(data)]), _text.ALNUM_WORDS)
-            at = np.arange(0, len(starts), n)
-            hashes = _text.range_hashes(_text.word_hashes(data, starts, ends), _text.FIRST_BASE)(at, at + n)
+        self.ids = [None if item is None else str(item) for item, _ in rows]
+        texts, parts, places = pa.array([text or "" for _, text in rows], pa.large_string()), [], []
+        size = 0
+        for lo, _, data, offsets in _text.chunks(texts):
+            data = _text.LOWER[data]
+            starts, ends, first = _text.split_words(data, offsets, _text.ALNUM_WORDS)
+            if len(starts) == 0:
+                continue
+            words = _text.word_hashes(data, starts, ends)
+            raw = data.tobytes()
+            parts.append(b" ".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]))
+            stop = np.cumsum(ends - starts + 1) - 1 + size
+            begin = stop - (ends - starts)
+            size += len(parts[-1]) + 1
+            n = np.diff(first)
+            long = np.minimum(n, width)
+            each = np.where(n > 0, n - long + 1, 0)
+            own = np.repeat(np.arange(len(n)), each)
+            at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+            to = at + long[own]
+            places.append([long[own], _text.range_hashes(words, _text.FIRST_BASE)(at, to), _text.range_hashes(words, _text.SECOND_BASE)(at, to), begin[at], stop[to - 1], own + lo])
+        self.words, self.windows = b" ".join(parts), {}
+        if not places:
+            return
+        length, one, two, begin, stop, item = (np.concatenate(x) for x in zip(*places, strict=True))
+        for n in np.unique(length).tolist():
+            i = np.flatnonzero(length == n)
+            i = i[np.lexsort((item[i], two[i], one[i]))]
+            new = np.ones(len(i), bool)
+            new[1:] = (one[i][1:] != one[i][:-1]) | (two[i][1:] != two[i][:-1])
+            k = np.flatnonzero(new)
             seen = np.zeros(1 << _BITS, bool)
-            seen[hashes & np.uint64((1 << _BITS) - 1)] = True
-            out[n] = seen
-        return out
+            seen[one[i] & _LOW] = True
+            self.windows[n] = seen, one[i][k], begin[i][k], stop[i][k], np.append(k, len(i)), item[i].astype(np.int32)
+
+    def items(self, windows: set[tuple[int, int]]) -> set[str]:
+        """Ids of the items that have any of the windows (length, number)."""
+        out = set()
+        for n, k in windows:
+            bounds, item = self.windows[n][4:]
+            out.update(self.ids[i] for i in item[bounds[k] : bounds[k + 1]].tolist())
+        return out - {None}
 
 
-def _tables(grams: Grams):
-    """The block and its bitmaps."""
-    return grams, grams.tables()
+def _grams(held: tuple[list[tuple], int]) -> Grams:
+    return Grams(*held)
 
 
-def _scan(data, offsets, grams, seen):
-    """Word count and coverage of a chunk, and the verified hits of each row."""
+def _scan(data, offsets, grams: Grams):
+    """Word count and coverage of a chunk, and the items of each row with a hit."""
     data = _text.LOWER[data]
     starts, ends, first = _text.split_words(data, offsets, _text.ALNUM_WORDS)
-    edge, items = np.zeros(len(starts) + 1, np.int64), {}
+    edge, windows = np.zeros(len(starts) + 1, np.int64), {}
     if len(starts):
         hashed = _text.range_hashes(_text.word_hashes(data, starts, ends), _text.FIRST_BASE)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         raw = data.tobytes()
-        for n, bitmap in seen.items():
+        for n, (seen, keys, begin, stop, _, _) in grams.windows.items():
             at = np.arange(len(starts) - n + 1)
             if len(at) == 0:
                 continue
-            found = np.flatnonzero(bitmap[hashed(at, at + n) & np.uint64((1 << _BITS) - 1)])
+            hashes = hashed(at, at + n)
+            found = np.flatnonzero(seen[hashes & _LOW])
             found = found[found + n <= first[1:][doc[found]]]
-            for i in found.tolist():
-                window = b" ".join([raw[starts[j] : ends[j]] for j in range(i, i + n)])
-                held = grams.items.get(window)
-                if held is not None:
-                    edge[i] += 1
-                    edge[i + n] -= 1
-                    items.setdefault(int(doc[i]), set()).update(held)
+            lo, hi = np.searchsorted(keys, hashes[found]), np.searchsorted(keys, hashes[found], "right")
+            for j in np.flatnonzero(lo < hi).tolist():
+                i = int(found[j])
+                window = b" ".join([raw[starts[w] : ends[w]] for w in range(i, i + n)])
+                for k in range(int(lo[j]), int(hi[j])):
+                    if grams.words[begin[k] : stop[k]] == window:
+                        edge[i] += 1
+                        edge[i + n] -= 1
+                        windows.setdefault(int(doc[i]), set()).add((n, k))
     covered = np.cumsum(edge[:-1]) > 0
-    return first, starts, ends, covered, items
+    return first, starts, ends, covered, {d: grams.items(held) for d, held in windows.items()}
 
 
 def _digest(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen = shared.once(_tables)
+        grams = shared.once(_grams)
         none = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             for lo, hi, data, offsets in _text.chunks(batch.column(1)):
-                first, _, _, covered, items = _scan(data, offsets, grams, seen)
+                first, _, _, covered, items = _scan(data, offsets, grams)
                 upto = np.concatenate([[0], np.cumsum(covered)])
                 hit = upto[first[1:]] - upto[first[:-1]]
                 listed = [sorted(items.get(i, ())) for i in range(hi - lo)]
@@ -118,10 +139,10 @@ def _spans(shared):
     """Adds to each row the covered word ranges and the ids of the items hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen = shared.once(_tables)
+        grams = shared.once(_grams)
         for batch in batches:
             for lo, hi, data, offsets in _text.chunks(batch.column(0)):
-                first, _, _, covered, items = _scan(data, offsets, grams, seen)
+                first, _, _, covered, items = _scan(data, offsets, grams)
                 spans = []
                 for i in range(hi - lo):
                     own = covered[first[i] : first[i + 1]]
@@ -139,14 +160,19 @@ def _spans(shared):
     return run
 
 
-def blocks(benchmark: DataFrame, width: int, most_bytes: int = BROADCAST_BYTES) -> Iterator[Grams]:
-    """The benchmark's windows in blocks of checked size."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _parts(benchmark: DataFrame, most_bytes: int) -> tuple[DataFrame, int]:
+    """The distinct items with the block of each, and how many blocks there are."""
+    items = benchmark.select("item_id", "text").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // most_bytes) or 1
-    key = F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.col("text")), F.lit(n))
+    return items.withColumn("block", F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.col("text")), F.lit(n))), n
+
+
+def blocks(benchmark: DataFrame, width: int, most_bytes: int = BROADCAST_BYTES) -> Iterator[tuple[list[tuple], int]]:
+    """What is broadcast: the items in blocks of checked size, with the width."""
+    items, n = _parts(benchmark, most_bytes)
     for k in range(n):
-        part = benchmark if n == 1 else benchmark.where(key == k)
-        yield Grams([tuple(r) for r in part.select("item_id", "text").toLocalIterator()], width)
+        yield [tuple(r) for r in items.where(F.col("block") == k).select("item_id", "text").toLocalIterator()], width
 
 
 def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -154,40 +180,40 @@ def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width:
 
     Null and empty texts have no words and no hits.  An item without a word, or
     a null one, has no window; items with a null id cover words but are listed
-    by no id.  Items that repeat an id count once.
+    by no id.  Items that repeat an id count once.  With several blocks each
+    scans all documents, its hits are written, and one join brings them together.
     """
     schema = StructType([f for f in docs.schema.fields if f.name == "text"] + [f for f in docs.schema.fields if f.name != "text"])
     order = [f.name for f in schema.fields]
-    out = None
-    held = Scratch(spark, "decontaminate")
-    for k, grams in enumerate(blocks(benchmark, width, most_bytes)):
-        shared = Shared(spark, grams)
-        wide = StructType.fromDDL(f"_spans {_SPANS}, _items array<string>").fields + schema.fields
-        found = docs.select(*order).mapInArrow(_spans(shared), StructType(wide))
-        if out is None:
-            out = found
-            continue
-        # a further block: its hits are few, and are merged by document
-        key = ["doc_id", F.sha2("text", 256).alias("_text")]
-        hits = held.save(found.where("size(_items) > 0 or size(_spans) > 0").select(*key, "_spans", "_items").distinct(), f"block-{k}")
-        more = hits.select(F.col("doc_id").alias("_id"), "_text", F.col("_spans").alias("_s"), F.col("_items").alias("_i"))
-        out = (
-            out.join(more, out.doc_id.eqNullSafe(F.col("_id")) & (F.sha2(out.text, 256) == F.col("_text")), "left")
-            .withColumn("_spans", F.concat("_spans", F.coalesce("_s", F.array().cast(_SPANS))))
-            .withColumn("_items", F.array_sort(F.array_union("_items", F.coalesce("_i", F.array().cast("array<string>")))))
-            .drop("_id", "_text", "_s", "_i")
-        )
-    return out
+    wide = StructType.fromDDL(f"_spans {_SPANS}, _items array<string>").fields + schema.fields
+    scratch, hits, held = Scratch(spark, "decontaminate"), None, None
+    for k, block in enumerate(blocks(benchmark, width, most_bytes)):
+        if held is not None:
+            found = _hits(held)
+            hits = scratch.save(found, f"block-{k}") if hits is None else hits.unionByName(scratch.save(found, f"block-{k}"))
+        held = docs.select(*order).mapInArrow(_spans(Shared(spark, block)), StructType(wide))
+    if hits is None:
+        return held
+    every = hits.unionByName(scratch.save(_hits(held), "block-last")).groupBy("_id", "_text")
+    merged = scratch.save(every.agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")), "hits")
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.sha2(docs.text, 256) == F.col("_text"))
+    none = F.array().cast
+    return docs.join(merged, same, "left").select(F.coalesce("_spans", none(_SPANS)).alias("_spans"), F.coalesce("_items", none("array<string>")).alias("_items"), *[docs[c] for c in order])
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    """The distinct documents with a hit in a block, by id and hash of the text."""
+    return found.where("size(_items) > 0 or size(_spans) > 0").select(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_text"), "_spans", "_items").distinct()
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, hit words, items hit and the hash of their ids."""
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    every = list(blocks(benchmark, WINDOW_WORDS)) if benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= BROADCAST_BYTES else None
+    if _parts(benchmark, BROADCAST_BYTES)[1] > 1:
+        return digest_of(find_hits(spark, docs, benchmark))
+    block = next(blocks(benchmark, WINDOW_WORDS))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    if every is not None:
-        return docs.mapInArrow(_digest(Shared(spark, every[0])), schema)
-    return digest_of(find_hits(spark, docs, benchmark))
+    return docs.mapInArrow(_digest(Shared(spark, block)), schema)
 
 
 def digest_of(hits: DataFrame) -> DataFrame:
