@@ -66,6 +66,14 @@ def test_viterbi_matches_a_plain_one():
         assert value(path[first[d] : first[d + 1]].tolist()) == pytest.approx(best[0][0], abs=1e-3)
 
 
+def test_viterbi_with_many_languages():
+    import numpy as np
+
+    scores = np.full((4, 300), -50, np.float32)
+    scores[:2, 299] = scores[2:, 130] = 0
+    assert language_id.viterbi(scores, np.array([0, 4]), 2.0).tolist() == [299, 299, 130, 130]
+
+
 def test_no_training_rows(spark):
     empty = language_id.train(spark.createDataFrame([], "text string, lang string"))
     docs = spark.createDataFrame([(1, "word")], "doc_id long, text string")
@@ -147,6 +155,14 @@ def test_lines_of_malformed_pages():
     assert html_extract.lines(page) == [("m", gone), ("T", article), ("x", article), ("c", gone), ("y", article), ("f", gone)]
 
 
+def test_quotes_inside_tags():
+    free = html_extract.FREE
+    assert html_extract.lines("<p title=it's>A</p><p>don't</p>") == [("A", free), ("don't", free)]
+    assert html_extract.lines('<p title="a>b" lang=\'c>d\'>A</p><p x="open>B</p>') == [("A", free), ("B", free)]
+    assert html_extract.lines('<p data-id="nav">A</p><p id="nav">B</p>') == [("A", free)]
+    assert html_extract.lines("<p>A</p>B <p a='" + "<p a=" * 50_000) == [("A", free), ("B", free)]
+
+
 def test_markup_that_speaks_for_itself():
     text = lambda page: html_extract.main_text(html_extract.lines(page), None)
     assert text('<main><p>teaser</p><article class="post"><div class="post-header"><h1>T</h1></div><p>A</p><div class="notice">n</div></article></main>') == "T\nA"
