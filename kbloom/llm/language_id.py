@@ -28,7 +28,7 @@ SCRIPT_SHARE = 0.001
 #: A word's score, against its likeliest language, in one that doesn't use its script.
 NOT_A_CANDIDATE = -60.0
 MOST_LANGUAGES = 512
-#: Text decoded in one run of Viterbi steps.
+#: Text decoded in one run of Viterbi steps, for up to eight languages; less for more.
 GROUP_BYTES = 8 << 20
 
 # First code points of Unicode script ranges, in order; what lies
@@ -173,13 +173,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     n, begin = n[order], first[:-1][order]
-    path = np.zeros(len(scores), np.int8)
+    kind = np.int8 if scores.shape[1] <= 127 else np.int16
+    path = np.zeros(len(scores), kind)
     if len(scores) == 0:
         return path
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")
-    states = np.arange(scores.shape[1], dtype=np.int8)
+    states = np.arange(scores.shape[1], dtype=kind)
     value = scores[begin[: active[0]]].copy()
-    last = np.zeros(len(n), np.int8)
+    last = np.zeros(len(n), kind)
     back = [None] * int(n[0])
     for t in range(1, int(n[0])):
         k = int(active[t])
@@ -188,7 +189,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             value = value[:k]
         best = value.argmax(1)
         jump = value[np.arange(k), best] - penalty
-        back[t] = np.where(value < jump[:, None], best[:, None].astype(np.int8), states)
+        back[t] = np.where(value < jump[:, None], best[:, None].astype(kind), states)
         value = np.maximum(value, jump[:, None]) + scores[begin[:k] + t]
     last[: len(value)] = value.argmax(1)
     for t in range(int(n[0]) - 1, -1, -1):
@@ -223,7 +224,7 @@ def _label(shared: Shared, penalty: float, spans: bool):
         names = np.array([*model.langs, "und"], object)
         wide = len(model.langs)
         for batch in batches:
-            for lo, hi, data, offsets in _text.chunks(batch.column(0), GROUP_BYTES):
+            for lo, hi, data, offsets in _text.chunks(batch.column(0), GROUP_BYTES * 8 // max(8, wide)):
                 if wide == 0:
                     pred, share, runs = np.zeros(hi - lo, np.int64), np.zeros(hi - lo), [[] for _ in range(hi - lo)]
                 else:
