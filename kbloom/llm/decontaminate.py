@@ -3,9 +3,10 @@
 A benchmark item of ``WINDOW_WORDS`` words or more is its set of windows of so
 many consecutive words; a shorter item is one window.  The items are broadcast
 and each worker makes their hash set, in arrays of some thirty times the items'
-bytes (250 MB for a full block); executors scan every document's windows with rolling hashes and verify
-each candidate word for word.  A benchmark beyond ``BROADCAST_BYTES`` of text is
-broadcast in blocks, one after another, and their hits are merged.
+bytes (250 MB for a full block).  Executors scan every document's windows with
+rolling hashes and verify each candidate word for word.  A benchmark beyond
+``BROADCAST_BYTES`` of text is broadcast in blocks, one after another, and their
+hits are merged.
 """
 
 from __future__ import annotations
