@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbloom.llm import bpe, decontaminate, quality_rules, simhash_dedup, substring_dedup
+from kbloom.llm import bpe, decontaminate, near_copies, quality_rules, substring_dedup
 from kbloom.llm._io import Scratch, table
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash class."""
-    return simhash_dedup.keep_first(spark, docs)
+    """The document with the smallest id of each class of near-copies (5-word shingles, Jaccard 0.8)."""
+    return near_copies.keep_first(spark, docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
