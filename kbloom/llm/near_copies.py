@@ -130,11 +130,16 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").where(_reaches(most, F.col("n_a"), F.col("n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose sets are similar enough; only their documents' sets are made."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = scratch.save(docs.join(ends, "id", "left_semi").mapInArrow(_shingles(width), "id long, shingles array<long>"), f"{name}-sets")
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(a, "a").join(b, "b").where(_reaches(both, F.size("s_a"), F.size("s_b"))).select("a", "b").distinct()
+    found = pairs.join(a, "a").join(b, "b").where(_reaches(both, F.size("s_a"), F.size("s_b"))).select("a", "b").distinct()
+    found = scratch.save(found, name)
+    scratch.drop(f"{name}-sets")
+    return found
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -148,28 +153,32 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     docs = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     common = Shared(spark, _common(docs, width))
     held = scratch.save(docs.mapInArrow(_prefixes(width, common), "id long, digest long, n int, prefix array<long>"), "prefixes")
-    nodes = scratch.save(held.groupBy("n", "digest").agg(F.min("id").alias("node")), "nodes")
+    keys = scratch.save(held.select("id", "n", "digest"), "keys")
+    nodes = scratch.save(keys.groupBy("n", "digest").agg(F.min("id").alias("node")), "nodes")
     rows = held.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("at", "h"))
     entry = F.struct("n", "id", "at")
     buckets = scratch.save(rows.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("many > 1").drop("many"), "buckets")
     members = scratch.save(rows.join(buckets, "h"), "members")
+    scratch.drop("prefixes")
+    scratch.drop("buckets")
     stars = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.explode(F.array("low", "high")).alias("r"))
     stars = scratch.save(_possible(stars.select("a", "n_a", "at_a", F.col("r.id").alias("b"), F.col("r.n").alias("n_b"), F.col("r.at").alias("at_b"))), "stars")
-    involved = scratch.save(members.select("id").distinct(), "involved")
-    sets = scratch.save(docs.join(involved, "id", "left_semi").mapInArrow(_shingles(width), "id long, shingles array<long>"), "sets")
-    first = scratch.save(_verified(stars, sets), "first")
+    first = _verified(stars, docs, width, scratch, "first")
     found = components(first, scratch, "first-cc")
     named = members.select("h", "id", "n", "at").join(found, members.id == found.node, "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("c"))
     named = scratch.save(named, "named")
+    scratch.drop("members")
     open_ = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
     left = scratch.save(named.join(open_, "h", "left_semi"), "open")
+    scratch.drop("named")
     a, b = (left.select("h", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "c")]) for x in "ab")
-    pairs = scratch.save(_possible(a.join(b, "h").where("c_a < c_b")), "pairs")
-    second = scratch.save(_verified(pairs, sets), "second")
+    pairs = scratch.save(_possible(a.join(b, "h").where("c_a < c_b")).join(stars, ["a", "b"], "left_anti"), "pairs")
+    scratch.drop("open")
+    second = _verified(pairs, docs, width, scratch, "second")
     found = components(first.unionByName(second), scratch)
     named = nodes.join(found, nodes.node == found.node, "left").select("n", "digest", F.coalesce("component", nodes.node).alias("component_id"))
     named = scratch.save(named, "classes")
-    return held.select("id", "n", "digest").join(named, ["n", "digest"]).select(F.col("id").alias("doc_id"), "component_id")
+    return keys.join(named, ["n", "digest"]).select(F.col("id").alias("doc_id"), "component_id")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
