@@ -1,15 +1,24 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are sorted by host and URL path, so a page's neighbours in the order are
-the pages of its host with the nearest paths.  Both are parsed into text lines;
-the lines of a page and of its nearer neighbour are aligned by longest common
-subsequence, and shared lines are deleted as the site's furniture.
-
-Differencing alone can't give right results: furniture that varies from page to
-page isn't shared, and copied articles are.  So markup has the first word where
-it speaks: lines inside an article, or else a main element, and outside furniture
-elements stay even if shared, lines inside furniture elements go even if not.
-Differencing decides the rest, which is all lines of pages without such markup.
+Pages of a host are put in order of URL path and each is paired with the nearest
+pages before and after it.  The text lines of a pair are aligned by longest
+common subsequence; lines that a page shares with its nearer neighbour are the
+site's furniture and are deleted.  Markup then settles what differencing leaves
+open.  Furniture that varies from page to page isn't shared: lines in furniture
+elements go, and so do lines beside an article or main element.  Articles share
+lines too (they quote, repeat and copy each other): inside an article or main
+element a shared line goes only if all its text is a link.
+
+Copies of a page share every line with it, so they are no neighbours of each
+other: pages of a host with the same longest line are one story, a story stands
+at the smallest of its paths, and neighbours are the stories before and after.
+A neighbour that shares four fifths of a page's lines nevertheless is a copy
+with a changed passage, and the other neighbour takes its place.
+
+Pages are parsed where they are read.  What is sorted are line hashes: ranges of
+host and path are written, each range gets the last story of the range before
+and the first of the range after, and neighbours are found range by range, so the
+result doesn't depend on the partitioning and a host of any size is spread.
 """
 
 from __future__ import annotations
@@ -18,12 +27,14 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kbloom.llm._io import small_batches, table
+from kbloom.llm._io import Scratch, shielded, table
 
 # Elements by what they mean for the text around them.
 RAW = ["script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "button", "datalist"]
@@ -35,34 +46,54 @@ BLOCKS = [
     "tr", "ul",
 ]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
-#: Words of class, id and role attributes that mark furniture.
+#: Words of class, id and role attributes that mark furniture and all inside it.
 FURNITURE_WORDS = [
-    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent",
-    "gdpr", "notice", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer",
-    "header", "comments", "comment", "disqus", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe",
-    "signup", "popup", "modal", "overlay", "widget", "pagination", "pager", "skip", "contentinfo", "complementary", "search",
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr",
+    "comments", "comment", "disqus", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "signup",
+    "popup", "breadcrumb", "breadcrumbs", "pagination", "pager",
 ]
+#: Words that mark furniture unless an article or main element stands inside: layouts are named by them too.
+LAYOUT_WORDS = [
+    "banner", "notice", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "masthead", "footer", "header", "modal", "overlay",
+    "widget", "skip", "contentinfo", "complementary", "search",
+]
+#: A name that begins so says what an element has or lacks, not what it is.
+MODIFIERS = ["with", "without", "no", "not", "non", "has", "hide", "show"]
 
-_RAW, _FURNITURE, _BLOCKS, _VOID, _WORDS = map(frozenset, (RAW, FURNITURE, BLOCKS, VOID, FURNITURE_WORDS))
+_RAW, _FURNITURE, _BLOCKS, _VOID, _WORDS, _LAYOUT, _MODIFIERS = map(frozenset, (RAW, FURNITURE, BLOCKS, VOID, FURNITURE_WORDS, LAYOUT_WORDS, MODIFIERS))
 #: Comments, declarations and tags; a quote opens a value only after an equals sign.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ROLE_MAIN = re.compile(r"""(?<![\w-])role\s*=\s*["']?main\b""", re.I)
 _SPACE = re.compile(r"\s+")
 
-FREE, ARTICLE, GONE, MAIN = 0, 1, 2, 3
+#: States of a line; DOUBT is gone too, but an article or main element inside it is not.
+FREE, ARTICLE, GONE, MAIN, DOUBT = 0, 1, 2, 3, 4
+#: Added to the state of a line in an article or main element whose text is all in links.
+LINKED = 8
 #: Words that mark furniture of a page but not of an article.
 _PAGE_ONLY = frozenset({"header", "banner", "masthead", "search", "skip"})
-
-
-def _marked(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role name furniture; inside an article fewer words do."""
-    words = _WORDS - _PAGE_ONLY if inside else _WORDS
-    return any(not words.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())) for m in _NAMED.finditer(attributes))
+#: A neighbour that shares so large a part of a page's lines is a copy of it.
+COPY = (4, 5)
+
+
+def _marked(attributes: str, inside: bool) -> int:
+    """GONE, DOUBT or FREE by the names in class, id and role; inside an article fewer words do."""
+    out = FREE
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
+            if not words or words[0] in _MODIFIERS:
+                continue
+            if not _WORDS.isdisjoint(words):
+                return GONE
+            if not (_LAYOUT - _PAGE_ONLY if inside else _LAYOUT).isdisjoint(words):
+                out = DOUBT
+    return out
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
-    """The text blocks of a page in order, each FREE, ARTICLE, MAIN or GONE.
+    """The text blocks of a page in order, each with its state.
 
     Unclosed elements reach to the end of what encloses them; an end tag without
     a start is ignored; text of raw elements and comments is no line.  A script,
@@ -74,14 +105,17 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open containers, and the state outside each
     state, at, end = FREE, 0, len(page)
+    link, plain = False, False  # inside a link; text of this line outside links
     unclosed: set[str] = set()  # names without an end tag in the rest of the page
 
     def flush() -> None:
+        nonlocal plain
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append((line, state))
+                out.append((line, state + LINKED * (state in (ARTICLE, MAIN) and not plain)))
             text.clear()
+        plain = False
 
     def closing(name: str, other: str = ""):
         if name in unclosed:
@@ -93,15 +127,19 @@ def lines(page: str | None) -> list[tuple[str, int]]:
 
     while at < end:
         m = _TOKEN.search(page, at)
+        stop = m.start() if m else end
+        if stop > at:
+            text.append(page[at:stop])
+            plain = plain or not (link or text[-1].isspace())
         if m is None:
-            text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
+        if name == "a":
+            link = not m[1]
+            continue
         if m[1]:
             if name in _BLOCKS:
                 flush()
@@ -129,18 +167,20 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         inside = state in (ARTICLE, MAIN)
         main = name == "main" or _ROLE_MAIN.search(m[3]) is not None
         if name in ("html", "body") or main:
-            furniture = False
+            furniture = FREE
         elif name == "article":
-            furniture = _comments(m[3])
+            furniture = GONE if _comments(m[3]) else FREE
+        elif name in _FURNITURE and not (name == "header" and state == ARTICLE):
+            furniture = GONE
         else:
-            furniture = name in _FURNITURE and not (name == "header" and state == ARTICLE) or _marked(m[3], inside)
+            furniture = _marked(m[3], inside)
         if name in _BLOCKS and name not in ("p", "li", "dd", "dt", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
             stack.append((name, state))
-            if furniture:
-                state = GONE
+            if furniture == GONE or furniture == DOUBT and state != GONE:
+                state = furniture
             elif name == "article" and state != GONE:
                 state = ARTICLE
-            elif main and state == FREE:
+            elif main and state in (FREE, DOUBT):
                 state = MAIN
         elif furniture:
             # a furniture paragraph, item or span: to its own end tag
@@ -201,20 +241,6 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[str, int]], near: list[str] | None) -> str:
-    """The kept lines of a page, given the lines of its neighbour."""
-    for speaks in (ARTICLE, MAIN):
-        if any(s == speaks for _, s in own):
-            return "\n".join(t for t, s in own if s == speaks)
-    free = [t for t, s in own if s == FREE]
-    if near is None:
-        return "\n".join(free)
-    gone = shared(free, near)
-    kept = [t for i, t in enumerate(free) if i not in gone]
-    # a page that its neighbour copies whole has nothing of its own to keep
-    return "\n".join(kept if kept else free)
-
-
 def _nearness(a: str, b: str) -> int:
     """Length of the common prefix of two paths."""
     n = min(len(a), len(b))
@@ -224,42 +250,92 @@ def _nearness(a: str, b: str) -> int:
     return k
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in host and path order: each page with its neighbours before and after."""
-
-    def rows():
-        for batch in batches:
-            hosts, paths, pages = batch.column(0), batch.column(1), batch.column(2)
-            for i in range(batch.num_rows):
-                parsed = lines(pages[i].as_py())
-                yield hosts[i].as_py(), paths[i].as_py(), parsed, [t for t, s in parsed if s == FREE], batch.slice(i, 1)
-
-    def texts():
-        before, here = None, None
-        for after in rows():
-            if here is not None:
-                yield here, before, after
-            before, here = here, after
-        if here is not None:
-            yield here, before, None
-
-    held, out, size = [], [], 0
-
-    def batch_of():
-        whole = pa.Table.from_batches([x[4] for x in held]).combine_chunks().to_batches()[0]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *whole.columns[3:]], ["text", *whole.schema.names[3:]])
-
-    for here, before, after in texts():
-        beside = [x for x in (before, after) if x is not None and x[0] == here[0]]
-        near = max(beside, key=lambda x: _nearness(x[1], here[1]), default=None)
-        out.append(main_text(here[2], near[3] if near else None))
-        held.append(here)
-        size += len(out[-1])
-        if size > 1 << 21 or len(held) >= 2000:
-            yield batch_of()
-            held, out, size = [], [], 0
-    if held:
-        yield batch_of()
+def kept(own: list, states: list[int], path: str, beside: list[tuple[str, list]]) -> list[bool]:
+    """Which lines of a page stay, given its neighbours as (path, lines).
+
+    ``own`` and the neighbours' lines are texts or hashes of them, in order.
+    The neighbour with the longer common path prefix is the nearer one, the
+    earlier if equal.
+    """
+    lively = [i for i, s in enumerate(states) if s not in (GONE, DOUBT)]
+    live, gone = [own[i] for i in lively], set()
+    for _, other in sorted(beside, key=lambda x: -_nearness(x[0], path)):
+        both = shared(live, other)
+        if COPY[1] * len(both) < COPY[0] * len(live):
+            gone = {lively[i] for i in both}
+            break
+    speaks = next((s for s in (ARTICLE, MAIN) if s in states or s + LINKED in states), FREE)
+    inside = [i for i in lively if states[i] in (speaks, speaks + LINKED)]
+    if speaks != FREE:
+        gone = {i for i in gone if states[i] == speaks + LINKED}
+    # a page of nothing but shared lines keeps them
+    stay = [i for i in inside if i not in gone] or inside
+    out = [False] * len(own)
+    for i in stay:
+        out[i] = True
+    return out
+
+
+def main_text(own: list[tuple[str, int]], path: str = "", beside: list[tuple[str, list[str]]] = ()) -> str:
+    """The kept lines of a parsed page, given its neighbours as (path, lines)."""
+    stay = kept([t for t, _ in own], [s for _, s in own], path, list(beside))
+    return "\n".join(t for (t, _), k in zip(own, stay, strict=True) if k)
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, path and digest of each page, its line hashes and states, and its story."""
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        hashes, states, stories = [], [], []
+        for page in batch.column(3):
+            parsed = lines(page.as_py())
+            lively = [t for t, s in parsed if s not in (GONE, DOUBT)]
+            hashes.append(np.array([digest(t) for t, _ in parsed], np.uint64).view(np.int64))
+            states.append(np.array([s for _, s in parsed], np.int8))
+            stories.append(digest(max(lively, key=len, default="")))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(np.array(stories, np.uint64).view(np.int64)), pa.array(hashes, pa.list_(pa.int64())), pa.array(states, pa.list_(pa.int8()))],
+            ["host", "path", "page", "story", "hashes", "states"],
+        )
+
+
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which lines of each page stay, from its neighbours' line hashes."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            beside = [(x["path"], x["live"]) for x in (r["before"], r["after"]) if x is not None]
+            out.append(kept(r["hashes"], r["states"], r["path"], beside))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], ["host", "page", "keep"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [[t for t, _ in lines(page.as_py())] for page in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), *batch.columns[1:]], ["_lines", *batch.schema.names[1:]])
+
+
+def _neighbours(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, story, before, after): the stories next to each one, with their lines.
+
+    Ranges are written, so their numbers hold if an executor is lost.  A range's
+    first and last story go to the ranges beside it; they are one row a range.
+    """
+    live = F.transform(F.filter(F.arrays_zip("hashes", "states"), lambda x: ~x["states"].isin(GONE, DOUBT)), lambda x: x["hashes"])
+    first = F.min_by(F.struct("path", live.alias("live")), F.struct("path", "page"))
+    stories = pages.groupBy("host", "story").agg(first.alias("at")).select("host", "at.path", "story", "at")
+    order = ["host", "path", "story"]
+    ranges = scratch.save(stories.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    key = F.struct(*order)
+    ends = ranges.groupBy("range").agg(F.min_by(F.struct(*order, "at"), key).alias("low"), F.max_by(F.struct(*order, "at"), key).alias("high"))
+    # one row for each range: the ranges beside it, past empty ones
+    beside = Window.orderBy("range")
+    ends = ends.select("range", "low", "high", F.lead("range").over(beside).alias("next"), F.lag("range").over(beside).alias("last"))
+    halo = ends.select(F.col("next").alias("range"), "high.*").unionByName(ends.select(F.col("last").alias("range"), "low.*")).where("range is not null")
+    rows = ranges.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
+    near = Window.partitionBy("range").orderBy(*order)
+    same = lambda step: F.when(step("host").over(near) == F.col("host"), step("at").over(near))
+    return rows.select("host", "story", "own", same(F.lag).alias("before"), same(F.lead).alias("after")).where("own").drop("own")
 
 
 def extract(pages: DataFrame, others: list[str]) -> DataFrame:
@@ -267,19 +343,37 @@ def extract(pages: DataFrame, others: list[str]) -> DataFrame:
 
     ``pages`` holds url and html.  A null or empty html gives an empty text; a
     page whose URL is null or has no host is compared with others like it.  Of
-    two neighbours the one with the longer common path prefix is used, the
-    earlier one if equal.  The order is dealt in ranges of host and path, so a
-    host of any size is spread; the first and last page of a range have one
-    neighbour.  Repeated rows are neighbours of each other.
+    two neighbours the one with the longer common path prefix is the nearer, the
+    earlier one if equal.  Repeated rows and copies get the same text.  A column
+    of ``others`` that is itself called text is ``_kept_text``.
     """
-    small_batches(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession, "html")
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1)).alias("_host")
     path = F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1).alias("_path")
-    keyed = pages.select(host, path, F.col("html").alias("_html"), *others)
-    dealt = keyed.repartitionByRange("_host", "_path", F.xxhash64(*others)).sortWithinPartitions("_host", "_path", *others)
-    schema = StructType([*StructType.fromDDL("text string").fields, *(pages.schema[c] for c in others)])
-    return dealt.mapInArrow(_extract, schema)
+    source = F.coalesce("html", F.lit(""))
+    digest = F.unhex(F.md5(source)).alias("_page")
+    read = pages.select(host, path, digest, source.alias("_html"))
+    outlines = scratch.save(read.mapInArrow(_outlines, "host string, path string, page binary, story long, hashes array<long>, states array<tinyint>"), "outlines")
+    # copies of a page are one, at the smallest of their paths
+    first = F.min_by(F.struct("path", "story", "hashes", "states"), "path").alias("p")
+    distinct = scratch.save(outlines.groupBy("host", "page").agg(first).select("host", "page", "p.*"), "pages")
+    scratch.drop("outlines")
+    beside = scratch.save(_neighbours(distinct, scratch), "neighbours")
+    pairs = distinct.join(beside, ["host", "story"]).select("host", "page", "path", "hashes", "states", "before", "after")
+    flags = scratch.save(pairs.mapInArrow(_flags, "host string, page binary, keep array<boolean>"), "flags")
+    for name in ("pages", "ranges", "neighbours"):
+        scratch.drop(name)
+    # a column of pages may have any name; those that clash with the join's are renamed
+    held, _ = shielded(pages.select(*others), "text", "_lines", "_host", "_page", "_html", "host", "page", "keep")
+    names = dict(zip(others, held.columns, strict=True))
+    rows = pages.select(source.alias("_html"), host, digest, *[F.col(c).alias(names[c]) for c in others])
+    schema = StructType([*StructType.fromDDL("_lines array<string>, _host string, _page binary").fields, *held.schema.fields])
+    parsed = rows.mapInArrow(_parsed, schema)
+    joined = parsed.join(flags.select(F.col("host").alias("_host"), F.col("page").alias("_page"), "keep"), ["_host", "_page"])
+    text = F.array_join(F.filter("_lines", lambda x, i: F.get("keep", i)), "\n").alias("text")
+    back = {new: old for old, new in names.items() if old.lower() != "text"}
+    return joined.select(text, *held.columns).withColumnsRenamed(back)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def test_quotes_inside_tags():
 
 
 def test_markup_that_speaks_for_itself():
-    text = lambda page: html_extract.main_text(html_extract.lines(page), None)
+    text = lambda page: html_extract.main_text(html_extract.lines(page))
     assert text('<main><p>teaser</p><article class="post"><div class="post-header"><h1>T</h1></div><p>A</p><div class="notice">n</div></article></main>') == "T\nA"
     assert text('<div role="main"><p>A<form>f</form><p>B</div><p>outside') == "A\nB"
     assert text("<p>A<button>b<p>B &lt;i&gt; &eacute;&nbsp;x") == "A b\nB <i> é x"
@@ -190,18 +190,6 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(found) == length(a, b) and all(any(a[i] == y for y in rest) for i in found)
 
 
-def test_differencing_deletes_furniture_of_neighbours(spark):
-    def page(k):
-        return f"<body><div><p>Site name</p><p>Home</p></div><div><p>Story {k} is here</p><p>More of {k}</p></div><div><p>All rights reserved</p></div></body>"
-
-    pages = [(k, f"https://h{k % 2}.example/a/{k}", page(k), "t") for k in range(8)] + [(8, None, None, "t"), (9, "https://h9.example/", page(9), "t"), (10, "https://h9.example/x", "", "t")]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string, path string"), ["page_id", "url"]).coalesce(1).collect()}
-    for k in range(8):
-        assert got[k].startswith(f"Story {k} is here\nMore of {k}") or "Site name" in got[k]
-    assert sum("Site name" not in got[k] for k in range(8)) >= 6
-    assert got[8] == "" and got[10] == "" and got[9].startswith("Site name")
-
-
 # --- urls ---
 
 
