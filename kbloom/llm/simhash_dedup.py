@@ -8,10 +8,16 @@ four differ by one bit at most, and all five by two.  The two equal segments
 are the key of an index with five rotations; the longer chains prune candidates
 before the full Hamming check.
 
-A bucket of more than ``PAIR_BUCKET`` distinct fingerprints is not paired: its
-fingerprints are spread to the 65 values within one bit, and any two within two
-bits meet in one of those.  At most 65 fingerprints can meet in a value, so no
-group grows with the input.
+A bucket of more than ``PAIR_BUCKET`` distinct fingerprints is refined along the
+ring by the chain's next budgets: the third segment joins the key, and since one
+bit may differ in it one side is looked up under its 14 values within one bit;
+buckets that are still crowded take in the fourth segment under what is left of
+that bit.  A bucket of 52 bits that is crowded even then holds fingerprints that
+differ in a few bits alone; those meet under the 39 values within one bit of
+their last three segments, at most 39 to a value, and are linked to the least.
+
+Components run over fingerprints and get their names at the end, so rows that
+repeat a doc_id with another text are told apart.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbloom.llm import _text
@@ -43,7 +49,7 @@ def _signed(x: int) -> int:
 MASKS = [((1 << min(64, 13 * (i + 1))) - 1) & ~((1 << 13 * i) - 1) for i in range(SEGMENTS)]
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, marked: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
@@ -69,7 +75,8 @@ def _fingerprints(width: int):
                     sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
                     over = 2 * sums > shingles[full][:, None]
                     out[full] = np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out)], ["doc_id", "fp"])
+                held = [batch.column(0).slice(lo, hi - lo), pa.array(out)] + [batch.column(2).slice(lo, hi - lo)] * marked
+                yield pa.RecordBatch.from_arrays(held, ["doc_id", "fp", "mark"][: len(held)])
 
     return run
 
@@ -79,42 +86,88 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
-def links(nodes: DataFrame, scratch: Scratch, most: int = PAIR_BUCKET) -> DataFrame:
-    """Edges (a, b) between the ids of ``nodes(fp, id)`` that connect all links."""
-    ring = F.array(*[F.struct(F.lit(i).alias("turn"), F.col("fp").bitwiseAND(F.lit(_signed(MASKS[i] | MASKS[(i + 1) % SEGMENTS]))).alias("key")) for i in range(SEGMENTS)])
-    spread = nodes.select("fp", "id", F.explode(ring).alias("r")).select("fp", "id", "r.turn", "r.key")
-    crowded = scratch.save(spread.groupBy("turn", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    held = scratch.save(spread.join(crowded, ["turn", "key"]), "members")
-    small = held.where(F.col("n") <= most)
-    a, b = (small.select("turn", "key", F.col("fp").alias(f"fp_{x}"), F.col("id").alias(x)) for x in "ab")
-    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    chain = F.lit(False)
-    for i in range(SEGMENTS):
-        third, fourth = MASKS[(i + 2) % SEGMENTS], MASKS[(i + 2) % SEGMENTS] | MASKS[(i + 3) % SEGMENTS]
-        viable = (F.bit_count(differ.bitwiseAND(F.lit(_signed(third)))) <= 3 * MOST_BITS // SEGMENTS) & (F.bit_count(differ.bitwiseAND(F.lit(_signed(fourth)))) <= 4 * MOST_BITS // SEGMENTS)
-        chain = chain | ((F.col("turn") == i) & viable)
-    pairs = a.join(b, ["turn", "key"]).where("a < b").where(chain).where(F.bit_count(differ) <= MOST_BITS).select("a", "b")
-    large = held.where(F.col("n") > most).select("fp", "id").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
-    met = large.select("id", F.explode(flips).alias("near")).groupBy("near").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")
-    stars = met.select(F.explode("ids").alias("a"), F.array_min("ids").alias("b")).where("a <> b")
-    return pairs.unionByName(stars)
+def _masked(fp: Column, *segments: int) -> Column:
+    """The bits of the ring's given segments."""
+    mask = 0
+    for i in segments:
+        mask |= MASKS[i % SEGMENTS]
+    return fp.bitwiseAND(F.lit(_signed(mask)))
+
+
+def _by_turn(turn: Column, value) -> Column:
+    """value(i) for each row's turn i."""
+    out = F.when(turn == 0, value(0))
+    for i in range(1, SEGMENTS):
+        out = out.when(turn == i, value(i))
+    return out
+
+
+def _flips(c: Column, *segments: int) -> Column:
+    """c and its values with one bit of the given segments changed."""
+    bits = [k for k in range(64) if any(MASKS[i % SEGMENTS] >> k & 1 for i in segments)]
+    return F.array(c, *[c.bitwiseXOR(F.lit(_signed(1 << k))) for k in bits])
+
+
+def links(fps: DataFrame, scratch: Scratch, most: int = PAIR_BUCKET) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints ``fps(fp)`` that connect all links."""
+    turn, fp = F.col("turn"), F.col("fp")
+    ring = F.array(*[F.struct(F.lit(i).alias("turn"), _masked(fp, i, i + 1).alias("key")) for i in range(SEGMENTS)])
+    spread = fps.select("fp", F.explode(ring).alias("r")).select("fp", "r.turn", "r.key")
+    sizes = scratch.save(spread.groupBy("turn", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    held = scratch.save(spread.join(sizes, ["turn", "key"]), "members")
+    small, rest = held.where(F.col("n") <= most), held.where(F.col("n") > most).drop("n")
+    out = _pairs(small, small)
+    # looked is one side of the pairs, under its own bits; sought is the other, under all values its budget allows
+    third = rest.withColumn("bits", _by_turn(turn, lambda i: F.transform(_flips(_masked(fp, i + 2), i + 2), lambda x: F.struct(x.alias("part"), (x != _masked(fp, i + 2)).alias("spent")))))
+    sought = third.select("fp", "turn", "key", F.explode("bits").alias("v")).select("fp", "turn", F.col("key").bitwiseOR(F.col("v.part")).alias("key"), "v.spent")
+    looked = rest.select("fp", "turn", F.col("key").bitwiseOR(_by_turn(turn, lambda i: _masked(fp, i + 2))).alias("key"))
+    for level in (3, 4):
+        looked, sought = scratch.save(looked, f"looked-{level}"), scratch.save(sought, f"sought-{level}")
+        crowded = scratch.save(looked.groupBy("turn", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).drop("n"), f"crowded-{level}")
+        out = out.unionByName(_pairs(looked.join(crowded, ["turn", "key"], "left_anti"), sought))
+        looked, sought = looked.join(crowded, ["turn", "key"]), sought.join(crowded, ["turn", "key"])
+        if level == 3:
+            fourth = _by_turn(turn, lambda i: F.when(F.col("spent"), F.array(_masked(fp, i + 3))).otherwise(_flips(_masked(fp, i + 3), i + 3)))
+            sought = sought.select("fp", "turn", F.col("key"), F.explode(fourth).alias("part"), F.col("spent")).select("fp", "turn", F.col("key").bitwiseOR(F.col("part")).alias("key"), "spent")
+            looked = looked.select("fp", "turn", F.col("key").bitwiseOR(_by_turn(turn, lambda i: _masked(fp, i + 3))).alias("key"))
+    dense = looked.select("turn", "fp").unionByName(sought.select("turn", "fp")).distinct()
+    met = dense.select("fp", F.explode(_by_turn(turn, lambda i: _flips(fp, i + 2, i + 3, i + 4))).alias("near")).groupBy("near").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
+    stars = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
+    return out.unionByName(stars)
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Edges between members of a bucket: chain budgets first, then the Hamming check."""
+    a, b = (df.select("turn", "key", F.col("fp").alias(x)) for df, x in ((left, "a"), (right, "b")))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    within = lambda i, n: F.bit_count(_masked(differ, *range(i + 2, i + n))) <= n * MOST_BITS // SEGMENTS
+    viable = _by_turn(F.col("turn"), lambda i: within(i, 3) & within(i, 4))
+    same = ["turn", "key"]
+    return a.join(b, same).where("a <> b").where(viable).where(F.bit_count(differ) <= MOST_BITS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
-    Rows with equal fingerprints are one node, named by its smallest doc_id, so
-    exact copies cost one row; null texts and texts without a word share the
-    fingerprint zero.  Rows without a doc_id take their node's component and
-    are never its name; the component is null if no row of the node has an id.
+    Rows with equal fingerprints are one node, so exact copies cost one row; null
+    texts and texts without a word share the fingerprint zero.  The component_id
+    is the smallest doc_id of the component.  Rows link by fingerprint alone: two
+    texts of one doc_id don't link by that id.  Rows without a doc_id take part
+    and are never a component's name, which is null if no row of it has an id.
     """
+    return _classes(spark, docs.select("doc_id", "text", F.lit(None).cast("long").alias("mark")), width).select("doc_id", "fp", "component_id")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, width: int) -> DataFrame:
+    """`classes` of ``docs(doc_id, text, mark)`` with the column mark passed on."""
     scratch = Scratch(spark, "simhash")
-    fps = scratch.save(fingerprints(docs, width), "fingerprints")
-    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
-    found = components(links(nodes, scratch), scratch)
-    named = scratch.save(nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    fps = scratch.save(docs.mapInArrow(_fingerprints(width, True), "doc_id long, fp long, mark long"), "fingerprints")
+    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    found = components(links(nodes.select("fp"), scratch), scratch)
+    placed = scratch.save(nodes.join(found, nodes.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("c")), "placed")
+    names = placed.groupBy("c").agg(F.min("id").alias("component_id"))
+    named = scratch.save(placed.join(names, "c").select("fp", "component_id"), "classes")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "mark")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +179,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with only the smallest doc_id of each near-duplicate class.
 
-    Rows that repeat that doc_id, and rows without a doc_id, stay.
+    Rows are judged text by text: of a doc_id with several texts those go whose
+    class has a smaller id.  Rows that repeat the smallest doc_id, and rows
+    without a doc_id, stay.
     """
-    gone = classes(spark, docs.select("doc_id", "text"), width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    mark = F.xxhash64("text")
+    found = _classes(spark, docs.select("doc_id", "text", mark.alias("mark")), width)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (docs.doc_id == F.col("_id")) & (F.xxhash64(docs.text) == F.col("_mark")), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -133,13 +133,49 @@ def test_links_of_dense_groups(spark, most):
             fps.add(x)
     fps |= {1 << k for k in range(20)} | {0, (1 << 64) - 1}
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, id long")
+    nodes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     scratch = Scratch(spark, "t")
     edges = simhash_dedup.links(nodes, scratch, most)
     for e in edges.collect():
-        assert (fps[e.a] ^ fps[e.b]).bit_count() <= 2 or most == 0 or len(fps) > most
+        assert (e.a ^ e.b if e.a ^ e.b >= 0 else (e.a ^ e.b) + (1 << 64)).bit_count() <= 2
     got = {x.node: x.component for x in components(edges, scratch).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == linked(fps)
+    place = {signed(f): i for i, f in enumerate(fps)}
+    named = {}
+    for f in fps:
+        named.setdefault(got.get(signed(f), signed(f)), []).append(place[signed(f)])
+    root = {i: min(v) for v in named.values() for i in v}
+    assert [root[i] for i in range(len(fps))] == linked(fps)
+
+
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def test_a_crowd_within_few_bits_is_refined_to_the_end(spark):
+    """Thousands of fingerprints around one value: every level of the ring is crowded."""
+    r = random.Random(6)
+    base = r.getrandbits(64)
+    fps = {base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)} | {base ^ sum(1 << k for k in r.sample(range(64), 6)) for _ in range(50)}
+    nodes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    scratch = Scratch(spark, "t")
+    edges = simhash_dedup.links(nodes, scratch, 4).collect()
+    assert len(edges) < 300 * len(fps)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    ball = [f for f in fps if (f ^ base).bit_count() == 2]
+    assert len({got[signed(f)] for f in ball}) == 1
+    assert all(signed(f) not in got or any((f ^ g).bit_count() <= 2 for g in fps if g != f) for f in fps)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "other words stand here now"
+    texts = [(5, a), (9, a), (5, b), (8, b), (3, c), (3, b + " more")]
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup.classes(spark, spark.createDataFrame(rows(texts), DOCS)).collect()}
+    fp = {t: signed(fingerprint(t)) for _, t in texts}
+    assert got == {(5, fp[a]): 5, (9, fp[a]): 5, (5, fp[b]): 5, (8, fp[b]): 5, (3, fp[c]): 3, (3, fp[b + " more"]): 3}
+    more = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup.classes(spark, spark.createDataFrame(rows([*texts, (4, b)]), DOCS)).collect()}
+    assert more[9, fp[a]] == 5 and more[8, fp[b]] == more[5, fp[b]] == 4
+    kept = simhash_dedup.keep_first(spark, spark.createDataFrame(rows([*texts, (4, b)]), DOCS))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (4, b), (3, c), (3, b + " more")])
 
 
 def test_keep_first_leaves_one_of_each_class(spark):
