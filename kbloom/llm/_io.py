@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -39,9 +40,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+#: Seconds between two runs of the driver's collector.
+COLLECT_S = 3
+
+
 class Scratch:
     """Parquet tables of one operator call, in a folder of its own."""
 
+    collected = 0.0
+
     def __init__(self, spark: SparkSession, tag: str):
         small_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -50,11 +57,13 @@ class Scratch:
         """Write df and read it back; later plans start from the files.
 
         The plan that made the table is garbage then, and so are its shuffle
-        files: the driver's collector is asked to run, which lets Spark's
-        cleaner delete them now instead of when the driver's heap is full.
+        files: the driver's collector is asked to run every few seconds, which
+        lets Spark's cleaner delete them now instead of when the heap is full.
         """
         df.write.mode("error").parquet(f"{self.base}/{name}")
-        self.spark._jvm.System.gc()
+        if time.monotonic() - Scratch.collected > COLLECT_S:
+            self.spark._jvm.System.gc()
+            Scratch.collected = time.monotonic()
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str) -> None:

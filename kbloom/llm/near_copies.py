@@ -1,18 +1,25 @@
-"""Near-copies by exact Jaccard similarity of word shingles.
+"""Near-copies: SimHash candidates, completed to exact Jaccard similarity.
 
 Two texts are near-copies if their sets of 5-word shingles have a Jaccard
 similarity of ``LEAST`` = 4/5 at least; classes are the connected components.
-A SimHash radius that reaches every such pair would be about a third of its 64
-bits, which no segment index prunes, so candidates come from prefix filtering
-and none is missed: under any common order of shingles, sets of that similarity
-share one among the first n - ceil(4n/5) + 1 of each.
+SimHash with its pigeonring index (`simhash_dedup`) brings the pairs within two
+bits of the fingerprints of the same shingles.  Most pairs of similarity 0.8 lie
+farther apart, about ten bits and up to a third of the 64, which no segment
+index prunes, so candidates are completed by prefix filtering and none is missed:
+under any common order of shingles, sets of that similarity share one among the
+first n - ceil(4n/5) + 1 of each.  Every candidate is checked on the whole sets.
 
 The order puts shingles that are common in a sample of the documents last, so
 that running lines seldom lie in a prefix; the sample changes the work and
-never the result.  Members of a bucket are compared with its smallest and its
-largest first; what is then in one component needs no further comparison, so a
-group of copies costs one comparison a member and not one a pair.  Members of a
-bucket in different components are compared pair by pair.
+never the result.  A bitmap of fixed size, of the prefix shingles that occur
+twice, leaves out most of the others before they are shuffled; what it lets
+through wrongly is a bucket of one.
+
+The first round compares the SimHash pairs, and each document with the smallest
+or largest member of its buckets that promises most.  The second round compares
+it with the rest of these, the third members of a bucket pair by pair; a round
+takes only pairs that the rounds before left in different components, so a group
+of copies costs about one comparison a member and not one a pair.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbloom.llm import _text
+from kbloom.llm import _text, simhash_dedup
 from kbloom.llm._graph import components
 from kbloom.llm._io import Scratch, Shared
 
@@ -34,6 +41,8 @@ SHINGLE_WORDS = 5
 LEAST = (4, 5)
 #: One document in so many is sampled; a shingle in one of ``COMMON`` sampled documents is common.
 SAMPLE, COMMON = 64, 1000
+#: Bits of the bitmap of repeated shingles; its 32 MB are the same for any input.
+BITMAP_BITS = 1 << 28
 
 
 def _sets(batch: pa.RecordBatch, width: int):
@@ -52,15 +61,66 @@ def _sets(batch: pa.RecordBatch, width: int):
 
 
 def _shingles(width: int):
+    """All shingles of the sampled texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, h in _sets(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    return run
+
+
+def _similar(width: int):
+    """The pairs (a, b, text_a, text_b) whose sets are similar enough."""
+    num, den = LEAST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (_sets(pa.RecordBatch.from_arrays([batch.column(0), batch.column(k)], ["id", "text"]), width) for k in (2, 3))
+            keep = []
+            for (_, x), (_, y) in zip(*both, strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common * (num + den) >= (len(x) + len(y)) * num)
+            found = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["a", "b"])
+
+    return run
+
+
+def _repeated(bitmap: Shared):
+    """(id, n, at, h) of the prefix shingles that the bitmap has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bitmap.once(_bits)
         for batch in batches:
-            for part in _parts((k, h, None) for k, h in _sets(batch, width)):
-                rows, held, _ = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _lists(held)], ["id", "shingles"])
+            lists = batch.column(2)
+            h = np.asarray(lists.flatten())
+            each = np.diff(np.asarray(lists.offsets))
+            own = np.repeat(np.arange(batch.num_rows), each)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(each) - each, each)
+            place = h & (BITMAP_BITS - 1)
+            i = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[i])), batch.column(1).take(pa.array(own[i])), pa.array(at[i].astype(np.int32)), pa.array(h[i])], ["id", "n", "at", "h"])
 
     return run
 
 
+def _bits(parts: list[tuple[int, bytes]]) -> np.ndarray:
+    out = np.zeros(BITMAP_BITS >> 3, np.uint8)
+    for k, part in parts:
+        out[k * len(part) : (k + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _bitmap(spark: SparkSession, hashes: DataFrame) -> Shared:
+    """Which low bits of ``hashes(h)`` occur; at most BITMAP_BITS / 8 bytes reach the driver."""
+    low = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    # bucket numbers count from one, bit positions from zero
+    parts = hashes.groupBy(F.floor(low / 32768).alias("k")).agg(F.bitmap_construct_agg(F.pmod(low, F.lit(32768))).alias("bits"))
+    return Shared(spark, [(int(r.k), bytes(r.bits)) for r in parts.toLocalIterator()])
+
+
 def _prefixes(width: int, common: Shared):
     num, den = LEAST
 
@@ -109,7 +169,7 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of common shingles and their places, rarest first."""
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
     least = max(2, sample.count() // COMMON)
-    each = sample.mapInArrow(_shingles(width), "id long, shingles array<long>").select(F.explode("shingles").alias("h"))
+    each = sample.mapInArrow(_shingles(width), "h long")
     rows = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
     h, n = (rows.column(c).to_numpy() for c in ("h", "n"))
     h = h.view(np.uint64)
@@ -131,23 +191,42 @@ def _possible(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose sets are similar enough; only their documents' sets are made."""
+    """The pairs (a, b) whose sets are similar enough; only their texts are moved."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(docs.join(ends, "id", "left_semi").mapInArrow(_shingles(width), "id long, shingles array<long>"), f"{name}-sets")
-    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    found = pairs.join(a, "a").join(b, "b").where(_reaches(both, F.size("s_a"), F.size("s_b"))).select("a", "b").distinct()
+    texts = scratch.save(docs.join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), f"{name}-texts")
+    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(width), "a long, b long")
     found = scratch.save(found, name)
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-texts")
     return found
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components of ``found(node, component)``."""
+    for x in "ab":
+        named = found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        pairs = pairs.join(named, x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
+    return pairs.where("c_a <> c_b")
+
+
+def _simhash_pairs(spark: SparkSession, docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(a, b): nodes with one fingerprint, and with fingerprints that pigeonring links."""
+    fps = scratch.save(simhash_dedup.fingerprints(docs.withColumnRenamed("id", "doc_id"), width).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "fingerprints")
+    first = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    same = fps.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    near = simhash_dedup.links(first.select("fp"), Scratch(spark, "near-links"))
+    for x in "ab":
+        near = near.join(first.select(F.col("fp").alias(x), F.col("first").alias(f"id_{x}")), x)
+    return same.unionByName(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+
+
 def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, component_id) for the rows of ``docs`` that have a doc_id.
 
     The component is the smallest doc_id reached.  Texts with equal sets are one
     node, so exact copies cost one row; null texts and texts without a word are
-    one node.
+    one node.  doc_ids are taken for distinct: of several texts of one doc_id one
+    is compared.
     """
     scratch = Scratch(spark, "near-copies")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
@@ -155,27 +234,35 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     held = scratch.save(docs.mapInArrow(_prefixes(width, common), "id long, digest long, n int, prefix array<long>"), "prefixes")
     keys = scratch.save(held.select("id", "n", "digest"), "keys")
     nodes = scratch.save(keys.groupBy("n", "digest").agg(F.min("id").alias("node")), "nodes")
-    rows = held.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("at", "h"))
-    entry = F.struct("n", "id", "at")
-    buckets = scratch.save(rows.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("many > 1").drop("many"), "buckets")
-    members = scratch.save(rows.join(buckets, "h"), "members")
+    sole = scratch.save(held.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "n", "prefix"), "sole")
     scratch.drop("prefixes")
-    scratch.drop("buckets")
-    stars = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.explode(F.array("low", "high")).alias("r"))
+    twice = sole.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
+    members = scratch.save(sole.mapInArrow(_repeated(_bitmap(spark, twice)), "id long, n int, at int, h long"), "members")
+    scratch.drop("sole")
+    entry = F.struct("n", "id", "at")
+    ends = scratch.save(members.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("many > 1").drop("many"), "ends")
+    stars = members.join(ends, "h").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.explode(F.array("low", "high")).alias("r"))
     stars = scratch.save(_possible(stars.select("a", "n_a", "at_a", F.col("r.id").alias("b"), F.col("r.n").alias("n_b"), F.col("r.at").alias("at_b"))), "stars")
-    first = _verified(stars, docs, width, scratch, "first")
+    best = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tried = scratch.save(best.unionByName(_simhash_pairs(spark, docs, nodes, width, scratch)).distinct(), "tried")
+    first = _verified(tried, docs, width, scratch, "first")
     found = components(first, scratch, "first-cc")
-    named = members.select("h", "id", "n", "at").join(found, members.id == found.node, "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("c"))
+    more = scratch.save(_apart(stars, found).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
+    second = _verified(more, docs, width, scratch, "second")
+    links = first.unionByName(second)
+    found = components(links, scratch, "second-cc")
+    named = members.join(found, members.id == found.node, "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("c"))
     named = scratch.save(named, "named")
     scratch.drop("members")
     open_ = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
     left = scratch.save(named.join(open_, "h", "left_semi"), "open")
     scratch.drop("named")
     a, b = (left.select("h", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "c")]) for x in "ab")
-    pairs = scratch.save(_possible(a.join(b, "h").where("c_a < c_b")).join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = _possible(a.join(b, "h").where("c_a < c_b")).join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+    pairs = scratch.save(pairs, "pairs")
     scratch.drop("open")
-    second = _verified(pairs, docs, width, scratch, "second")
-    found = components(first.unionByName(second), scratch)
+    third = _verified(pairs, docs, width, scratch, "third")
+    found = components(links.unionByName(third), scratch)
     named = nodes.join(found, nodes.node == found.node, "left").select("n", "digest", F.coalesce("component", nodes.node).alias("component_id"))
     named = scratch.save(named, "classes")
     return keys.join(named, ["n", "digest"]).select(F.col("id").alias("doc_id"), "component_id")

@@ -17,7 +17,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbloom.llm._io import Scratch, table
+from kbloom.llm._io import Scratch, shielded, table
 
 WINDOW_WORDS = 8
 LEAST_WORDS = 20
@@ -35,6 +35,7 @@ class Settings:
     most_literals: int = 3
     least_precision: float = 0.95  #: by Laplace's estimate, so a rule needs support too
     least_covered: int = 2
+    most_labelled: int = 50_000  #: labelled documents learned from, about; more are sampled by a hash of their id
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,9 @@ class Literal:
     at_least: bool
     threshold: float
 
-    def column(self) -> Column:
-        value = F.col(self.feature)
+    def column(self, row: Column | None = None) -> Column:
+        """The test on a feature column, or on a field of the struct ``row``."""
+        value = F.col(self.feature) if row is None else row[self.feature]
         return value >= F.lit(self.threshold) if self.at_least else value < F.lit(self.threshold)
 
     def __str__(self) -> str:
@@ -84,48 +86,64 @@ def _repeat_words(words: Column) -> Column:
     )
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with the base statistics and the rule features.
+def measures(text: Column) -> Column:
+    """A text's base statistics and rule features as one struct.
 
     A null text has no words and zero everywhere.  Rates over nothing are zero.
-    Column names that start with ``_`` or match a statistic are not allowed in
-    ``keep``.
+    Every part is bound once, so a filter on the struct computes no part twice.
     """
-    split = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "").alias("_words"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = split.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("_lines"),
-        _repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.size(F.array_distinct("_words")).alias("_distinct"),
-        F.regexp_count("_text", F.lit("!")).alias("_bangs"),
-        F.regexp_count("_text", F.lit(r"\p{Lu}")).alias("_upper"),
-        F.regexp_count("_text", F.lit(r"[0-9]")).alias("_digits"),
-    )
+    held = F.coalesce(text, F.lit(""))
+    parts = F.struct(held.alias("text"), F.array_remove(F.split(held, r"[\x20\x09-\x0D]+"), "").alias("words"))
+
+    def counted(p: Column) -> Column:
+        lines = F.filter(F.split(p["text"], "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return F.struct(
+            F.size(p["words"]).cast("long").alias("n_words"),
+            F.length(F.array_join(p["words"], "")).cast("long").alias("word_chars"),
+            F.regexp_count(p["text"], F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
+            _repeat_words(p["words"]).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct(p["words"])).alias("distinct"),
+            F.regexp_count(p["text"], F.lit("!")).alias("bangs"),
+            F.regexp_count(p["text"], F.lit(r"\p{Lu}")).alias("upper"),
+            F.regexp_count(p["text"], F.lit(r"[0-9]")).alias("digits"),
+        )
+
+    def rate(a: Column, b: Column) -> Column:
+        return F.coalesce(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    def rated(c: Column) -> Column:
+        n, chars = c["n_words"], c["word_chars"]
+        return F.struct(
+            n.alias("n_words"),
+            chars.alias("word_chars"),
+            c["n_symbols"].alias("n_symbols"),
+            c["lines"]["dup"].cast("long").alias("n_dup_lines"),
+            c["n_repeat_words"].alias("n_repeat_words"),
+            rate(chars, n).alias("mean_word"),
+            rate(c["n_symbols"], n).alias("symbol_rate"),
+            rate(c["bangs"], n).alias("bang_rate"),
+            rate(c["upper"], chars).alias("upper_rate"),
+            rate(c["digits"], chars).alias("digit_rate"),
+            rate(c["distinct"], n).alias("distinct_rate"),
+            rate(c["lines"]["dup"], c["lines"]["n"]).alias("dup_line_rate"),
+            rate(c["n_repeat_words"], n).alias("repeat_rate"),
+            ((n < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * n)).alias("base_failed"),
+        )
+
+    return _let(_let(parts, counted), rated)
 
-    def rate(a, b) -> Column:
-        return F.coalesce(F.col(a).cast("double") / F.nullif(F.col(b).cast("double"), F.lit(0.0)), F.lit(0.0))
-
-    return counted.select(
-        *keep,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        F.col("_lines.dup").cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        rate("word_chars", "n_words").alias("mean_word"),
-        rate("n_symbols", "n_words").alias("symbol_rate"),
-        rate("_bangs", "n_words").alias("bang_rate"),
-        rate("_upper", "word_chars").alias("upper_rate"),
-        rate("_digits", "word_chars").alias("digit_rate"),
-        rate("_distinct", "n_words").alias("distinct_rate"),
-        rate("_lines.dup", "_lines.n").alias("dup_line_rate"),
-        rate("n_repeat_words", "n_words").alias("repeat_rate"),
-        ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
-    )
+
+def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with the `measures` of each text.
+
+    A column of ``keep`` that has the name of a measure is ``_kept_<name>``.
+    """
+    held = docs.select(*keep, measures(F.col("text")).alias("_measures"))
+    names = held.schema["_measures"].dataType.fieldNames()
+    passed, _ = shielded(docs.select(*keep), *(n.lower() for n in names), "_measures")
+    renamed = [F.col(a).alias(b) for a, b in zip(keep, passed.columns, strict=True)]
+    return docs.select(*renamed, measures(F.col("text")).alias("_measures")).select(*passed.columns, "_measures.*")
 
 
 def _thresholds(labelled: DataFrame, levels: int) -> dict[str, list[float]]:
@@ -136,14 +154,24 @@ def _thresholds(labelled: DataFrame, levels: int) -> dict[str, list[float]]:
     return {f: sorted({*c, *((a + b) / 2 for a, b in zip(c, c[1:], strict=False))}) for f, c in cuts.items()}
 
 
+def known_labels(labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, bad): one row for each document that is learned from.
+
+    Rows with a null in either column are ignored; a document labelled twice
+    counts as bad if any of its labels is 0.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    every = -(-known.count() // settings.most_labelled) or 1
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(every)) == 0)
+
+
 def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> list[list[Literal]]:
     """An ordered list of conjunctions that reject documents of quality 0.
 
-    ``labels(doc_id, quality)``: rows with a null in either column are ignored;
-    a document labelled twice counts as bad if any of its labels is 0.  Without
-    a bad label the list is empty.
+    Only documents that `known_labels` names count.  Without a bad label the list
+    is empty.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    known = known_labels(labels, settings)
     labelled = scratch.save(stats.join(known, "doc_id").select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("hold"), *FEATURES), "labelled")
     cuts = _thresholds(labelled, settings.levels)
 
@@ -206,23 +234,27 @@ def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch, settings: Setti
     return rules
 
 
-def _all(rule: list[Literal]) -> Column:
-    out = rule[0].column()
+def _all(rule: list[Literal], row: Column | None = None) -> Column:
+    out = rule[0].column(row)
     for literal in rule[1:]:
-        out = out & literal.column()
+        out = out & literal.column(row)
     return out
 
 
-def verdict(rules: list[list[Literal]]) -> Column:
+def verdict(rules: list[list[Literal]], row: Column | None = None) -> Column:
     """True to keep: the ordered list as one conditional expression."""
-    out = F.when(F.col("base_failed"), F.lit(False))
+    out = F.when(F.col("base_failed") if row is None else row["base_failed"], F.lit(False))
     for rule in rules:
-        out = out.when(_all(rule), F.lit(False))
+        out = out.when(_all(rule, row), F.lit(False))
     return out.otherwise(F.lit(True))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: base statistics, the base verdict and the learned one."""
+    """Per document: base statistics, the base verdict and the learned one.
+
+    A null or empty text has no words and fails the base rules; rows that repeat
+    a doc_id are judged one by one.
+    """
     scratch = Scratch(spark, "op4")
     stats = scratch.save(statistics(table(spark, sf_dir, "documents"), ["doc_id"]), "stats")
     rules = learn(stats, table(spark, sf_dir, "labels"), scratch)
@@ -232,9 +264,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the rows that the base rules or the learned list reject.
 
-    The list is learned from the documents that ``labels`` names.
+    The list is learned from the documents that ``labels`` names; theirs are the
+    only statistics computed for it.  A null text has no words and goes.  Rows
+    that repeat a doc_id are judged one by one.  All columns pass through.
     """
     scratch = Scratch(spark, "quality")
-    rules = learn(statistics(docs.select("doc_id", "text"), ["doc_id"]), labels, scratch, settings)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return statistics(whole, ["_row"]).where(verdict(rules)).select("_row.*")
+    named = docs.select("doc_id", "text").join(known_labels(labels, settings), "doc_id", "left_semi")
+    rules = learn(statistics(named, ["doc_id"]), labels, scratch, settings)
+    return docs.where(_let(measures(docs.text), lambda m: verdict(rules, m)))

@@ -75,7 +75,9 @@ def _fingerprints(width: int, marked: bool = False):
                     sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
                     over = 2 * sums > shingles[full][:, None]
                     out[full] = np.packbits(over, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-                held = [batch.column(0).slice(lo, hi - lo), pa.array(out)] + [batch.column(2).slice(lo, hi - lo)] * marked
+                held = [batch.column(0).slice(lo, hi - lo), pa.array(out)]
+                if marked:
+                    held.append(batch.column(2).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(held, ["doc_id", "fp", "mark"][: len(held)])
 
     return run

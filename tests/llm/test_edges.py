@@ -78,3 +78,13 @@ def test_clashing_columns_pass_through(spark, nasty):
     for out in outs:
         assert out.schema == docs.schema or out.dtypes == docs.dtypes
         assert {r[0] for r in out.select("_row").distinct().collect()} <= {"row"}
+
+
+def test_quality_filter_computes_statistics_once(spark, nasty):
+    docs = spark.read.parquet(f"{nasty}/documents.parquet")
+    kept = quality_rules.keep_good(spark, docs, spark.read.parquet(f"{nasty}/labels.parquet"))
+    shown = kept._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(x for x in shown.split("\n") if "Filter" in x)
+    assert condition.count("split(") <= 2 and condition.count("array_sort(") <= 2
+    stats = quality_rules.statistics(docs, docs.columns)
+    assert "_kept_n_words" in stats.columns and stats.count() == docs.count()
