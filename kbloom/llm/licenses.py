@@ -1,16 +1,23 @@
 """Licence scans: passages against templates by Dice over word bigrams.
 
-Text is lower-cased and cut into alphanumeric words and into units (lines and
-sentences).  A passage is a run of consecutive units; its likeness to a template
-is the Dice coefficient of their bigram multisets.  At a threshold t only
-passages of t/(2-t) to (2-t)/t times a template's bigrams can match it, and at
-least t/(2-t) of its own bigrams must be template bigrams, so a hash
-bitmap over all template bigrams leaves few units to look at.
+Text is lower-cased and cut into alphanumeric words.  A passage is a run of
+words; its likeness to a template is the Dice coefficient of their bigram
+multisets.  At a threshold t only passages of t/(2-t) to (2-t)/t times a
+template's bigrams can match it, and at least t/(2-t) of the template's bigrams
+must stand in the passage.  A hash bitmap over all template bigrams leaves the
+few places where a passage can begin; at each the number of template bigrams
+within the longest passage allowed, repeats counted no oftener than in the
+template, prunes templates, and the ends of what is left are tried at once by
+cumulative sums.  All steps are linear in a text's words for a given template.
+
+The templates are short published texts, notices and statements; more can be
+passed.  Bodies of the long licences are found where their notice stands.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import heapq
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kbloom.llm import _text
-from kbloom.llm._io import Shared, table
+from kbloom.llm._io import Shared, shielded, table
 
 THRESHOLD = 0.8
 _BITS = 20
@@ -59,10 +66,28 @@ with the License. You may obtain a copy of the License at http://www.apache.org/
 applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
 permissions and limitations under the License."""
-_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_GPL = """This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by
+the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This {what} is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which
+is available at https://www.eclipse.org/legal/epl-2.0/"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+may not be removed or altered from any source distribution."""
+_CC0 = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this
+work."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
@@ -70,32 +95,49 @@ publish, use, compile, sell, or distribute this software, either in source code
 purpose, commercial or non-commercial, and by any means."""
 _CREATIVE = "This work is licensed under a Creative Commons {name} International License."
 
-#: Published licence texts and notices, (licence, text).
+_GPL_NAME, _LGPL_NAME, _AGPL_NAME = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+#: Licences as statements name them.
+NAMES = [
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL-2.0", f"{_GPL_NAME}, version 2"),
+    ("GPL-3.0", f"{_GPL_NAME}, version 3"),
+    ("LGPL-2.1", f"{_LGPL_NAME}, version 2.1"),
+    ("LGPL-3.0", f"{_LGPL_NAME}, version 3"),
+    ("AGPL-3.0", f"{_AGPL_NAME}, version 3"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("Zlib", "zlib License"),
+]
+_CREATIVE_NAMES = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives")]
+
+#: Published licence texts, notices and statements, (licence, text).
 TEMPLATES = [
     ("MIT", _MIT),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("ISC", _ISC),
-    ("ISC", "Licensed under the ISC License."),
     ("BSD-2-Clause", f"{_BSD2} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD2} {_BSD3} {_BSD_END}"),
     ("Apache-2.0", _APACHE),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-2.0", _GPL.format(v=2)),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", _GPL.format(v=3)),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", _GPL.format(what="program", name=_GPL_NAME, v=2)),
+    ("GPL-3.0", _GPL.format(what="program", name=_GPL_NAME, v=3)),
+    ("LGPL-2.1", _GPL.format(what="library", name=_LGPL_NAME, v=2.1)),
+    ("LGPL-3.0", _GPL.format(what="program", name=_LGPL_NAME, v=3)),
+    ("AGPL-3.0", _GPL.format(what="program", name=_AGPL_NAME, v=3)),
     ("MPL-2.0", _MPL),
+    ("EPL-2.0", _EPL),
+    ("BSL-1.0", _BOOST),
+    ("Zlib", _ZLIB),
+    ("CC0-1.0", _CC0),
     ("Unlicense", _UNLICENSE),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", _CREATIVE.format(name="Attribution 4.0")),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", _CREATIVE.format(name="Attribution-ShareAlike 4.0")),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", _CREATIVE.format(name="Attribution-NonCommercial 4.0")),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    *[(key, f"{verb} under the {name}.") for key, name in NAMES for verb in ("Released", "Licensed", "Distributed")],
+    *[(key, f"This work is licensed under the {name}.") for key, name in NAMES if key.startswith("GPL")],
+    *[(f"CC-{key}-4.0", f"Licensed under CC {key} 4.0.") for key, _ in _CREATIVE_NAMES],
+    *[(f"CC-{key}-4.0", _CREATIVE.format(name=f"{name} 4.0")) for key, name in _CREATIVE_NAMES],
 ]
 
 _MATCHES = "array<struct<license: string, dice: double, start: int, stop: int>>"
@@ -121,62 +163,104 @@ class Templates:
             if len(grams):
                 rows.append((len(grams), name, Counter(grams.tolist())))
         rows.sort(key=lambda r: (r[0], r[1]))
-        self.sizes, self.names, self.grams = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-        self.most = int(max(self.sizes, default=0) / self.own)
+        self.sizes, self.names = [r[0] for r in rows], [r[1] for r in rows]
+        self.known = np.unique(np.array([g for r in rows for g in r[2]], np.uint64))
+        self.counts = [np.array([r[2].get(g, 0) for g in self.known.tolist()], np.int64) for r in rows]
         self.bitmap = np.zeros(1 << _BITS, bool)
-        for g in self.grams:
-            self.bitmap[np.array(list(g), np.uint64) & np.uint64((1 << _BITS) - 1)] = True
-
-    def best(self, grams: list[int]) -> tuple[float, str] | None:
-        """The likest template of a passage, within the size bounds."""
-        n, held, found = len(grams), Counter(grams), None
-        for k in range(bisect_left(self.sizes, n * self.own - 1e-9), bisect_right(self.sizes, n / self.own + 1e-9)):
-            other = self.grams[k]
-            both = sum(min(c, other[g]) for g, c in held.items() if g in other)
-            dice = 2 * both / (n + self.sizes[k])
-            if dice >= self.threshold and (found is None or (-dice, self.names[k]) < (-found[0], found[1])):
-                found = dice, self.names[k]
-        return found
-
-
-def _units(data, starts, ends, first) -> np.ndarray:
-    """Flags of the words that begin a unit."""
-    new = np.zeros(len(starts), bool)
-    new[first[:-1][first[:-1] < first[1:]]] = True
-    if len(starts) > 1:
-        lines = np.concatenate([[0], np.cumsum(data == 10)])
-        new[1:] |= lines[starts[1:]] > lines[ends[:-1]]
-        stop = data[np.minimum(ends[:-1], len(data) - 1)]
-        after = data[np.minimum(ends[:-1] + 1, len(data) - 1)]
-        new[1:] |= np.isin(stop, (33, 46, 63)) & np.isin(after, (9, 10, 11, 12, 13, 32)) & (ends[:-1] + 1 < starts[1:])
-    return new
-
-
-def _passages(lo: int, hi: int, begin: list[int], upto: np.ndarray, seeds: list[int], grams: np.ndarray, templates: Templates):
-    """Non-overlapping best matches of a row: words lo..hi, units at ``begin``."""
-    found, tried = [], set()
-    edge = [*begin, hi]
-    for seed in seeds:
-        u = seed
-        while u >= 0 and edge[seed + 1] - edge[u] - 1 <= templates.most:
-            for v in range(seed + 1, len(edge)):
-                a, b = edge[u], edge[v]
-                n = b - a - 1
-                if n > templates.most:
-                    break
-                if n < 1 or (a, b) in tried or upto[b - 1] - upto[a] < templates.own * n - 1e-9:
-                    continue
-                tried.add((a, b))
-                best = templates.best(grams[a : b - 1].tolist())
-                if best:
-                    found.append((-best[0], a - b, a, b, best[1]))
-            u -= 1
-    out, taken = [], []
-    for dice, _, a, b, name in sorted(found):
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
-            out.append((a, b, name, -dice))
-    return sorted(out)
+        self.bitmap[self.known & np.uint64((1 << _BITS) - 1)] = True
+
+    def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of template bigrams, and which of ``known`` each is."""
+        at = np.flatnonzero(self.bitmap[grams & np.uint64((1 << _BITS) - 1)])
+        if len(at) == 0:
+            return at, at
+        which = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
+        true = self.known[which] == grams[at]
+        return at[true], which[true]
+
+
+class Ends:
+    """Passages of one template: where they begin, and the best end of each.
+
+    ``at`` are the positions of the template's bigrams and ``doc`` their rows.
+    A bigram counts for a passage if fewer of its kind than the template has
+    stand before it in the passage, so if the last but so many lies before it.
+    """
+
+    def __init__(self, at: np.ndarray, kind: np.ndarray, doc: np.ndarray, count: np.ndarray, size: int, own: float):
+        self.at, self.size = at, size
+        order = np.lexsort((at, kind))
+        back = np.arange(len(at)) - count[order]
+        same = (back >= 0) & (kind[order][np.maximum(back, 0)] == kind[order])
+        self.before = np.full(len(at), -1, np.int64)
+        self.before[order[same]] = at[order[back[same]]]
+        longest = int(size / own + 1e-9)
+        self.stop = np.minimum(np.searchsorted(at, at + longest), np.searchsorted(doc, doc, "right"))
+        # bigram j counts for starts from low[j] to itself
+        low = np.maximum(np.searchsorted(at, np.maximum(self.before, at - longest), "right"), np.searchsorted(doc, doc))
+        step = np.bincount(low, minlength=len(at) + 1) - np.bincount(np.arange(len(at)) + 1, minlength=len(at) + 1)
+        self.starts = np.flatnonzero(np.cumsum(step[:-1]) >= own * size - 1e-9)
+
+    def best(self, starts: np.ndarray, limit: int | None = None):
+        """(dice, end) for each start: the likest passage, the longest of equals.
+
+        An end is the index of the last bigram; passages end before the word ``limit``.
+        """
+        stop = self.stop[starts]
+        if limit is not None:
+            stop = np.minimum(stop, np.searchsorted(self.at, limit - 1))
+        dice, ends = np.zeros(len(starts)), starts.copy()
+        width = max(1, int((stop - starts).max(initial=0)))
+        block = max(1, (1 << 20) // width)
+        for lo in range(0, len(starts), block):
+            s = starts[lo : lo + block]
+            j = s[:, None] + np.arange(width)
+            inside = j < stop[lo : lo + len(s), None]
+            j = np.minimum(j, len(self.at) - 1)
+            first = self.at[s][:, None]
+            both = np.cumsum(inside & (self.before[j] < first), axis=1)
+            value = np.where(inside, 2 * both / (self.at[j] - first + 1 + self.size), 0.0)
+            k = width - 1 - value[:, ::-1].argmax(1)
+            dice[lo : lo + len(s)], ends[lo : lo + len(s)] = value[np.arange(len(s)), k], s + k
+        return dice, ends
+
+
+def _matches(templates: Templates, at: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> dict[int, list[tuple]]:
+    """Non-overlapping best passages (start, stop, licence, dice) of each row, in words."""
+    waiting: dict[int, list] = {}
+    found = []
+    for k, (size, count) in enumerate(zip(templates.sizes, templates.counts, strict=True)):
+        mine = np.flatnonzero(count[kind] > 0)
+        if len(mine) < templates.own * size - 1e-9:
+            found.append(None)
+            continue
+        ends = Ends(at[mine], kind[mine], doc[mine], count[kind[mine]], size, templates.own)
+        found.append(ends)
+        dice, stop = ends.best(ends.starts)
+        for i in np.flatnonzero(dice >= templates.threshold).tolist():
+            s, e = int(ends.starts[i]), int(stop[i])
+            a, b = int(ends.at[s]), int(ends.at[e]) + 2
+            waiting.setdefault(int(doc[mine[s]]), []).append((-float(dice[i]), a - b, a, templates.names[k], k, s, b))
+    out = {}
+    for row, heap in waiting.items():
+        heapq.heapify(heap)
+        begun, taken = [], []
+        while heap:
+            dice, _, a, name, k, s, b = heapq.heappop(heap)
+            i = bisect_right(begun, a)
+            if i and taken[i - 1][1] > a:
+                continue
+            if i < len(begun) and begun[i] < b:
+                # the end is taken: the best passage up to there waits instead
+                new, e = found[k].best(np.array([s]), begun[i])
+                if new[0] >= templates.threshold:
+                    b = int(found[k].at[e[0]]) + 2
+                    heapq.heappush(heap, (-float(new[0]), a - b, a, name, k, s, b))
+                continue
+            begun.insert(i, a)
+            taken.insert(i, (a, b, name, -dice))
+        out[row] = taken
+    return out
 
 
 def _scan(shared: Shared):
@@ -184,24 +268,13 @@ def _scan(shared: Shared):
         templates: Templates = shared.once(lambda x: Templates(*x))
         for batch in batches:
             for lo, hi, data, offsets in _text.chunks(batch.column(0)):
-                data, starts, ends, first, grams = _hashes(data, offsets)
+                _, _, _, first, grams = _hashes(data, offsets)
                 matches = [[] for _ in range(hi - lo)]
-                if len(grams):
-                    hit = templates.bitmap[grams & np.uint64((1 << _BITS) - 1)]
-                    upto = np.concatenate([[0], np.cumsum(hit)])
-                    begin = np.flatnonzero(_units(data, starts, ends, first))
-                    stop = np.append(begin[1:], len(starts))
-                    n = stop - begin
-                    # bigrams of a unit, with and without the one into the next unit
-                    inner = upto[np.maximum(stop - 1, begin)] - upto[begin]
-                    outer = upto[np.minimum(stop, len(grams))] - upto[begin]
-                    seed = (n > 1) & (inner >= templates.own * (n - 1) - 1e-9) | (outer >= templates.own * n - 1e-9)
-                    rows = np.searchsorted(first, begin, "right") - 1
-                    units = np.searchsorted(rows, np.arange(hi - lo + 1))
-                    for r in np.unique(rows[seed]).tolist():
-                        own = slice(units[r], units[r + 1])
-                        got = _passages(int(first[r]), int(first[r + 1]), begin[own].tolist(), upto, np.flatnonzero(seed[own]).tolist(), grams, templates)
-                        matches[r] = [{"license": name, "dice": dice, "start": int(a - first[r]), "stop": int(b - first[r])} for a, b, name, dice in got]
+                at, kind = templates.places(grams)
+                doc = np.searchsorted(first, at, "right") - 1
+                within = at + 1 < first[doc + 1]
+                for r, got in _matches(templates, at[within], kind[within], doc[within]).items():
+                    matches[r] = [{"license": name, "dice": dice, "start": int(a - first[r]), "stop": int(b - first[r])} for a, b, name, dice in got]
                 part = batch.slice(lo, hi - lo)
                 kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([pa.array(matches, kind), *part.columns[1:]], ["matches", *part.schema.names[1:]])
@@ -214,14 +287,22 @@ def scan(spark: SparkSession, docs: DataFrame, others: list[str], templates: lis
 
     A match has its licence, its Dice coefficient and its range of words.
     Matches of a row don't overlap: the likest goes first, then the longer, then
-    the earlier.  Null and empty texts, and texts of one word, match nothing.
+    the earlier, then the one whose licence is first by name.  Null and empty
+    texts, and texts of one word, match nothing.  A column of ``others`` that is
+    itself called matches is ``_kept_matches``.
     """
+    docs, old = shielded(docs.select("text", *[c for c in others if c != "text"]), "matches")
+    now = {v: k for k, v in old.items()}
+    others = [now.get(c, c) for c in others]
     schema = StructType([*StructType.fromDDL(f"matches {_MATCHES}").fields, *(docs.schema[c] for c in others)])
     return docs.select("text", *others).mapInArrow(_scan(Shared(spark, (templates, threshold))), schema)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its matches, their licences and the best one."""
+    """Per document: its matches, their licences and the best one.
+
+    Of matches of equal Dice the licence that is first by name is the best.
+    """
     found = scan(spark, table(spark, sf_dir, "documents"), ["doc_id"])
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("l"))))
     return found.select(

@@ -278,34 +278,6 @@ def test_licences(spark):
     assert 0.9 < got[2][0].dice < 1
 
 
-def test_best_passage_equals_brute_force():
-    import numpy as np
-
-    r = random.Random(7)
-    held = [("a", "one two three four five six"), ("b", "one two four five"), ("c", "six five four three two one zero"), ("d", "two three")]
-    templates = licenses.Templates(held, 0.8)
-    for _ in range(300):
-        text = ". ".join(" ".join(r.choice("one two three four five six zero".split()) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 6)))
-        raw = np.frombuffer(text.encode(), np.uint8)
-        data, starts, ends, first, grams = licenses._hashes(raw, np.array([0, len(raw)]))
-        words = re.findall(r"[a-z]+", text)
-        begin = np.flatnonzero(licenses._units(data, starts, ends, first)).tolist()
-        edge = [*begin, len(words)]
-        best = 0.0
-        for u in range(len(begin)):
-            for v in range(u + 1, len(edge)):
-                own = Counter(zip(words[edge[u] : edge[v]], words[edge[u] + 1 : edge[v]], strict=False))
-                for _, t in held:
-                    w = t.split()
-                    other = Counter(zip(w, w[1:], strict=False))
-                    total = sum(own.values()) + sum(other.values())
-                    best = max(best, 2 * sum((own & other).values()) / total)
-        hit = templates.bitmap[grams & np.uint64((1 << licenses._BITS) - 1)]
-        upto = np.concatenate([[0], np.cumsum(hit)])
-        found = licenses._passages(0, len(words), begin, upto, list(range(len(begin))), grams, templates) if len(grams) else []
-        assert max((x[3] for x in found), default=0.0) == pytest.approx(best if best >= 0.8 else 0.0)
-
-
 def test_pipeline_stages_chain(spark, tmp_path):
     import corpus_pipeline
 
