@@ -2,7 +2,8 @@
 
 Training counts hashed character bigrams and trigrams, and words of each
 script, per language over all labelled documents; the table's size depends on
-the number of languages alone.  A word's candidates are the languages that use
+the number of languages alone, and it is broadcast in blocks of languages of
+which a worker holds one at a time.  A word's candidates are the languages that use
 its script; its score for each is the log-likelihood of its n-grams.  Viterbi
 over the words of a document, with a penalty for every switch, labels spans of
 mixed-language text.  A document's language is the one with most letters.
@@ -10,16 +11,17 @@ mixed-language text.  A document's language is the one with most letters.
 
 from __future__ import annotations
 
-import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kbloom.llm import _text
-from kbloom.llm._io import Shared, table
+from kbloom.llm._io import Shared, shielded, table
 
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 8.0
@@ -27,7 +29,8 @@ SWITCH_PENALTY = 8.0
 SCRIPT_SHARE = 0.001
 #: A word's score, against its likeliest language, in one that doesn't use its script.
 NOT_A_CANDIDATE = -60.0
-MOST_LANGUAGES = 512
+#: Languages of one block of the model; a block takes 32 MB.
+BLOCK_LANGUAGES = 256
 #: Text decoded in one run of Viterbi steps, for up to eight languages; less for more.
 GROUP_BYTES = 8 << 20
 
@@ -122,38 +125,68 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at])], ["lang", "bucket", "n"])
 
 
-class Model:
-    """Log-likelihood table [bucket, language] and script use [script, language]."""
+class Block:
+    """Log-likelihoods [bucket, language] and script use [script, language] of some languages."""
 
-    def __init__(self, langs: list[str], sums: np.ndarray):
+    def __init__(self, sums: np.ndarray):
         grams, scripts = sums[:BUCKETS], sums[BUCKETS:]
-        self.langs = langs
         self.table = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * BUCKETS)).astype(np.float32)
         share = scripts / np.maximum(1, scripts.sum(0))
         self.uses = share >= SCRIPT_SHARE
 
 
-def train(labelled: DataFrame) -> Model:
+class Model:
+    """Languages in order of name, and their blocks, packed and broadcast."""
+
+    def __init__(self, langs: list[str], blocks: list[Shared]):
+        self.langs, self.blocks = langs, blocks
+
+    def tables(self) -> Iterator[Block]:
+        """Each block in turn; unpacked anew if there are several."""
+        for block in self.blocks:
+            yield block.once(_unpacked)
+
+
+def _packed(sums: list[np.ndarray]) -> bytes:
+    return zlib.compress(np.stack(sums, 1).astype(np.float32).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> Block:
+    return Block(np.frombuffer(zlib.decompress(data), np.float32).reshape(BUCKETS + len(SCRIPTS) + 1, -1).astype(np.float64))
+
+
+def train(labelled: DataFrame, block_languages: int = BLOCK_LANGUAGES) -> Model:
     """A model from ``labelled(text, lang)``; rows with a null in either are skipped."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
     sums = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     size = BUCKETS + len(SCRIPTS) + 1
-    # one row for each language and bucket: bounded by the languages
-    found: dict[str, np.ndarray] = {}
-    for lang, buckets, ns in sums.groupBy("lang").agg(F.collect_list("bucket"), F.collect_list("n")).limit(MOST_LANGUAGES + 1).toLocalIterator():
-        found[lang] = np.bincount(buckets, weights=ns, minlength=size)
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs = sorted(found)
-    return Model(langs, np.stack([found[x] for x in langs], 1) if langs else np.zeros((size, 0)))
+    # one row for each language, in order of name; the driver holds one block of them
+    each = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang")
+    langs, blocks, held = [], [], []
+    for lang, buckets, ns in each.toLocalIterator():
+        if len(held) == block_languages:
+            blocks.append(Shared(labelled.sparkSession, _packed(held)))
+            held = []
+        langs.append(lang)
+        held.append(np.bincount(buckets, weights=ns, minlength=size))
+    if held:
+        blocks.append(Shared(labelled.sparkSession, _packed(held)))
+    return Model(langs, blocks)
 
 
 def _scores(model: Model, chars, starts, ends, script) -> np.ndarray:
     """[word, language]: log-likelihood, or NOT_A_CANDIDATE by script."""
+    out = np.zeros((len(starts), len(model.langs)), np.float32)
+    if len(starts) == 0:
+        return out
     two, three, own = _grams(chars, starts, ends)
-    each = model.table[two] + model.table[three]
-    out = np.add.reduceat(each, np.searchsorted(own, np.arange(len(starts))), axis=0) if len(starts) else np.zeros((0, len(model.langs)), np.float32)
-    uses = model.uses[script]
+    begin = np.searchsorted(own, np.arange(len(starts)))
+    uses, at = np.zeros(out.shape, bool), 0
+    for block in model.tables():
+        to = at + block.table.shape[1]
+        out[:, at:to] = np.add.reduceat(block.table[two] + block.table[three], begin, axis=0)
+        uses[:, at:to] = block.uses[script]
+        at = to
     narrowed = uses.any(1)
     out[~narrowed] = 0
     others = narrowed[:, None] & ~uses
@@ -173,7 +206,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     n, begin = n[order], first[:-1][order]
-    kind = np.int8 if scores.shape[1] <= 127 else np.int16
+    kind = np.int8 if scores.shape[1] <= 127 else np.int16 if scores.shape[1] < 1 << 15 else np.int32
     path = np.zeros(len(scores), kind)
     if len(scores) == 0:
         return path
@@ -218,9 +251,9 @@ def _decode(model: Model, data: np.ndarray, offsets: np.ndarray, penalty: float)
     return np.concatenate(starts), np.concatenate(ends), first, path, np.array(at)
 
 
-def _label(shared: Shared, penalty: float, spans: bool):
+def _label(shared: Model, penalty: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.once(lambda x: x)
+        model: Model = shared
         names = np.array([*model.langs, "und"], object)
         wide = len(model.langs)
         for batch in batches:
@@ -257,13 +290,15 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, others: list[str
     The score is the share of the letters in spans of the predicted language.
     A null text, one without a letter, or a model without languages gives
     ``und``, 0 and no spans.  Spans are in code points, from the first letter of
-    their first word to past the last of their last.
+    their first word to past the last of their last.  A column of ``others`` that
+    has one of these names is ``_kept_<name>``.
     """
-    from pyspark.sql.types import StructType
-
     made = "lang_pred string, score double" + ", lang_spans array<struct<start: int, stop: int, lang: string>>" * spans
+    docs, old = shielded(docs.select("text", *others), "lang_pred", "score", *["lang_spans"] * spans)
+    now = {v: k for k, v in old.items()}
+    others = [now.get(c, c) for c in others]
     schema = StructType([*StructType.fromDDL(made).fields, *(docs.schema[c] for c in others)])
-    return docs.select("text", *others).mapInArrow(_label(Shared(spark, model), penalty, spans), schema)
+    return docs.select("text", *others).mapInArrow(_label(model, penalty, spans), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -272,7 +307,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: held_out, the predicted language and its share of letters."""
+    """Per document: held_out, the predicted language and its share of letters.
+
+    A null text, or one without a letter, is ``und`` with score 0; languages of
+    equal letters go to the first by name.  Repeated rows are judged each.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     out = predict(spark, docs.select("text", "doc_id"), model, ["doc_id"], spans=False)

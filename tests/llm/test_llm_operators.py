@@ -309,3 +309,47 @@ def test_registered_names():
     assert [n.split("_")[0] for n in catalogue.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_blocks_of_languages_change_no_result(spark):
+    r = random.Random(11)
+    names = [f"l{k:03d}" for k in range(600)]
+    held = []
+    for name in names:
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöüé") for _ in range(r.randint(2, 7))) for _ in range(6)]
+        held.append((" ".join(own), name))
+    rows = spark.createDataFrame(held, "text string, lang string")
+    docs = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(held[::7])], "doc_id long, text string, score string")
+    got = []
+    for size in (256, 1000, 7):
+        model = language_id.train(rows, size)
+        assert model.langs == names and len(model.blocks) == -(-600 // size)
+        found = language_id.predict(spark, docs.where("doc_id < 20"), model, ["doc_id", "score"])
+        assert found.columns == ["lang_pred", "score", "lang_spans", "doc_id", "_kept_score"]
+        got.append({x.doc_id: (x.lang_pred, x.score) for x in found.collect()})
+    assert got[0] == got[1] == got[2]
+    assert all(got[0][k][0] == names[7 * k] for k in got[0])
+
+
+def test_narrowing_scores_and_held_out_accuracy(spark, model):
+    import numpy as np
+
+    words = ["house", "дом", "jardin", "garden", "漢字"]
+    text = " ".join(words).encode()
+    starts, ends, _, chars, script, _ = language_id._words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    scores = language_id._scores(model, chars, starts, ends, script)
+    (block,) = model.tables()
+    for i, word in enumerate(words):
+        kind = next((k for k, (lo, hi) in enumerate(language_id.SCRIPTS, 1) if lo <= ord(word[0]) <= hi), 0)
+        able = [bool(block.uses[kind][k]) for k in range(3)]
+        # the same sums, gram by gram
+        one = np.frombuffer(word.encode(), np.uint8)
+        s, e, _, c, _, _ = language_id._words(one, np.array([0, len(one)]))
+        two, three, _ = language_id._grams(c, s, e)
+        plain = [sum(float(block.table[a][k]) + float(block.table[b][k]) for a, b in zip(two, three, strict=True)) for k in range(3)]
+        top = max((p for p, ok in zip(plain, able, strict=True) if ok), default=0)
+        want = [(p - top if ok else language_id.NOT_A_CANDIDATE) if any(able) else 0 for p, ok in zip(plain, able, strict=True)]
+        assert scores[i].tolist() == pytest.approx(want, abs=1e-3)
+    fresh = [(k, speech(w, 500 + k, 25), lang) for k, (w, lang) in enumerate([(EN, "en"), (FR, "fr"), (RU, "ru")] * 10)]
+    found = language_id.predict(spark, spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model, ["lang"], spans=False)
+    assert found.where("lang_pred = lang").count() == len(fresh)
