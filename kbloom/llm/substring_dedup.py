@@ -7,15 +7,16 @@ window).  Equal passages are cut into equal blocks wherever they stand, so an
 index by minimiser finds every block that can hold a match, and a document is
 factored against all of them at once:
 
-1. greedy step: a block that is word for word a block of a smaller document
-   becomes part of a factor as a whole;
+1. greedy step: a block that equals a block of a smaller document becomes part
+   of a factor as a whole;
 2. boundary step: a block that shares its minimiser with other blocks but is
    not a copy as a whole stands at the edge of a factor; there each window is
    looked up on its own.
 
 Joined factors are the maximal runs of words covered by windows that start in a
-smaller document.  Blocks and windows are compared by two independent 64-bit
-hashes.  Grouping is by minimum and maximum id with map-side aggregation; no
+smaller document.  Words themselves are not compared: blocks and windows are
+equal if their minimisers and their own hashes are, two independent 64-bit
+hashes.  Rows are told apart by doc_id and a 64-bit hash of the text.  Grouping is by minimum and maximum id with map-side aggregation; no
 group is gathered, and the work is linear in the words of the corpus.
 """
 
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,30 +35,19 @@ from kbloom.llm._io import Scratch, shielded, table
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 12
-#: A block's window count, its start and its text's tag share one number.
+#: A block's window count and its start share one number.
 SHIFT = 16
-TAG_SHIFT = 32
 #: Blocks of periodic text are cut after so many windows.
 LONGEST_BLOCK = 4096
 
-_BLOCKS = "doc_id long, loc long, anchor long, block long"
-_WINDOWS = "doc_id long, start long, anchor long, win long"
-
-
-def _tag(text: bytes) -> int:
-    """Fifteen bits of a text's hash, which tell rows of one doc_id apart."""
-    return xxhash.xxh32_intdigest(text) & 0x7FFF
-
-
-def _tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    raw = data.tobytes()
-    return np.array([_tag(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+_BLOCKS = "doc_id long, text_key long, loc long, anchor long, block long"
+_WINDOWS = "doc_id long, text_key long, start long, anchor long, win long"
 
 
 def _blocks(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for lo, hi, data, offsets in _text.chunks(batch.column(1)):
                 starts, ends, first = _text.split_words(data, offsets, _text.SPACE_WORDS)
                 if len(starts) < window:
@@ -80,8 +69,8 @@ def _blocks(window: int, k: int):
                 length = np.diff(np.append(begin, len(i)))
                 block = _text.range_hashes(words, _text.SECOND_BASE)(i[begin], i[begin] + length + window - 1)
                 own = doc[begin]
-                loc = (_tags(data, offsets)[own] << (SHIFT + TAG_SHIFT)) | ((i[begin] - first[own]) << SHIFT) | length
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own]), pa.array(loc), pa.array(least[begin].view(np.int64)), pa.array(block.view(np.int64))], ["doc_id", "loc", "anchor", "block"])
+                loc = ((i[begin] - first[own]) << SHIFT) | length
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own]), pa.array(keys[lo:hi][own]), pa.array(loc), pa.array(least[begin].view(np.int64)), pa.array(block.view(np.int64))], ["doc_id", "text_key", "loc", "anchor", "block"])
 
     return run
 
@@ -91,7 +80,7 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asked = np.asarray(batch.column(0)), batch.column(2)
+            ids, keys, asked = np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(3)
             for lo, hi, data, offsets in _text.chunks(batch.column(1)):
                 starts, ends, first = _text.split_words(data, offsets, _text.SPACE_WORDS)
                 hashed = _text.range_hashes(_text.word_hashes(data, starts, ends), _text.SECOND_BASE)
@@ -100,25 +89,29 @@ def _windows(window: int):
                 flat = part.flatten()
                 loc, anchor = np.asarray(flat.field(0)), np.asarray(flat.field(1))
                 own = np.repeat(np.arange(hi - lo), each)
-                tags = _tags(data, offsets)
-                mine = tags[own] == loc >> (SHIFT + TAG_SHIFT)
-                loc, anchor, own = loc[mine], anchor[mine], own[mine]
                 n = loc & ((1 << SHIFT) - 1)
                 back = np.repeat(np.arange(len(n)), n)
-                start = ((loc >> SHIFT) & ((1 << TAG_SHIFT) - 1))[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
+                start = (loc >> SHIFT)[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
                 there = start + first[own[back]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][own[back]]), pa.array((tags[own[back]] << TAG_SHIFT) | start), pa.array(anchor[back]), pa.array(hashed(there, there + window).view(np.int64))], ["doc_id", "start", "anchor", "win"])
+                rows = own[back]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][rows]), pa.array(keys[lo:hi][rows]), pa.array(start), pa.array(anchor[back]), pa.array(hashed(there, there + window).view(np.int64))], ["doc_id", "text_key", "start", "anchor", "win"])
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash that tells texts of one doc_id apart."""
+    return docs.withColumn("text_key", F.xxhash64("text"))
+
+
 def duplicate_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
-    """(doc_id, tag, start, stop): word ranges covered by smaller documents' windows.
+    """(doc_id, text_key, start, stop): word ranges covered by smaller documents' windows.
 
     ``docs`` holds doc_id and text.  Ranges of one document may touch or overlap;
-    the tag says which of its texts they are of, should a doc_id have several.
+    text_key says which of its texts they are of, should a doc_id have several.
     """
-    blocks = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_blocks(window, k), _BLOCKS)
+    texts = _keyed(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    blocks = scratch.save(texts.mapInArrow(_blocks(window, k), _BLOCKS), "blocks")
     found = scratch.save(
         blocks.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("block").alias("b0"), F.max("block").alias("b1"))
@@ -127,40 +120,41 @@ def duplicate_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW_WORD
         "anchors",
     )
     near = scratch.save(blocks.join(found, "anchor"), "near")
+    scratch.drop("blocks")
     copied = scratch.save(
         near.groupBy("anchor", "block").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "block", "lo"),
         "copied",
     )
-    held = scratch.save(near.join(copied, ["anchor", "block"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).select("doc_id", "loc", "anchor", "varied", "copy"), "held")
-    place, length = F.shiftright("loc", SHIFT), F.col("loc").bitwiseAND((1 << SHIFT) - 1)
-    tagged = lambda at: (F.shiftright(at, TAG_SHIFT).alias("tag"), at.bitwiseAND((1 << TAG_SHIFT) - 1))
-    tag, start = tagged(place)
-    factors = held.where("copy").select("doc_id", tag, start.alias("start"), (start + length + window - 1).alias("stop"))
-    asked = held.where("varied and not copy").groupBy("doc_id").agg(F.collect_list(F.struct("loc", "anchor")).alias("asked"))
-    windows = scratch.save(docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(window), _WINDOWS), "windows")
+    held = scratch.save(near.join(copied, ["anchor", "block"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).select("doc_id", "text_key", "loc", "anchor", "varied", "copy"), "held")
+    scratch.drop("near")
+    start, length = F.shiftright("loc", SHIFT), F.col("loc").bitwiseAND((1 << SHIFT) - 1)
+    factors = held.where("copy").select("doc_id", "text_key", start.alias("start"), (start + length + window - 1).alias("stop"))
+    asked = held.where("varied and not copy").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("loc", "anchor")).alias("asked"))
+    wanted = texts.join(asked, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "asked")
+    windows = scratch.save(wanted.mapInArrow(_windows(window), _WINDOWS), "windows")
     shared = scratch.save(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "win", "lo"), "shared")
     edges = windows.join(shared, ["anchor", "win"]).where("doc_id > lo")
-    tag, start = tagged(F.col("start"))
-    edges = edges.select("doc_id", tag, start.alias("start"), (start + window).alias("stop"))
+    edges = edges.select("doc_id", "text_key", "start", (F.col("start") + window).alias("stop"))
     return factors.unionByName(edges)
 
 
 def _with_spans(docs: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """Documents with the list of their duplicate word ranges, null if none."""
     spans = duplicate_spans(docs, scratch, window)
-    listed = scratch.save(spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("_spans")), "spans")
-    for name in ("anchors", "near", "copied", "held", "windows", "shared"):
+    listed = scratch.save(spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")), "spans")
+    for name in ("anchors", "copied", "held", "windows", "shared"):
         scratch.drop(name)
-    return docs.join(listed, "doc_id", "left").select(*docs.columns, "_spans")
+    listed = listed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans")
+    same = (docs.doc_id == F.col("_id")) & (F.xxhash64(docs.text) == F.col("_key"))
+    return docs.join(listed, same, "left").select(*[docs[c] for c in docs.columns], "_spans")
 
 
-def _gone(n: int, spans, text: bytes) -> np.ndarray:
+def _gone(n: int, spans) -> np.ndarray:
     """Which of a text's n words its ranges cover."""
-    edge, tag = np.zeros(n + 1, np.int64), _tag(text)
+    edge = np.zeros(n + 1, np.int64)
     for s in spans or ():
-        if s["tag"] == tag and s["stop"] <= n:
-            edge[s["start"]] += 1
-            edge[s["stop"]] -= 1
+        edge[s["start"]] += 1
+        edge[s["stop"]] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -172,7 +166,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (texts[i].as_py() or "").encode()
             words = raw.split()
             if spans[i].is_valid:
-                gone = _gone(len(words), spans[i].as_py(), raw)
+                gone = _gone(len(words), spans[i].as_py())
                 held = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             else:
                 held = words
@@ -183,7 +177,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: words, removed words and the hash of the kept words."""
+    """Per document: words, removed words and the hash of the kept words.
+
+    A null or empty text has no words; rows that repeat a doc_id are judged text
+    by text, and rows without a doc_id lose nothing.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = _with_spans(docs, Scratch(spark, "op9"), WINDOW_WORDS)
     return held.select("doc_id", "text", "_spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -200,7 +198,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             data = np.frombuffer(text.encode(), np.uint8)
             starts, ends, _ = _text.split_words(data, np.array([0, len(data)]), _text.SPACE_WORDS)
-            gone = _gone(len(starts), spans, data.tobytes())
+            gone = _gone(len(starts), spans)
             # each removed word goes with the white space that follows it
             to = np.append(starts[1:], len(data))
             edge = np.zeros(len(data) + 1, np.int64)
@@ -222,7 +220,7 @@ def remove_duplicates(spark: SparkSession, docs: DataFrame, window: int = WINDOW
     through.
     """
     names = docs.columns
-    docs, old = shielded(docs, "_spans")
+    docs, old = shielded(docs, "_spans", "_id", "_key")
     held = _with_spans(docs, Scratch(spark, "substring"), window)
     others = [c for c in docs.columns if c != "text"]
     fields = {f.name: f for f in docs.schema.fields}
