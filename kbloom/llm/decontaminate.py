@@ -1,17 +1,20 @@
 """Benchmark decontamination by a broadcast hash set of word windows.
 
 A benchmark item of ``WINDOW_WORDS`` words or more is its set of windows of so
-many consecutive words; a shorter item is one window.  The items are broadcast
-and each worker makes their hash set, in arrays of some thirty times the items'
-bytes (250 MB for a full block).  Executors scan every document's windows with
-rolling hashes and verify each candidate word for word.  A benchmark beyond
-``BROADCAST_BYTES`` of text is broadcast in blocks, one after another, and their
-hits are merged.
+many consecutive words; a shorter item is one window.  The hashes of all windows
+are broadcast as a set of ``SET_BITS`` places, whose 32 MB are the same for a
+benchmark of any size.  Executors scan every document's windows once with rolling
+hashes; a window whose place is taken is a candidate.  Candidates are verified
+word for word by a join with the table of benchmark windows, and the hits give
+the word ranges and items of each document.
+
+Only documents with a candidate are moved: at a thousand benchmark items some
+hundredths of a percent of other windows are candidates, at a hundred million
+windows a third, and the result is the same.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,210 +27,177 @@ from kbloom.llm import _text
 from kbloom.llm._io import Scratch, Shared, shielded, table
 
 WINDOW_WORDS = 10
-#: Text of a benchmark block that is broadcast at once.
-BROADCAST_BYTES = 8 << 20
-_BITS = 22
-_LOW = np.uint64((1 << _BITS) - 1)
+#: Places of the broadcast set.
+SET_BITS = 1 << 28
 
 _SPANS = "array<struct<start: int, stop: int>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("words", pa.string())]))
+_FOUND_DDL = "array<struct<start: int, n: int, hash: bigint, words: string>>"
 
 
-class Grams:
-    """The windows of one benchmark block as arrays.
-
-    ``words`` are the block's words joined by one space each.  For each window
-    length there are the sorted hashes of the distinct windows, a place in
-    ``words`` to verify each by, and the rows of the items that have it.
-    """
-
-    def __init__(self, rows: list[tuple], width: int):
-        self.ids = [None if item is None else str(item) for item, _ in rows]
-        texts, parts, places = pa.array([text or "" for _, text in rows], pa.large_string()), [], []
-        size = 0
-        for lo, _, data, offsets in _text.chunks(texts):
-            data = _text.LOWER[data]
-            starts, ends, first = _text.split_words(data, offsets, _text.ALNUM_WORDS)
-            if len(starts) == 0:
-                continue
-            words = _text.word_hashes(data, starts, ends)
-            raw = data.tobytes()
-            parts.append(b" ".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]))
-            stop = np.cumsum(ends - starts + 1) - 1 + size
-            begin = stop - (ends - starts)
-            size += len(parts[-1]) + 1
-            n = np.diff(first)
-            long = np.minimum(n, width)
-            each = np.where(n > 0, n - long + 1, 0)
-            own = np.repeat(np.arange(len(n)), each)
-            at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
-            to = at + long[own]
-            places.append([long[own], _text.range_hashes(words, _text.FIRST_BASE)(at, to), _text.range_hashes(words, _text.SECOND_BASE)(at, to), begin[at], stop[to - 1], own + lo])
-        self.words, self.windows = b" ".join(parts), {}
-        if not places:
-            return
-        length, one, two, begin, stop, item = (np.concatenate(x) for x in zip(*places, strict=True))
-        for n in np.unique(length).tolist():
-            i = np.flatnonzero(length == n)
-            i = i[np.lexsort((item[i], two[i], one[i]))]
-            new = np.ones(len(i), bool)
-            new[1:] = (one[i][1:] != one[i][:-1]) | (two[i][1:] != two[i][:-1])
-            k = np.flatnonzero(new)
-            seen = np.zeros(1 << _BITS, bool)
-            seen[one[i] & _LOW] = True
-            self.windows[n] = seen, one[i][k], begin[i][k], stop[i][k], np.append(k, len(i)), item[i].astype(np.int32)
-
-    def items(self, windows: set[tuple[int, int]]) -> set[str]:
-        """Ids of the items that have any of the windows (length, number)."""
-        out = set()
-        for n, k in windows:
-            bounds, item = self.windows[n][4:]
-            out.update(self.ids[i] for i in item[bounds[k] : bounds[k + 1]].tolist())
-        return out - {None}
-
-
-def _grams(held: tuple[list[tuple], int]) -> Grams:
-    return Grams(*held)
-
-
-def _scan(data, offsets, grams: Grams):
-    """Word count and coverage of a chunk, and the items of each row with a hit."""
+def _hashed(data: np.ndarray, offsets: np.ndarray):
+    """Words of a chunk: lower-cased bytes, bounds, first word of each row, window hashes."""
     data = _text.LOWER[data]
     starts, ends, first = _text.split_words(data, offsets, _text.ALNUM_WORDS)
-    edge, windows = np.zeros(len(starts) + 1, np.int64), {}
-    if len(starts):
-        hashed = _text.range_hashes(_text.word_hashes(data, starts, ends), _text.FIRST_BASE)
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        raw = data.tobytes()
-        for n, (seen, keys, begin, stop, _, _) in grams.windows.items():
-            at = np.arange(len(starts) - n + 1)
-            if len(at) == 0:
-                continue
-            hashes = hashed(at, at + n)
-            found = np.flatnonzero(seen[hashes & _LOW])
-            found = found[found + n <= first[1:][doc[found]]]
-            lo, hi = np.searchsorted(keys, hashes[found]), np.searchsorted(keys, hashes[found], "right")
-            for j in np.flatnonzero(lo < hi).tolist():
-                i = int(found[j])
-                window = b" ".join([raw[starts[w] : ends[w]] for w in range(i, i + n)])
-                for k in range(int(lo[j]), int(hi[j])):
-                    if grams.words[begin[k] : stop[k]] == window:
-                        edge[i] += 1
-                        edge[i + n] -= 1
-                        windows.setdefault(int(doc[i]), set()).add((n, k))
-    covered = np.cumsum(edge[:-1]) > 0
-    return first, starts, ends, covered, {d: grams.items(held) for d, held in windows.items()}
-
-
-def _digest(shared):
+    return data, starts, ends, first, _text.range_hashes(_text.word_hashes(data, starts, ends), _text.FIRST_BASE) if len(starts) else None
+
+
+def _windows(width: int):
+    """Each item's windows: length, hash and words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.once(_grams)
-        none = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            for lo, hi, data, offsets in _text.chunks(batch.column(1)):
-                first, _, _, covered, items = _scan(data, offsets, grams)
-                upto = np.concatenate([[0], np.cumsum(covered)])
-                hit = upto[first[1:]] - upto[first[:-1]]
-                listed = [sorted(items.get(i, ())) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(hit), pa.array([len(x) for x in listed], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in listed]), pa.array(hit > 0)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+            for lo, _, data, offsets in _text.chunks(batch.column(1)):
+                data, starts, ends, first, hashes = _hashed(data, offsets)
+                raw, rows, lengths, held, words = data.tobytes(), [], [], [], []
+                for r in range(len(first) - 1):
+                    count = int(first[r + 1] - first[r])
+                    n = min(count, width)
+                    at = np.arange(first[r], first[r + 1] - n + 1) if count else np.zeros(0, np.int64)
+                    rows += [lo + r] * len(at)
+                    lengths += [n] * len(at)
+                    held.append(hashes(at, at + n).view(np.int64) if count else at)
+                    words += [b" ".join([raw[starts[w] : ends[w]] for w in range(i, i + n)]).decode() for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *held])), pa.array(words, pa.string())], ["item", "n", "hash", "words"])
 
     return run
 
 
-def _spans(shared):
-    """Adds to each row the covered word ranges and the ids of the items hit."""
+class Places:
+    """The broadcast set: taken places, and the window lengths that occur."""
+
+    def __init__(self, held: tuple[int, list[int], list[tuple[int, bytes]]]):
+        bits, self.lengths, parts = held
+        self.mask, self.taken = np.uint64(bits - 1), np.zeros(bits >> 3, np.uint8)
+        for k, part in parts:
+            self.taken[k * len(part) : (k + 1) * len(part)] = np.frombuffer(part, np.uint8)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes & self.mask).view(np.int64)
+        return (self.taken[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+class Benchmark:
+    """A benchmark's windows as a table and as the broadcast set of their hashes."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, width: int, scratch: Scratch):
+        items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+        each = items.mapInArrow(_windows(width), "item string, n int, hash long, words string")
+        # one row for each window, with the items that have it
+        self.windows = scratch.save(each.groupBy("n", "hash", "words").agg(F.array_sort(F.collect_set("item")).alias("items")), "windows")
+        lengths = sorted(r.n for r in self.windows.select("n").distinct().collect())
+        low = F.col("hash").bitwiseAND(F.lit(SET_BITS - 1))
+        parts = self.windows.groupBy(F.floor(low / 32768).alias("k")).agg(F.bitmap_construct_agg(F.pmod(low, F.lit(32768))).alias("bits"))
+        self.places = Shared(spark, (SET_BITS, lengths, [(int(r.k), bytes(r.bits)) for r in parts.toLocalIterator()]))
+
+
+def _candidates(places: Shared):
+    """Adds to each row (text first) its word count and its candidate windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.once(_grams)
+        held: Places = places.once(Places)
         for batch in batches:
             for lo, hi, data, offsets in _text.chunks(batch.column(0)):
-                first, _, _, covered, items = _scan(data, offsets, grams)
-                spans = []
-                for i in range(hi - lo):
-                    own = covered[first[i] : first[i + 1]]
-                    if i not in items and not own.any():
-                        spans.append([])
-                        continue
-                    step = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
-                    spans.append([{"start": s, "stop": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)])
+                data, starts, ends, first, hashes = _hashed(data, offsets)
+                found: dict[int, list] = {}
+                if len(starts):
+                    raw = data.tobytes()
+                    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                    for n in held.lengths:
+                        at = np.arange(len(starts) - n + 1)
+                        if len(at) == 0:
+                            continue
+                        own = hashes(at, at + n)
+                        at = np.flatnonzero(held.has(own))
+                        at = at[at + n <= first[1:][doc[at]]]
+                        for i, h in zip(at.tolist(), own[at].view(np.int64).tolist(), strict=True):
+                            words = b" ".join([raw[starts[w] : ends[w]] for w in range(i, i + n)]).decode()
+                            found.setdefault(int(doc[i]), []).append({"start": i - int(first[doc[i]]), "n": n, "hash": h, "words": words})
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array([sorted(items.get(i, ())) for i in range(hi - lo)], pa.list_(pa.string())), *part.columns],
-                    ["_spans", "_items", *part.schema.names],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(first)), pa.array([found.get(i, []) for i in range(hi - lo)], _FOUND), *part.columns], ["_n", "_found", *part.schema.names])
 
     return run
 
 
-def _parts(benchmark: DataFrame, most_bytes: int) -> tuple[DataFrame, int]:
-    """The distinct items with the block of each, and how many blocks there are."""
-    items = benchmark.select("item_id", "text").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-size // most_bytes) or 1
-    return items.withColumn("block", F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.col("text")), F.lit(n))), n
+def _scanned(docs: DataFrame, places: Shared) -> DataFrame:
+    """``docs`` (text first) with _n, the words, and _found, the candidates."""
+    schema = StructType([*StructType.fromDDL(f"_n long, _found {_FOUND_DDL}").fields, *docs.schema.fields])
+    return docs.mapInArrow(_candidates(places), schema)
+
+
+def _hits(found: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """(_id, _key, _spans, _items) of the texts with a verified window.
+
+    ``found(_id, _key, _found)``.  Ranges and items of a text are gathered in one
+    row: there are no more of them than its words and the benchmark's items.
+    """
+    each = found.where("size(_found) > 0").distinct().select("_id", "_key", F.explode("_found").alias("f")).select("_id", "_key", "f.*")
+    true = each.join(benchmark.windows, ["n", "hash", "words"])
+    span = F.struct("start", (F.col("start") + F.col("n")).alias("stop"))
+    return true.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(span)).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
 
 
-def blocks(benchmark: DataFrame, width: int, most_bytes: int = BROADCAST_BYTES) -> Iterator[tuple[list[tuple], int]]:
-    """What is broadcast: the items in blocks of checked size, with the width."""
-    items, n = _parts(benchmark, most_bytes)
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.col("block") == k).select("item_id", "text").toLocalIterator()], width
+def _key(text: str = "text"):
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64(text)
 
 
-def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with _spans (word ranges inside benchmark windows) and _items.
+def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
+    """``docs`` with _n (words), _spans (word ranges inside benchmark windows) and _items.
 
     Null and empty texts have no words and no hits.  An item without a word, or
     a null one, has no window; items with a null id cover words but are listed
-    by no id.  Items that repeat an id count once.  With several blocks each
-    scans all documents, its hits are written, and one join brings them together.
+    by no id.  Items that repeat an id count once.  Rows that repeat a doc_id are
+    judged text by text.
     """
-    schema = StructType([f for f in docs.schema.fields if f.name == "text"] + [f for f in docs.schema.fields if f.name != "text"])
-    order = [f.name for f in schema.fields]
-    wide = StructType.fromDDL(f"_spans {_SPANS}, _items array<string>").fields + schema.fields
-    scratch, hits, held = Scratch(spark, "decontaminate"), None, None
-    for k, block in enumerate(blocks(benchmark, width, most_bytes)):
-        if held is not None:
-            found = _hits(held)
-            hits = scratch.save(found, f"block-{k}") if hits is None else hits.unionByName(scratch.save(found, f"block-{k}"))
-        held = docs.select(*order).mapInArrow(_spans(Shared(spark, block)), StructType(wide))
-    if hits is None:
-        return held
-    every = hits.unionByName(scratch.save(_hits(held), "block-last")).groupBy("_id", "_text")
-    merged = scratch.save(every.agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items")), "hits")
-    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.sha2(docs.text, 256) == F.col("_text"))
+    docs, clean, joined, _ = _joined(spark, docs, benchmark, width)
     none = F.array().cast
-    return docs.join(merged, same, "left").select(F.coalesce("_spans", none(_SPANS)).alias("_spans"), F.coalesce("_items", none("array<string>")).alias("_items"), *[docs[c] for c in order])
-
-
-def _hits(found: DataFrame) -> DataFrame:
-    """The distinct documents with a hit in a block, by id and hash of the text."""
-    return found.where("size(_items) > 0 or size(_spans) > 0").select(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_text"), "_spans", "_items").distinct()
+    clean = clean.select("_n", none(_SPANS).alias("_spans"), none("array<string>").alias("_items"), *docs.columns)
+    return clean.unionByName(joined)
+
+
+def _joined(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int):
+    """Documents without a candidate as they are, those with one joined with their hits."""
+    scratch = Scratch(spark, "decontaminate")
+    held = Benchmark(spark, benchmark, width, scratch)
+    docs = docs.select("text", *[c for c in docs.columns if c != "text"])
+    scanned = _scanned(docs, held.places)
+    suspects = scratch.save(scanned.where("size(_found) > 0").withColumns({"_id": F.col("doc_id"), "_key": _key()}), "suspects")
+    hits = scratch.save(_hits(suspects.select("_id", "_key", "_found"), held), "hits")
+    none = F.array().cast
+    renamed = hits.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "_spans", "_items")
+    same = suspects["_id"].eqNullSafe(F.col("_i")) & (suspects["_key"] == F.col("_k"))
+    joined = suspects.join(renamed, same, "left").select("_n", F.coalesce("_spans", none(_SPANS)).alias("_spans"), F.coalesce("_items", none("array<string>")).alias("_items"), *[suspects[c] for c in docs.columns])
+    return docs, scanned.where("size(_found) = 0"), joined, scratch
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: words, hit words, items hit and the hash of their ids."""
+    """Per document: words, hit words, items hit and the hash of their ids.
+
+    A null or empty text has no words.  Rows that repeat a doc_id are judged text
+    by text, those that repeat both alike.
+    """
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    if _parts(benchmark, BROADCAST_BYTES)[1] > 1:
-        return digest_of(find_hits(spark, docs, benchmark))
-    block = next(blocks(benchmark, WINDOW_WORDS))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.mapInArrow(_digest(Shared(spark, block)), schema)
+    return digest(spark, docs, benchmark)
 
 
-def digest_of(hits: DataFrame) -> DataFrame:
-    """The digest columns from the ranges of `find_hits`."""
-    words = F.size(F.filter(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
+def digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
+    """The digest columns of ``docs(doc_id, text)``; no text is kept past the scan."""
+    scratch = Scratch(spark, "op8")
+    held = Benchmark(spark, benchmark, width, scratch)
+    found = _scanned(docs.select("text", "doc_id"), held.places).select(F.col("doc_id").alias("_id"), _key().alias("_key"), "_n", "_found")
+    found = scratch.save(found, "found")
+    hits = scratch.save(_hits(found.select("_id", "_key", "_found"), held), "hits").withColumnsRenamed({"_id": "_i", "_key": "_k"})
+    rows = found.join(hits, found["_id"].eqNullSafe(hits["_i"]) & (found["_key"] == hits["_k"]), "left")
     covered = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["stop"] - 1))))
-    return hits.select(
-        "doc_id",
-        F.coalesce(words, F.lit(0)).cast("long").alias("n_words"),
-        F.size(covered).cast("long").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
-        (F.size("_spans") > 0).alias("contaminated"),
+    items = F.coalesce("_items", F.array().cast("array<string>"))
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        F.col("_n").alias("n_words"),
+        F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("_spans").isNotNull().alias("contaminated"),
     )
 
 
@@ -258,10 +228,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     document stays, with an empty text if nothing is left.
     """
     names = docs.columns
-    docs, old = shielded(docs, "_spans", "_items", "_id", "_text", "_s", "_i")
-    hits = find_hits(spark, docs, benchmark, width)
+    docs, old = shielded(docs, "_n", "_found", "_spans", "_items", "_id", "_key", "_i", "_k")
+    docs, clean, joined, _ = _joined(spark, docs, benchmark, width)
     if drop_documents:
-        return hits.where("size(_spans) = 0").drop("_spans", "_items").withColumnsRenamed(old).select(*names)
-    fields = {f.name: f for f in docs.schema.fields}
-    others = [c for c in docs.columns if c != "text"]
-    return hits.select("_spans", "text", *others).mapInArrow(_cut, StructType([fields["text"], *(fields[c] for c in others)])).withColumnsRenamed(old).select(*names)
+        return clean.select(*docs.columns).unionByName(joined.where("size(_spans) = 0").select(*docs.columns)).withColumnsRenamed(old).select(*names)
+    cut = joined.select("_spans", *docs.columns).mapInArrow(_cut, docs.schema)
+    return clean.select(*docs.columns).unionByName(cut).withColumnsRenamed(old).select(*names)

@@ -238,18 +238,22 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("most_bytes", [1 << 20, 60])
-def test_contamination_matches_brute_force(spark, most_bytes):
-    docs = spark.createDataFrame(rows(TEXTS), DOCS)
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    hits = decontaminate.find_hits(spark, docs, items, most_bytes=most_bytes)
-    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest_of(hits).collect()}
-    assert got == contaminated(TEXTS, ITEMS)
-    grams = next(decontaminate.blocks(items, 10))
-    from kbloom.llm._io import Shared
-
-    quick = docs.select("doc_id", "text").mapInArrow(decontaminate._digest(Shared(spark, grams)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    assert {r.doc_id: tuple(r)[1:] for r in quick.collect()} == contaminated(TEXTS, ITEMS)
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 15])
+def test_contamination_matches_brute_force(spark, monkeypatch, bits):
+    """Also with a set so small that many windows are candidates."""
+    monkeypatch.setattr(decontaminate, "SET_BITS", bits)
+    r = random.Random(12)
+    filler = [" ".join(r.choice("abcdefgh") + r.choice("aeiou") for _ in range(400)) for _ in range(30)]
+    texts = TEXTS + [(10 + k, t) for k, t in enumerate(filler)] + [(7, TEXTS[0][1]), (7, "another text of that id")]
+    items = ITEMS + [(100 + k, t[:200]) for k, t in enumerate(filler[:5])] + [(200, filler[0][50:150])]
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(texts[:-2], items)
+    got = [tuple(x) for x in decontaminate.digest(spark, docs.select("doc_id", "text"), bench).collect()]
+    assert {x[0]: x[1:] for x in got if x[0] != 7} == want
+    assert sorted(x[1:] for x in got if x[0] == 7) == sorted(contaminated([(k, t) for k, (_, t) in enumerate(texts[-2:])], items).values())
+    hits = decontaminate.find_hits(spark, docs, bench)
+    assert {(x.doc_id, len({i for s in x._spans for i in range(s.start, s.stop)}), len(x._items)) for x in hits.collect() if x.doc_id != 7} == {(k, v[1], v[2]) for k, v in want.items()}
 
 
 def test_benchmark_removal(spark):
