@@ -15,6 +15,7 @@ windows a third, and the result is the same.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,11 +67,10 @@ def _windows(width: int):
 class Places:
     """The broadcast set: taken places, and the window lengths that occur."""
 
-    def __init__(self, held: tuple[int, list[int], list[tuple[int, bytes]]]):
-        bits, self.lengths, parts = held
-        self.mask, self.taken = np.uint64(bits - 1), np.zeros(bits >> 3, np.uint8)
-        for k, part in parts:
-            self.taken[k * len(part) : (k + 1) * len(part)] = np.frombuffer(part, np.uint8)
+    def __init__(self, held: tuple[list[int], bytes]):
+        self.lengths, packed = held
+        self.taken = np.frombuffer(zlib.decompress(packed), np.uint8)
+        self.mask = np.uint64(8 * len(self.taken) - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         place = (hashes & self.mask).view(np.int64)
@@ -88,7 +88,10 @@ class Benchmark:
         lengths = sorted(r.n for r in self.windows.select("n").distinct().collect())
         low = F.col("hash").bitwiseAND(F.lit(SET_BITS - 1))
         parts = self.windows.groupBy(F.floor(low / 32768).alias("k")).agg(F.bitmap_construct_agg(F.pmod(low, F.lit(32768))).alias("bits"))
-        self.places = Shared(spark, (SET_BITS, lengths, [(int(r.k), bytes(r.bits)) for r in parts.toLocalIterator()]))
+        taken = np.zeros(SET_BITS >> 3, np.uint8)
+        for r in parts.toLocalIterator():
+            taken[int(r.k) * 4096 : (int(r.k) + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+        self.places = Shared(spark, (lengths, zlib.compress(taken.tobytes(), 1)))
 
 
 def _candidates(places: Shared):

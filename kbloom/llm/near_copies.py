@@ -7,7 +7,10 @@ bits of the fingerprints of the same shingles.  Most pairs of similarity 0.8 lie
 farther apart, about ten bits and up to a third of the 64, which no segment
 index prunes, so candidates are completed by prefix filtering and none is missed:
 under any common order of shingles, sets of that similarity share one among the
-first n - ceil(4n/5) + 1 of each.  Every candidate is checked on the whole sets.
+first n - ceil(4n/5) + 1 of each.  A candidate is first bounded by the counts of
+both sets in hash buckets, one byte for about eight shingles, of which no pair of
+sets shares more than the lesser; what the bound lets through is checked on the
+whole sets.  So texts are moved only for pairs that are alike in large parts.
 
 The order puts shingles that are common in a sample of the documents last, so
 that running lines seldom lie in a prefix; the sample changes the work and
@@ -24,6 +27,7 @@ of copies costs about one comparison a member and not one a pair.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,21 +77,52 @@ def _shingles(width: int):
 
 def _similar(width: int):
     """The pairs (a, b, text_a, text_b) whose sets are similar enough."""
-    num, den = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = (_sets(pa.RecordBatch.from_arrays([batch.column(0), batch.column(k)], ["id", "text"]), width) for k in (2, 3))
-            keep = []
-            for (_, x), (_, y) in zip(*both, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common * (num + den) >= (len(x) + len(y)) * num)
+            keep = [_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for (_, x), (_, y) in zip(*both, strict=True)]
             found = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["a", "b"])
 
     return run
 
 
+def _enough(overlap: int, n_a: int, n_b: int) -> bool:
+    return overlap * sum(LEAST) >= (n_a + n_b) * LEAST[0]
+
+
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """Counts of a set in hash buckets, a power of two that is an eighth of it or more."""
+    buckets = 16
+    while 8 * buckets < len(h):
+        buckets *= 2
+    return np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+
+
+def _most_common(x: np.ndarray, y: np.ndarray, n: int) -> int:
+    """What sets with these sketches share at most, n at any rate."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    # the low bits of a hash choose its bucket, so halves of a sketch add up to a smaller one
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    least = np.minimum(x, y)
+    return n if (least >= 255).any() else min(n, int(least.sum()))
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, n_a, n_b, sketch_a, sketch_b) that may be similar enough."""
+    for batch in batches:
+        keep = []
+        for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            most = _most_common(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), min(n_a, n_b))
+            keep.append(_enough(most, n_a, n_b))
+        found = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["a", "b"])
+
+
 def _repeated(bitmap: Shared):
     """(id, n, at, h) of the prefix shingles that the bitmap has."""
 
@@ -106,19 +141,18 @@ def _repeated(bitmap: Shared):
     return run
 
 
-def _bits(parts: list[tuple[int, bytes]]) -> np.ndarray:
-    out = np.zeros(BITMAP_BITS >> 3, np.uint8)
-    for k, part in parts:
-        out[k * len(part) : (k + 1) * len(part)] = np.frombuffer(part, np.uint8)
-    return out
+def _bits(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
 def _bitmap(spark: SparkSession, hashes: DataFrame) -> Shared:
     """Which low bits of ``hashes(h)`` occur; at most BITMAP_BITS / 8 bytes reach the driver."""
     low = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    # bucket numbers count from one, bit positions from zero
     parts = hashes.groupBy(F.floor(low / 32768).alias("k")).agg(F.bitmap_construct_agg(F.pmod(low, F.lit(32768))).alias("bits"))
-    return Shared(spark, [(int(r.k), bytes(r.bits)) for r in parts.toLocalIterator()])
+    out = np.zeros(BITMAP_BITS >> 3, np.uint8)
+    for r in parts.toLocalIterator():
+        out[int(r.k) * 4096 : (int(r.k) + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return Shared(spark, zlib.compress(out.tobytes(), 1))
 
 
 def _prefixes(width: int, common: Shared):
@@ -129,22 +163,22 @@ def _prefixes(width: int, common: Shared):
         for batch in batches:
             for part in _parts((k, *_prefix(h, hashes, places, len(h) + num * -len(h) // den + 1)) for k, h in _sets(batch, width)):
                 rows, held, rest = zip(*part, strict=True)
-                sizes, digests = zip(*rest, strict=True)
-                columns = [batch.column(0).take(pa.array(rows)), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), _lists(held)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "prefix"])
+                sizes, digests, sketches = zip(*rest, strict=True)
+                columns = [batch.column(0).take(pa.array(rows)), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), _lists(held), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "prefix", "sketch"])
 
     return run
 
 
 def _prefix(h: np.ndarray, hashes: np.ndarray, places: np.ndarray, size: int):
-    """The first shingles of a set in the common order, and (size, digest) of the set."""
+    """The first shingles of a set in the common order, and (size, digest, sketch) of the set."""
     digest = xxhash.xxh64_intdigest(h.tobytes())
     ordered = h
     if len(hashes) and len(h):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         rank = np.where(hashes[at] == h, places[at], -1)
         ordered = h[np.lexsort((h, rank))]
-    return ordered[:size] if len(h) else h, (len(h), digest - (1 << 64) if digest >> 63 else digest)
+    return ordered[:size] if len(h) else h, (len(h), digest - (1 << 64) if digest >> 63 else digest, _sketch(h).tobytes())
 
 
 def _parts(rows, limit: int = 1 << 19):
@@ -190,12 +224,15 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").where(_reaches(most, F.col("n_a"), F.col("n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; only their texts are moved."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; only texts of likely ones are moved."""
+    a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    close = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bounded, "a long, b long")
+    close = scratch.save(close, f"{name}-close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = scratch.save(docs.join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), f"{name}-texts")
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(width), "a long, b long")
+    found = close.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(width), "a long, b long")
     found = scratch.save(found, name)
     scratch.drop(f"{name}-texts")
     return found
@@ -231,13 +268,14 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     scratch = Scratch(spark, "near-copies")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     common = Shared(spark, _common(docs, width))
-    held = scratch.save(docs.mapInArrow(_prefixes(width, common), "id long, digest long, n int, prefix array<long>"), "prefixes")
+    held = scratch.save(docs.mapInArrow(_prefixes(width, common), "id long, digest long, n int, prefix array<long>, sketch binary"), "prefixes")
     keys = scratch.save(held.select("id", "n", "digest"), "keys")
     nodes = scratch.save(keys.groupBy("n", "digest").agg(F.min("id").alias("node")), "nodes")
-    sole = scratch.save(held.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "n", "prefix"), "sole")
+    sole = scratch.save(held.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "n", "prefix", "sketch"), "sole")
     scratch.drop("prefixes")
     twice = sole.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h")
-    members = scratch.save(sole.mapInArrow(_repeated(_bitmap(spark, twice)), "id long, n int, at int, h long"), "members")
+    members = scratch.save(sole.select("id", "n", "prefix").mapInArrow(_repeated(_bitmap(spark, twice)), "id long, n int, at int, h long"), "members")
+    sketches = scratch.save(sole.select("id", "n", "sketch"), "sketches")
     scratch.drop("sole")
     entry = F.struct("n", "id", "at")
     ends = scratch.save(members.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("many > 1").drop("many"), "ends")
@@ -245,10 +283,10 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     stars = scratch.save(_possible(stars.select("a", "n_a", "at_a", F.col("r.id").alias("b"), F.col("r.n").alias("n_b"), F.col("r.at").alias("at_b"))), "stars")
     best = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tried = scratch.save(best.unionByName(_simhash_pairs(spark, docs, nodes, width, scratch)).distinct(), "tried")
-    first = _verified(tried, docs, width, scratch, "first")
+    first = _verified(tried, docs, sketches, width, scratch, "first")
     found = components(first, scratch, "first-cc")
     more = scratch.save(_apart(stars, found).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
-    second = _verified(more, docs, width, scratch, "second")
+    second = _verified(more, docs, sketches, width, scratch, "second")
     links = first.unionByName(second)
     found = components(links, scratch, "second-cc")
     named = members.join(found, members.id == found.node, "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("c"))
@@ -261,7 +299,7 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     pairs = _possible(a.join(b, "h").where("c_a < c_b")).join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
     scratch.drop("open")
-    third = _verified(pairs, docs, width, scratch, "third")
+    third = _verified(pairs, docs, sketches, width, scratch, "third")
     found = components(links.unionByName(third), scratch)
     named = nodes.join(found, nodes.node == found.node, "left").select("n", "digest", F.coalesce("component", nodes.node).alias("component_id"))
     named = scratch.save(named, "classes")

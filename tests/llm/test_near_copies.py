@@ -68,3 +68,20 @@ def test_pipeline_stage_removes_a_near_copy(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(x.doc_id for x in kept.collect()) == [1, 3]
+
+
+def test_sketches_never_bound_too_low():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = draw.integers(1, 3000, 2)
+        x = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: draw.integers(0, n + 1)], draw.integers(0, 1 << 62, m).astype(np.uint64)]))
+        most = near_copies._most_common(near_copies._sketch(x), near_copies._sketch(y), min(len(x), len(y)))
+        assert most >= len(np.intersect1d(x, y))
+    # sets without a common member are told apart
+    x, y = (np.unique(draw.integers(0, 1 << 62, 5000).astype(np.uint64)) for _ in "xy")
+    assert not near_copies._enough(near_copies._most_common(near_copies._sketch(x), near_copies._sketch(y), 5000), 5000, 5000)
+    full = np.arange(5000, dtype=np.uint64) * np.uint64(1 << 20)
+    assert near_copies._most_common(near_copies._sketch(full), near_copies._sketch(full), 5000) == 5000
