@@ -6,6 +6,8 @@ are rounded half up on their binary value.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,19 @@ def half_up(number: Column, digits: int) -> Column:
     return F.floor(number * scale + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+#: Alternatives in one group that begin and end with word characters.
+_PLAIN = re.compile(r"(\\b|\^)\(((?:[a-z0-9]|(?<=[a-z0-9])[' -](?=[a-z0-9])|(?<=[a-z0-9])\|(?=[a-z0-9]))+)\)\\b")
+
+
 def words_bounded(pattern: str) -> str:
-    """A pattern with every \\b made an ASCII boundary."""
+    """A pattern with every \\b made an ASCII boundary.
+
+    A group of plain words needs half a boundary on either side.
+    """
+    plain = _PLAIN.fullmatch(pattern)
+    if plain:
+        start = "^" if plain[1] == "^" else "(?<![A-Za-z0-9_])"
+        return f"{start}({plain[2]})(?![A-Za-z0-9_])"
     return pattern.replace(r"\b", B)
 
 

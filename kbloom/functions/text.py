@@ -26,6 +26,7 @@ committed dedicated mission vision choose why us
 """.split()
 
 WORD = r"\b[a-zA-Z'’]+\b"
+# Patterns of what a text says.
 YOU = r"\b(you|your|yours|you're|you'll)\b"
 WE = r"\b(we|our|ours|we're|we'll|us)\b"
 # Fixed value: verbs that open an instruction.
@@ -33,6 +34,7 @@ IMPERATIVE = (
     r"^(call|get|schedule|book|contact|request|discover|find|learn|explore|start|try|join|sign|visit|see|check|let|don't|make|"
     r"take|give|ask|trust|choose|protect|save|stop|keep|bring|read|download|subscribe|order|shop|browse)\b"
 )
+# Fixed value: marks of text that isn't prose.
 BOILERPLATE = r"\b(cookie|privacy policy|all rights reserved|©|skip to (main )?content)\b"
 
 
@@ -41,8 +43,15 @@ def has(text: Column, pattern: str) -> Column:
     return F.lower(text).rlike(words_bounded(pattern))
 
 
+#: WORD with each boundary as the two cases that its first and last characters leave.
+_WORD = (
+    r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z])|(?<=[A-Za-z0-9_])(?=['’]))[a-zA-Z'’]+"
+    r"(?:(?<=[A-Za-z])(?![A-Za-z0-9_])|(?<=['’])(?=[A-Za-z0-9_]))"
+)
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(words_bounded(WORD)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
 def sentences(squashed: Column) -> Column:
@@ -58,9 +67,22 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(clean) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(cut, F.lit("[aeiouy]{1,2}"))))
 
 
+def syllable_sum(all_words: Column) -> Column:
+    """The `syllables` of all words together, by the same rules over one joined text."""
+    clean = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.array_join(all_words, " ")), "[^a-z ]", ""), F.lit(" "))
+
+    def longer(text: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(text, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?= )", ""), "(?<= )y", "")
+        return let(cut, lambda t: F.regexp_count(t, F.lit("[aeiouy]{1,2}")) + F.regexp_count(t, F.lit("(?<= )[^aeiouy ]*(?= )")))
+
+    some = let(clean, lambda t: F.regexp_count(t, F.lit("(?<= )[a-z]{0,3}(?= )")) + let(F.regexp_replace(t, "(?<= )[a-z]{0,3} ", ""), longer))
+    return F.when(F.size(all_words) > 0, some).otherwise(0)
+
+
 def term(word: Column) -> Column:
     """A word as a topic term; null for short, long, stop and generic words."""
-    low = F.regexp_replace(F.lower(word), "['’]s$", "")
+    whole = F.lower(word)
+    low = F.when(F.endswith(whole, F.lit("'s")) | F.endswith(whole, F.lit("’s")), F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
     return F.when(F.length(low).between(4, 24) & ~low.isin(sorted({*STOP_WORDS, *BUSINESS_WORDS})), low)
 
 
@@ -70,7 +92,7 @@ def metrics(text: Column, split: Column, all_words: Column) -> Column:
     mean = w / n
     lengths = F.transform(split, lambda s: F.size(F.split(s, " ")).cast("double"))
     spread = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    spoken = F.aggregate(all_words, F.lit(0), lambda a, x: a + syllables(x))
+    spoken = syllable_sum(all_words)
     grade = F.lit(0.39) * mean + F.lit(11.8) * (spoken / w) - F.lit(15.59)
     empty = (n == 0) | (w == 0)
     ratio = lambda p: F.when(empty, 0.0).otherwise(half_up(F.size(F.filter(split, p)) / n, 2))
@@ -104,6 +126,7 @@ def exemplars(split: Column, most: int = 12) -> Column:
 
 # --- patterns ---
 
+# Patterns of what a text says.
 PHONE = r"(?:\+?1[\s.\-]?)?\(?[0-9]{3}\)?[\s.\-]?[0-9]{3}[\s.\-]?[0-9]{4}"
 EMAIL = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
 US_ADDRESS = r"^(.*?),?\s*([A-Za-z .'\-]{2,30}),?\s+([A-Z]{2})\s+([0-9]{5}(?:-[0-9]{4})?)$"
@@ -202,6 +225,7 @@ HEADLINES = [
     ("seasonal", r"\b(spring|summer|fall|autumn|winter|holiday|christmas|new year)\b"),
     ("announcement", r"\b(announcing|introducing|now offering|we[' ]re excited|new at|welcome)\b"),
 ]
+# Patterns of what a text says.
 LOCAL = r"\bin\s+[A-Z][a-z]+(?:,\s*[A-Z]{2})?\s*$|\bnear (me|you)\b"
 
 
@@ -246,6 +270,7 @@ CREDENTIALS = [
     ("Multiple Listing Service", "membership", r"\bMLS\b"),
     ("Chamber of Commerce", "membership", r"(?i)Chamber of Commerce"),
 ]
+# Patterns of what a text says.
 SEASONAL = (
     r"\b((?:spring|summer|fall|autumn|winter|holiday|christmas|black friday|new year|memorial day|labor day|back[\- ]to[\- ]school)\b"
     r"[^.!?]{0,60}(?:special|savings|sale|offer|promotion|discount|deal|event))"

@@ -24,23 +24,49 @@ def excerpts(docs: DataFrame, site: str, order: str, budget: int) -> DataFrame:
     return docs.withColumn("used", used).where(F.col("used") < budget).withColumn("take", F.least(F.col("n"), F.lit(budget) - F.col("used")).cast("int"))
 
 
+#: Characters of a quote that is looked for.
+LEAST_QUOTE = 8
+
+
 def verbatim(quotes: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
     """(item_id, doc_id) where ``quotes.q`` is a substring of ``docs.t``.
 
-    A quote may begin and end inside a word, so its anchor is the run of its
-    second to fourth words, which are whole if it has five or more; shorter
-    quotes have no anchor and are looked for in every document.
+    A quote may begin and end inside a word, but its inner words are whole.  Its
+    anchor is the run of its second to fourth words; with three or four words its
+    longest inner word; with two, four characters of the longer one at the space
+    between; with one, its first characters.  Documents are looked up by anchors
+    alone.  Quotes of fewer than ``LEAST_QUOTE`` characters are not looked for.
     """
-    parts = F.split("q", " ")
+    keyed = quotes.where(F.length("q") >= LEAST_QUOTE).withColumn("anchor", let(F.split("q", " "), lambda p: _anchor(p, words)))
+    spread = docs.select("doc_id", F.explode(let(F.split("t", " "), lambda w: _anchors(w, words))).alias("anchor"))
+    near = spread.join(keyed.select("item_id", "anchor"), "anchor").select("item_id", "doc_id").distinct()
+    return near.join(docs, "doc_id").join(keyed.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
+
+
+def _anchor(parts: Column, words: int) -> Column:
+    """The key of a quote by its words; its first letter tells the kinds apart."""
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    keyed = quotes.withColumn("anchor", F.when(F.size(inner) >= words, F.array_join(F.slice(inner, 1, words), " ")))
-    long, short = keyed.where("anchor is not null"), keyed.where("anchor is null").drop("anchor")
-    grams = let(F.split("t", " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, words), " "))))
-    spread = docs.select("doc_id", F.explode(grams).alias("anchor"))
-    near = spread.join(long.select("item_id", "anchor"), "anchor").select("item_id", "doc_id").distinct()
-    exact = near.join(docs, "doc_id").join(long.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
-    few = docs.join(short, F.contains("t", "q")).select("item_id", "doc_id")
-    return exact.unionByName(few)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    at_space = F.when(F.length(first) >= 4, F.concat(F.lit("E "), F.right(first, F.lit(4)))).otherwise(F.concat(F.lit("S "), F.left(second, F.lit(4))))
+    return (
+        F.when(F.size(inner) >= words, F.concat(F.lit("R "), F.array_join(F.slice(inner, 1, words), " ")))
+        .when(F.size(inner) > 0, F.concat(F.lit("W "), longest))
+        .when(F.size(parts) == 2, at_space)
+        .otherwise(F.concat(F.lit("C "), F.left(first, F.lit(LEAST_QUOTE))))
+    )
+
+
+def _anchors(w: Column, words: int) -> Column:
+    """All keys that a document of these words can be found by."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.concat(F.lit("R "), F.array_join(F.slice(w, i, words), " ")))
+    known = F.array_distinct(w)
+    long = F.filter(known, lambda x: F.length(x) >= LEAST_QUOTE)
+    inside = F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (LEAST_QUOTE - 1)), lambda i: F.concat(F.lit("C "), F.substring(x, i, F.lit(LEAST_QUOTE))))))
+    four = F.filter(known, lambda x: F.length(x) >= 4)
+    ends = F.transform(four, lambda x: F.concat(F.lit("E "), F.right(x, F.lit(4))))
+    starts = F.transform(four, lambda x: F.concat(F.lit("S "), F.left(x, F.lit(4))))
+    return F.array_distinct(F.concat(runs, F.transform(known, lambda x: F.concat(F.lit("W "), x)), ends, starts, inside))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,6 +154,7 @@ def google_fonts(href: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(href, F.lit("family=([^&:]+)"), F.lit(1)), lambda x: F.trim(F.try_url_decode(x))), lambda x: x != "")
 
 
+# Patterns of a copyright line and of legal forms.
 COPYRIGHT = r"(?i)(?:©|\(c\)|copyright)([^|\n]{3,120})"
 COPYRIGHT_NOISE = r"(?i)(?<![A-Za-z0-9_])all\s+rights\s+reserved.*$|copyright|©|\(c\)|(?:18|19|20)[0-9]{2}(?:\s*[\-–—]\s*(?:18|19|20)[0-9]{2})?"
 FOOTER_TAIL = r"(?i)(?<![A-Za-z0-9_])(privacy|terms|cookie\s+policy|sitemap|accessibility|disclaimer|web(?:site)?\s+(?:design|by)|designed?\s+by|powered\s+by|built\s+by).*$"

@@ -9,6 +9,10 @@ from kbloom.functions import text as T
 from kbloom.functions.dialect import half_up
 
 
+#: Terms frequent enough for a theme, and not on nearly every page.
+MAY_FOUND = "tf >= 4 and spread < 0.9"
+
+
 def incidence(docs: DataFrame) -> DataFrame:
     """(site, doc, term, n, pos): how often a term is in each document.
 
@@ -25,15 +29,16 @@ def statistics(found: DataFrame, docs: DataFrame) -> DataFrame:
     return each.join(size, "site").withColumn("spread", F.col("df") / F.greatest(F.col("docs"), F.lit(1)))
 
 
-def top_terms(found: DataFrame, most: int = 15, least: int = 3) -> DataFrame:
-    """The most frequent terms of each site, alphabetical among equals."""
-    each = found.groupBy("site", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def top_terms(docs: DataFrame, most: int = 15, least: int = 3) -> DataFrame:
+    """The most frequent terms of each site of ``docs(site, text)``, alphabetical among equals."""
+    words = docs.select("site", F.explode(T.words(F.col("text"))).alias("word"))
+    each = words.select("site", T.term(F.col("word")).alias("term")).where("term is not null").groupBy("site", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "term"))).where(F.col("rank") <= most)
 
 
 def candidates(stats: DataFrame) -> DataFrame:
     """Terms that may found a theme, in order of frequency and first place."""
-    good = stats.where("tf >= 4 and spread < 0.9")
+    good = stats.where(MAY_FOUND)
     return good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("tf"), "first")))
 
 

@@ -195,11 +195,11 @@ def template_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT o_custkey AS doc, o_orderkey, list({'name': 'P' || l_partkey, 'role': l_returnflag} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY ALL)
+WITH d AS (SELECT o_custkey AS doc, o_orderkey, list({'name': 'P' || l_partkey, 'role': l_returnflag} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT doc, o_orderkey AS version, (generate_subscripts(l, 1) - 1)::INT AS position, unnest(l).name AS name, unnest(l).role AS role FROM d""")
 def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People of JSON documents as rows; items stand in for them."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     person = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_returnflag").alias("role"))
     people = F.transform(F.array_sort(F.collect_list(person)), lambda x: F.struct(x["name"].alias("name"), x["role"].alias("role")))
     documents = items.groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("version")).agg(people.alias("people")).select("doc", "version", F.to_json(F.struct("people")).alias("document"))

@@ -113,7 +113,7 @@ def _incidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_INCIDENCE} SELECT site, term, tf AS n, row_number() OVER (PARTITION BY site ORDER BY tf DESC, term)::INT AS rank FROM s WHERE tf >= 3 QUALIFY row_number() OVER (PARTITION BY site ORDER BY tf DESC, term) <= 15")
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.top_terms(_incidence(spark, sf_dir)[0]).select("site", "term", "n", "rank")
+    return terms.top_terms(_incidence(spark, sf_dir)[1]).select("site", "term", "n", "rank")
 
 
 @query(f"WITH {_INCIDENCE} SELECT site, term, tf, df, {_up('spread', 6)} AS spread FROM st")
@@ -121,13 +121,14 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.statistics(*_incidence(spark, sf_dir)).select("site", "term", "tf", "df", half_up(F.col("spread"), 6).alias("spread"))
 
 
-@query(f"""WITH {_INCIDENCE}, k AS (SELECT i.site, i.doc, i.term, c.df FROM i JOIN c USING (site, term) WHERE c.rank <= 25)
+@query(f"""WITH {_INCIDENCE}, k AS (SELECT i.site, i.doc, i.term, c.df FROM i JOIN c USING (site, term))
 SELECT a.site, a.term AS a, b.term AS b, count(*) AS "both", {_up('count(*) / least(min(a.df), min(b.df))', 6)} AS overlap
 FROM k a JOIN k b ON a.site = b.site AND a.doc = b.doc AND a.term < b.term GROUP BY a.site, a.term, b.term""")
 def term_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs among the 25 leading terms of each site."""
+    """Pairs of all terms of a site that may found a theme."""
     found, docs = _incidence(spark, sf_dir)
-    return terms.co_occurrence(found, terms.candidates(terms.statistics(found, docs)).where("rank <= 25"))
+    found = cutter(spark, "terms")(found, "found")
+    return terms.co_occurrence(found, terms.statistics(found, docs).where(terms.MAY_FOUND))
 
 
 @query()
@@ -303,8 +304,8 @@ SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE length(q) >= 10""")
 def verbatim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes that stand word for word in a document.
 
-    Candidates meet on three words of the quote, so no quote is compared with a
-    document that doesn't have them.
+    Candidates meet on words of the quote, or on parts of them for the shortest,
+    so no quote is compared with a document that doesn't have them.
     """
     quotes = table(spark, sf_dir, "benchmark").select("item_id", T.for_match(F.col("text")).alias("q")).where("length(q) >= 10")
     docs = table(spark, sf_dir, "documents").select("doc_id", T.for_match(F.col("text")).alias("t"))

@@ -94,3 +94,15 @@ def test_contrast(spark):
 @pytest.mark.parametrize("name,kept", [("a  b", True), ("zzz", False)])
 def test_search_needs_every_word(spark, name, kept):
     assert values(spark, ["Alpha Beta a b"], lambda c: library.matches(F.lower(c), name)) == [kept]
+
+
+def test_syllables_of_a_text_are_those_of_its_words(spark):
+    from kbloom.functions import text as T
+    from kbloom.functions.dialect import words_bounded
+
+    texts = ["The committees' wasted yellow eyes ed e es by y I'm rhythm, don't 5'6 abc1'foo _'n rock_'n", "", "a b c", "yes eyes loved rated trees queue beautiful", "Rated l'été x's it’s O'Neill's"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_extract_all("t", F.lit(words_bounded(T.WORD)), F.lit(0))
+    rows = df.select("t", plain.alias("p"), T.words(F.col("t")).alias("w")).select("t", "p", "w", T.syllable_sum(F.col("w")).alias("s"), F.aggregate("w", F.lit(0), lambda a, x: a + T.syllables(x)).alias("each"))
+    for r in rows.collect():
+        assert r.p == r.w and r.s == r.each, r

@@ -95,6 +95,22 @@ def test_budget_and_quotes(spark):
     assert sorted(tuple(r) for r in pages.verbatim(quotes, texts).collect()) == [(1, 1), (2, 1), (2, 2)]
 
 
+def test_short_quotes_as_by_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(r.randint(0, 30))) for _ in range(30)]
+    quotes = []
+    for _ in range(200):
+        t = r.choice(texts)
+        a = r.randrange(len(t) + 1)
+        quotes.append(t[a : a + r.randint(pages.LEAST_QUOTE, 40)].strip())
+    quotes = [q for q in quotes if len(q) >= pages.LEAST_QUOTE] + ["abcabcabcabc zz", "zzzzzzzzzzz", ""]
+    found = pages.verbatim(spark.createDataFrame(list(enumerate(quotes)), "item_id long, q string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string"))
+    assert sorted(tuple(x) for x in found.collect()) == [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if q and q in t]
+
+
 def test_diff_and_apply_round_trip(spark):
     before = spark.createDataFrame([(1, "a", ["x"]), (1, "b", []), (1, "c", ["y", "z"])], "doc long, path string, lines array<string>")
     after = spark.createDataFrame([(1, "a", ["x"]), (1, "b", ["n"]), (1, "c", ["z", "w"])], "doc long, path string, lines array<string>")
