@@ -14,27 +14,37 @@ from kbloom.llm._io import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject.
+
+    Null and empty texts fail the base rules; repeated rows are judged each.
+    """
     return quality_rules.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near-copies (5-word shingles, Jaccard 0.8)."""
+    """The document with the smallest id of each class of near-copies (5-word shingles, Jaccard 0.8).
+
+    SimHash finds the nearest copies and prefix filtering the rest.  Texts without
+    a word are copies of each other; rows without a doc_id stay.
+    """
     return near_copies.keep_first(spark, docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a document with a smaller id has."""
+    """Texts without passages that a document with a smaller id has.
+
+    Documents that lose all their words stay with an empty text.
+    """
     return _measured(substring_dedup.remove_duplicates(spark, docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages."""
+    """Texts without benchmark passages; null and empty texts stay as they are."""
     return _measured(decontaminate.remove_benchmark(spark, docs, table(spark, sf_dir, "benchmark")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and how many."""
+    """Token ids of each document, and how many; none for a null or empty text."""
     out = bpe.encode_documents(spark, docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 

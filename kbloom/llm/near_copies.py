@@ -309,7 +309,10 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with only the smallest doc_id of each class of near-copies.
 
-    Rows that repeat that doc_id, and rows without a doc_id, stay.
+    Rows that repeat that doc_id, and rows without a doc_id, stay.  Rows of one
+    doc_id go together, and only if every text of theirs is in a class with a
+    smaller id.  Of null texts and texts without a word one document stays.
     """
-    gone = classes(spark, docs.select("doc_id", "text"), width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = classes(spark, docs.select("doc_id", "text"), width)
+    gone = found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
