@@ -33,6 +33,7 @@ BUSINESS_TYPES = frozenset(
     Church Casino Florist Bookstore ClothingStore GroceryStore HardwareStore PetStore FurnitureStore JewelryStore Photographer EventVenue SelfStorage Landscaper
     PestControl WasteManagement SecurityService Emergency""".split()
 )
+# Fixed value: endings of types that name a business.
 BUSINESS_ENDINGS = re.compile(r"(Business|Service|Agent|Store|Shop|Agency|Practice|Contractor|Company)$")
 
 
@@ -138,6 +139,7 @@ def contact(root: Node, page: dict):
 
 # --- people, offerings, content ---
 
+# Class names of cards.
 _CARD = r"(^|[\s_-])(team|staff|person|people|member|bio|employee|profile)s?([\s_-]|$)"
 _SERVICE = r"(^|[\s_-])(service|offering|product|solution|feature)s?([\s_-]|$)"
 _PERSON = re.compile(r"^[A-Z][\w'’.-]+(?: (?:[A-Z]\.?|de|van|von))?(?: [A-Z][\w'’-]+){1,2}$")
@@ -330,6 +332,7 @@ def posts(root: Node, page: dict):
         yield "contentIntelligence.posts", {"title": title, "url": url, "publishedAt": when, "excerpt": text.text() if text else None}, "dom", 0.65
 
 
+# Fixed value: job words of a title.
 _JOB = re.compile(r"\b(owner|founder|president|ceo|cfo|coo|cto|manager|director|supervisor|lead|foreman|technician|advisor|consultant|attorney|accountant|partner|principal|driller|engineer|agent|assistant|specialist|coordinator)\b", re.I)
 
 

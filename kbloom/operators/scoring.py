@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbloom.functions.dialect import let
+
 # Tokens that don't tell two values apart.
 IGNORED = "the a an and of in for llc inc co company services service solutions solution group com www https http".split()
 
@@ -38,31 +37,20 @@ def greedy(rows: DataFrame) -> DataFrame:
     takes the first produced one that is fuzzily equal and still free.
 
     ``rows(site, field, expected, produced)`` with two arrays: one field of one
-    site, a short list each.
+    site, a short list each.  A fold over the expected values carries those that
+    are free.
     """
-    ignored = frozenset(IGNORED)
-
-    def plain(x: str) -> str:
-        return re.sub(r"[^a-z0-9]+", " ", re.sub(r"['’]", "", x.lower())).strip()
-
-    def equal(a: str, b: str) -> bool:
-        x, y = plain(a), plain(b)
-        if not x or not y:
-            return False
-        s, t = ({w for w in v.split() if len(w) > 1 and w not in ignored} for v in (x, y))
-        return x in y or y in x or bool(s and t) and len(s & t) / min(len(s), len(t)) >= 0.6
-
-    @F.pandas_udf("long")
-    def matched(expected: pd.Series, produced: pd.Series) -> pd.Series:
-        out = []
-        for want, have in zip(expected, produced, strict=True):
-            free, n = list(have), 0
-            for w in want:
-                k = next((i for i, h in enumerate(free) if equal(w, h)), None)
-                if k is not None:
-                    free.pop(k)
-                    n += 1
-            out.append(n)
-        return pd.Series(out)
-
-    return rows.select("site", "field", matched("expected", "produced").alias("matched"), F.size("expected").cast("long").alias("expected"), F.size("produced").cast("long").alias("produced"))
+    parts = lambda xs: F.transform(xs, lambda v: F.struct(normal(v).alias("x"), tokens(v).alias("s")))
+
+    def equal(a: Column, b: Column) -> Column:
+        near = F.size(F.array_intersect(a["s"], b["s"])) / F.nullif(F.least(F.size(a["s"]), F.size(b["s"])), F.lit(0)) >= 0.6
+        return (a["x"] != "") & (b["x"] != "") & (F.contains(a["x"], b["x"]) | F.contains(b["x"], a["x"]) | F.coalesce(near, F.lit(False)))
+
+    def step(held: Column, want: Column) -> Column:
+        k = F.array_position(F.transform(held, lambda h: equal(want, h)), True).cast("int")
+        return let(k, lambda k: F.when(k > 0, F.concat(F.slice(held, F.lit(1), k - 1), F.slice(held, k + 1, F.size(held)))).otherwise(held))
+
+    free = F.aggregate("want", F.col("have"), step)
+    parsed = rows.withColumns({"want": parts(F.col("expected")), "have": parts(F.col("produced"))})
+    matched = (F.size("have") - F.size(free)).cast("long")
+    return parsed.select("site", "field", matched.alias("matched"), F.size("expected").cast("long").alias("expected"), F.size("produced").cast("long").alias("produced"))

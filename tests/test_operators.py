@@ -143,6 +143,35 @@ def test_store_appends_versions(spark, tmp_path):
     assert [r.doc for r in left.versions().collect()] == ["b"]
 
 
+def test_greedy_matching_as_by_a_plain_pass(spark):
+    import random
+    import re
+
+    def plain(x):
+        return re.sub("[^a-z0-9]+", " ", re.sub("['’]", "", x.lower())).strip()
+
+    def equal(a, b):
+        x, y = plain(a), plain(b)
+        s, t = ({w for w in v.split() if len(w) > 1 and w not in scoring.IGNORED} for v in (x, y))
+        return bool(x and y) and (x in y or y in x or bool(s and t) and len(s & t) / min(len(s), len(t)) >= 0.6)
+
+    r = random.Random(3)
+    word = lambda: r.choice("well pump drill Pump's the and of co repair tank a deep".split())
+    rows, want = [], {}
+    for k in range(80):
+        lists = [[" ".join(word() for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 6))] for _ in "eg"]
+        rows.append((str(k), "f", *lists))
+        free, n = list(lists[1]), 0
+        for w in lists[0]:
+            i = next((i for i, h in enumerate(free) if equal(w, h)), None)
+            if i is not None:
+                free.pop(i)
+                n += 1
+        want[str(k)] = (n, len(lists[0]), len(lists[1]))
+    got = scoring.greedy(spark.createDataFrame(rows, "site string, field string, expected array<string>, produced array<string>"))
+    assert {x.site: (x.matched, x.expected, x.produced) for x in got.collect()} == want
+
+
 def test_greedy_matching(spark):
     rows = [("s", "f", ["Well Drilling", "Drilling", "Pump"], ["well drilling inc", "Pumps", "none"]), ("s", "g", [], ["x"])]
     got = scoring.greedy(spark.createDataFrame(rows, "site string, field string, expected array<string>, produced array<string>")).collect()
