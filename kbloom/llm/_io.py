@@ -41,7 +41,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Seconds between two runs of the driver's collector.
-COLLECT_S = 3
+COLLECT_S = 1
 
 
 class Scratch:
@@ -70,6 +70,10 @@ class Scratch:
         """Delete a table that no later plan reads."""
         delete(self.spark, f"{self.base}/{name}")
 
+    def clear(self) -> None:
+        """Delete all tables, once no plan reads any."""
+        delete(self.spark, self.base)
+
 
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -246,15 +246,19 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where("c_a <> c_b")
 
 
-def _simhash_pairs(spark: SparkSession, docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(a, b): nodes with one fingerprint, and with fingerprints that pigeonring links."""
-    fps = scratch.save(simhash_dedup.fingerprints(docs.withColumnRenamed("id", "doc_id"), width).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "fingerprints")
-    first = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    same = fps.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    near = simhash_dedup.links(first.select("fp"), Scratch(spark, "near-links"))
-    for x in "ab":
-        near = near.join(first.select(F.col("fp").alias(x), F.col("first").alias(f"id_{x}")), x)
-    return same.unionByName(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+def _simhash_pairs(docs: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(a, b): each node with the smallest one of its SimHash component, which pigeonring links.
+
+    A star and not all links, so a group of copies gives a pair for each member.
+    """
+    sole = nodes.select(F.col("node").alias("doc_id"))
+    fps = scratch.save(simhash_dedup.fingerprints(docs.withColumnRenamed("id", "doc_id"), width).join(sole, "doc_id", "left_semi"), "fingerprints")
+    distinct = scratch.save(fps.select("fp").distinct(), "distinct")
+    found = components(simhash_dedup.links(distinct, scratch), scratch)
+    placed = fps.join(found, fps.fp == found.node, "left").select("doc_id", F.coalesce("component", "fp").alias("c"))
+    placed = scratch.save(placed, "placed")
+    hubs = placed.groupBy("c").agg(F.min("doc_id").alias("a"))
+    return placed.join(hubs, "c").where("doc_id > a").select("a", F.col("doc_id").alias("b"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -282,7 +286,10 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     stars = members.join(ends, "h").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.explode(F.array("low", "high")).alias("r"))
     stars = scratch.save(_possible(stars.select("a", "n_a", "at_a", F.col("r.id").alias("b"), F.col("r.n").alias("n_b"), F.col("r.at").alias("at_b"))), "stars")
     best = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = scratch.save(best.unionByName(_simhash_pairs(spark, docs, nodes, width, scratch)).distinct(), "tried")
+    scratch.drop("ends")
+    near = Scratch(spark, "near-links")
+    tried = scratch.save(best.unionByName(_simhash_pairs(docs, nodes, width, near)).distinct(), "tried")
+    near.clear()
     first = _verified(tried, docs, sketches, width, scratch, "first")
     found = components(first, scratch, "first-cc")
     more = scratch.save(_apart(stars, found).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
