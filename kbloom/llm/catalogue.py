@@ -11,6 +11,7 @@ from kbloom.llm.oracles import OP3_SQL, OP8_SQL, OP9_SQL
 from kbloom.llm.quality_rules import op4_quality_rules
 from kbloom.llm.sharding import OP7_SQL, op7_sharding
 from kbloom.llm.simhash_dedup import op2_simhash_dedup
+from kbloom.llm.source_divergence import OP11_SQL, op11_source_divergence
 from kbloom.llm.substring_dedup import op9_substring_dedup
 from kbloom.llm.url_filters import op3_url_filters
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op7_sharding": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
