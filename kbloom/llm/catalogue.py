@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kbloom.llm.bpe import op5_bpe
 from kbloom.llm.decontaminate import op8_decontaminate
+from kbloom.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from kbloom.llm.html_extract import op6_html_extract
 from kbloom.llm.language_id import op1_language_id
 from kbloom.llm.licenses import op10_license_scan
@@ -13,6 +14,7 @@ from kbloom.llm.sharding import OP7_SQL, op7_sharding
 from kbloom.llm.simhash_dedup import op2_simhash_dedup
 from kbloom.llm.source_divergence import OP11_SQL, op11_source_divergence
 from kbloom.llm.substring_dedup import op9_substring_dedup
+from kbloom.llm.topk_search import OP12_SQL, op12_exact_topk
 from kbloom.llm.url_filters import op3_url_filters
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +39,6 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_exact_topk": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
