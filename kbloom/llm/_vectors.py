@@ -16,8 +16,8 @@ are read nearest first, and a query leaves off when no ring that is left can hol
 a better row.  The nearest keys come first; what they give bounds the search of
 the rest.  A key with many rows is dealt out over lanes, so no key is a hot spot.
 
-Bounds allow for rounding; scores are exact integers.  Scores beyond 2^63 are
-ordered exactly and returned as the nearest long.
+Bounds allow for rounding; scores are exact integers, and those beyond a long
+count as the nearest long.
 """
 
 from __future__ import annotations
@@ -260,7 +260,7 @@ def _offers(space: Space, shared: Shared, lanes: np.ndarray, nearest: bool):
                 least, most, center = keys.reach(x)
                 norm = (x * x).sum(axis=1)
                 floor = np.maximum(low, best)
-                far = np.where(floor == _LOW, np.inf, _radius(norm, floor.astype(np.float64), space))
+                far = np.where((floor == _LOW) | (floor == _HIGH), np.inf, _radius(norm, floor.astype(np.float64), space))
                 close = np.where(high == _HIGH, -np.inf, _radius(norm, high.astype(np.float64), space))
                 open_ = low <= high
                 want = np.zeros(least.shape, bool)
@@ -287,11 +287,11 @@ OFFER = pa.schema(
 
 
 def products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products: longs, or Python integers where doubles are not exact."""
+    """Integer inner products: longs, or Python integers within a long's range where doubles are not exact."""
     if exact:
         return (q @ x.T).astype(np.int64)
     whole = lambda m: np.array([[int(v) for v in r] for r in m], object).reshape(m.shape)
-    return whole(q) @ whole(x).T
+    return np.clip(whole(q) @ whole(x).T, _LOW, _HIGH)
 
 
 def _searched(space: Space, k: int, labels: int):
@@ -304,7 +304,7 @@ def _searched(space: Space, k: int, labels: int):
         x, q = space.read([r["x"]]), space.read([r["vectors"]])
         n, m = len(x), len(q)
         norm = (q * q).sum(axis=1)
-        limit = int(np.sqrt(space.longest) * np.sqrt(norm.max(initial=0))) + 2
+        limit = min(int(np.sqrt(space.longest) * np.sqrt(norm.max(initial=0))) + 2, _HIGH + 1)
         exact = limit < 1 << 48
         # one number for score and place: equal scores by smaller id, without an id last
         named = np.array([v is None for v in r["ids"]]), np.array([v or 0 for v in r["ids"]], np.int64)
@@ -329,7 +329,7 @@ def _searched(space: Space, k: int, labels: int):
             ring = order[:, t]
             # what a row must score now, in each window
             now = np.maximum(floor, held[:, :, 0] // n)
-            reach = np.where(now <= -limit, np.inf, _radius(norm, now.astype(np.float64), space))
+            reach = np.where((now <= -limit) | (now >= _HIGH), np.inf, _radius(norm, now.astype(np.float64), space))
             at = np.arange(m)
             ok = ((least[at, ring][:, None] <= reach + space.slack) & (most[at, ring][:, None] >= inner - space.slack) & (top >= now)).any(axis=1)
             for s in np.unique(ring[ok]).tolist():
@@ -352,7 +352,7 @@ def _searched(space: Space, k: int, labels: int):
         back = np.empty(n, np.int64)
         back[place] = np.arange(n)
         rows = [r["rows"][w] for w, _ in found]
-        return rows, ids.take(pa.array([int(back[c % n]) for _, c in found], pa.int64())), [min(max(int(c // n), _LOW), _HIGH) for _, c in found]
+        return rows, ids.take(pa.array([int(back[c % n]) for _, c in found], pa.int64())), [int(c // n) for _, c in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["ids", "labels", "path", "x", "rows", "labels_q", "vectors", "center", "low", "high", "best"]

@@ -113,8 +113,26 @@ NAMES = [
     ("BSL-1.0", "Boost Software License, Version 1.0"),
     ("Zlib", "zlib License"),
 ]
+#: Other names of licences in statements.
+SHORT_NAMES = [
+    ("BSD", "BSD License"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Apache 2.0 License"),
+    ("GPL-2.0", "GPL version 2"),
+    ("GPL-2.0", "GNU GPL v2"),
+    ("GPL-3.0", "GPL version 3"),
+    ("GPL-3.0", "GNU GPL v3"),
+    ("LGPL-2.1", "LGPL version 2.1"),
+    ("LGPL-3.0", "LGPL version 3"),
+    ("AGPL-3.0", "AGPL version 3"),
+    ("MPL-2.0", "MPL 2.0"),
+]
+#: Identifiers of the SPDX list that a source line may give.
+SPDX = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "CC0-1.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0"]
 _CREATIVE_NAMES = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives")]
 
+_GPL_NOTICES = [("GPL-2.0", "program", _GPL_NAME, 2), ("GPL-3.0", "program", _GPL_NAME, 3), ("LGPL-2.1", "library", _LGPL_NAME, 2.1), ("LGPL-3.0", "program", _LGPL_NAME, 3), ("AGPL-3.0", "program", _AGPL_NAME, 3)]
+
 #: Published licence texts, notices and statements, (licence, text).
 TEMPLATES = [
     ("MIT", _MIT),
@@ -123,18 +141,16 @@ TEMPLATES = [
     ("BSD-2-Clause", f"{_BSD2} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD2} {_BSD3} {_BSD_END}"),
     ("Apache-2.0", _APACHE),
-    ("GPL-2.0", _GPL.format(what="program", name=_GPL_NAME, v=2)),
-    ("GPL-3.0", _GPL.format(what="program", name=_GPL_NAME, v=3)),
-    ("LGPL-2.1", _GPL.format(what="library", name=_LGPL_NAME, v=2.1)),
-    ("LGPL-3.0", _GPL.format(what="program", name=_LGPL_NAME, v=3)),
-    ("AGPL-3.0", _GPL.format(what="program", name=_AGPL_NAME, v=3)),
+    *[(key, _GPL.format(what=what, name=name, v=v)) for key, what, name, v in _GPL_NOTICES],
     ("MPL-2.0", _MPL),
     ("EPL-2.0", _EPL),
     ("BSL-1.0", _BOOST),
     ("Zlib", _ZLIB),
     ("CC0-1.0", _CC0),
     ("Unlicense", _UNLICENSE),
-    *[(key, f"{verb} under the {name}.") for key, name in NAMES for verb in ("Released", "Licensed", "Distributed")],
+    *[(key, notice[: notice.index("This {what} is distributed")].format(what=what, name=name, v=v)) for notice in [_GPL.replace("This {what} is\ndistributed", "This {what} is distributed")] for key, what, name, v in _GPL_NOTICES],
+    *[(key, f"SPDX-License-Identifier: {key}") for key in SPDX],
+    *[(key, f"{verb} under the {name}.") for key, name in NAMES + SHORT_NAMES for verb in ("Released", "Licensed", "Distributed")],
     *[(key, f"This work is licensed under the {name}.") for key, name in NAMES if key.startswith("GPL")],
     *[(f"CC-{key}-4.0", f"Licensed under CC {key} 4.0.") for key, _ in _CREATIVE_NAMES],
     *[(f"CC-{key}-4.0", _CREATIVE.format(name=f"{name} 4.0")) for key, name in _CREATIVE_NAMES],
@@ -202,14 +218,14 @@ class Ends:
         self.starts = np.flatnonzero(np.cumsum(step[:-1]) >= own * size - 1e-9)
 
     def best(self, starts: np.ndarray, limit: int | None = None):
-        """(dice, end) for each start: the likest passage, the longest of equals.
+        """(dice, end, shared bigrams) for each start: the likest passage, the longest of equals.
 
         An end is the index of the last bigram; passages end before the word ``limit``.
         """
         stop = self.stop[starts]
         if limit is not None:
             stop = np.minimum(stop, np.searchsorted(self.at, limit - 1))
-        dice, ends = np.zeros(len(starts)), starts.copy()
+        dice, ends, shared = np.zeros(len(starts)), starts.copy(), np.zeros(len(starts), np.int64)
         width = max(1, int((stop - starts).max(initial=0)))
         block = max(1, (1 << 20) // width)
         for lo in range(0, len(starts), block):
@@ -221,12 +237,17 @@ class Ends:
             both = np.cumsum(inside & (self.before[j] < first), axis=1)
             value = np.where(inside, 2 * both / (self.at[j] - first + 1 + self.size), 0.0)
             k = width - 1 - value[:, ::-1].argmax(1)
-            dice[lo : lo + len(s)], ends[lo : lo + len(s)] = value[np.arange(len(s)), k], s + k
-        return dice, ends
+            own = np.arange(len(s)), k
+            dice[lo : lo + len(s)], ends[lo : lo + len(s)], shared[lo : lo + len(s)] = value[own], s + k, both[own]
+        return dice, ends, shared
 
 
 def _matches(templates: Templates, at: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> dict[int, list[tuple]]:
-    """Non-overlapping best passages (start, stop, licence, dice) of each row, in words."""
+    """Non-overlapping passages (start, stop, licence, dice) of each row, in words.
+
+    What shares the most bigrams with its template goes first, so a notice isn't
+    split by a statement that is a part of it.
+    """
     waiting: dict[int, list] = {}
     found = []
     for k, (size, count) in enumerate(zip(templates.sizes, templates.counts, strict=True)):
@@ -236,26 +257,26 @@ def _matches(templates: Templates, at: np.ndarray, kind: np.ndarray, doc: np.nda
             continue
         ends = Ends(at[mine], kind[mine], doc[mine], count[kind[mine]], size, templates.own)
         found.append(ends)
-        dice, stop = ends.best(ends.starts)
+        dice, stop, shared = ends.best(ends.starts)
         for i in np.flatnonzero(dice >= templates.threshold).tolist():
             s, e = int(ends.starts[i]), int(stop[i])
             a, b = int(ends.at[s]), int(ends.at[e]) + 2
-            waiting.setdefault(int(doc[mine[s]]), []).append((-float(dice[i]), a - b, a, templates.names[k], k, s, b))
+            waiting.setdefault(int(doc[mine[s]]), []).append((-int(shared[i]), -float(dice[i]), a - b, a, templates.names[k], k, s, b))
     out = {}
     for row, heap in waiting.items():
         heapq.heapify(heap)
         begun, taken = [], []
         while heap:
-            dice, _, a, name, k, s, b = heapq.heappop(heap)
+            _, dice, _, a, name, k, s, b = heapq.heappop(heap)
             i = bisect_right(begun, a)
             if i and taken[i - 1][1] > a:
                 continue
             if i < len(begun) and begun[i] < b:
                 # the end is taken: the best passage up to there waits instead
-                new, e = found[k].best(np.array([s]), begun[i])
+                new, e, both = found[k].best(np.array([s]), begun[i])
                 if new[0] >= templates.threshold:
                     b = int(found[k].at[e[0]]) + 2
-                    heapq.heappush(heap, (-float(new[0]), a - b, a, name, k, s, b))
+                    heapq.heappush(heap, (-int(both[0]), -float(new[0]), a - b, a, name, k, s, b))
                 continue
             begun.insert(i, a)
             taken.insert(i, (a, b, name, -dice))
@@ -286,8 +307,9 @@ def scan(spark: SparkSession, docs: DataFrame, others: list[str], templates: lis
     """matches and the columns ``others`` of each row.
 
     A match has its licence, its Dice coefficient and its range of words.
-    Matches of a row don't overlap: the likest goes first, then the longer, then
-    the earlier, then the one whose licence is first by name.  Null and empty
+    Matches of a row don't overlap: what shares the most bigrams with its template
+    goes first, then the likest, the longer, the earlier, then the one whose
+    licence is first by name.  Null and empty
     texts, and texts of one word, match nothing.  A column of ``others`` that is
     itself called matches is ``_kept_matches``.
     """

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from kbloom.llm import _text, simhash_dedup
 from kbloom.llm._graph import components
-from kbloom.llm._io import Scratch, Shared
+from kbloom.llm._io import Scratch, Shared, shielded
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
@@ -322,4 +322,6 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS)
     """
     found = classes(spark, docs.select("doc_id", "text"), width)
     gone = found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    docs, old = shielded(docs, "_gone")
+    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*docs.columns).withColumnsRenamed(old).select(*names)

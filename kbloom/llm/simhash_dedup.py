@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kbloom.llm import _text
 from kbloom.llm._graph import components
-from kbloom.llm._io import Scratch, table
+from kbloom.llm._io import Scratch, shielded, table
 
 SHINGLE_WORDS = 3
 MOST_BITS = 2
@@ -188,4 +188,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS)
     mark = F.xxhash64("text")
     found = _classes(spark, docs.select("doc_id", "text", mark.alias("mark")), width)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(gone, (docs.doc_id == F.col("_id")) & (F.xxhash64(docs.text) == F.col("_mark")), "left_anti").select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    docs, old = shielded(docs, "_id", "_mark")
+    kept = docs.join(gone, (docs.doc_id == F.col("_id")) & (F.xxhash64(docs.text) == F.col("_mark")), "left_anti")
+    return kept.select(*docs.columns).withColumnsRenamed(old).select(*names)
