@@ -152,6 +152,28 @@ def crawl_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.frontier(found, seen).select("site", "url", "priority", "rank")
 
 
+def crawled(spark: SparkSession, sf_dir: str) -> crawl.Crawl:
+    """Every host crawled from its first page, with all its pages in the sitemap."""
+    pages = table(spark, sf_dir, "pages")
+    named = pages.select("page_id", urls.normalize_url(F.col("url")).alias("url"), urls.host_of(F.col("url")).alias("site")).where("url is not null")
+    seeds = named.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
+    web = named.select("url", F.col("url").alias("landed"), "page_id")
+    listed = named.select("site", "url", F.col("page_id").alias("pos"))
+    return crawl.walk(spark, seeds, web, crawl.links(pages), listed)
+
+
+@query()
+def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a crawl of each host reads, in order; links of read pages are followed."""
+    return crawled(spark, sf_dir).pages()
+
+
+@query()
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the crawl of each host found, asked for and left over."""
+    return crawled(spark, sf_dir).summary()
+
+
 @query(f"SELECT page_id, {sql_normal('url')} AS landed FROM pages QUALIFY row_number() OVER (PARTITION BY {sql_normal('url')} ORDER BY page_id) = 1")
 def landed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that were the first to land on their URL."""

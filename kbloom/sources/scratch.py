@@ -34,3 +34,28 @@ def cutter(spark: SparkSession, tag: str):
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     return cut
+
+
+class Tables:
+    """Written tables of one call, in a folder of their own; some grow by parts."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.base, self.schemas = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def add(self, df: DataFrame, name: str, part: int) -> DataFrame:
+        """The table with ``df`` as a further part."""
+        self.schemas[name] = df.schema
+        df.write.parquet(f"{self.base}/{name}/part={part}")
+        return self.spark.read.schema(df.schema).parquet(*[f"{self.base}/{name}/part={k}" for k in range(part + 1)])
+
+    def part(self, name: str, part: int) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.base}/{name}/part={part}")
+
+    def clear(self) -> None:
+        """Delete all tables, once no plan reads any."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
