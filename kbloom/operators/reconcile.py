@@ -37,7 +37,7 @@ def scalars(claims: DataFrame) -> DataFrame:
     held = by_value.groupBy("site", "path").agg(F.max("tier").alias("top"), F.array_sort(F.collect_list(F.struct((-F.col("tier")).alias("t"), F.col("b.o").alias("o"), "b", "urls"))).alias("all"))
     same = held.withColumn("same", F.filter("all", lambda x: x["t"] == -F.col("top")))
     first, n = F.get("same", F.lit(0)), F.size("same")
-    others = F.array_join(F.transform(F.slice("same", 2, 1_000_000), lambda x: F.lower(F.trim(x["b"]["value"]))), ", ")
+    others = F.array_join(F.transform(F.slice("same", 2, F.size("same")), lambda x: F.lower(F.trim(x["b"]["value"]))), ", ")
     return same.select(
         "site", "path", first["b"]["value"].alias("value"), fields.origin(first["b"]["method"]).alias("method"),
         F.when(n > 1, F.least(first["b"]["confidence"], F.lit(0.45))).otherwise(first["b"]["confidence"]).alias("confidence"),
@@ -94,6 +94,6 @@ def fold_records(claims: DataFrame, attributes: list[str]) -> DataFrame:
             *[F.when(wins, gap(new[a], base[a])).otherwise(gap(base[a], new[a])).alias(a) for a in attributes],
         )
 
-    merged = F.aggregate(F.slice("c", 2, 1_000_000), F.get("c", F.lit(0)), step)
+    merged = F.aggregate(F.slice("c", 2, F.size("c")), F.get("c", F.lit(0)), step)
     out = held.select("site", "path", "key", merged.alias("r"), F.array_distinct(F.transform("c", lambda x: x["url"])).alias("u"))
     return out.select("site", "path", "key", *[F.col(f"r.{a}").alias(a) for a in attributes], F.col("r.confidence").alias("confidence"), fields.origin(F.col("r.method")).alias("method"), F.size("u").cast("long").alias("n_urls"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbloom.operators import scoring, store, versions
 from kbloom.plans.record_queries import pick
 from kbloom.plans.registry import literal, query, table
+from kbloom.sources import scratch
 from kbloom.streaming import progress
 
 _ARRAY = lambda xs: "[" + ", ".join(map(literal, xs)) + "]"
@@ -39,6 +40,37 @@ def version_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.allocate(held, rows.where("o_orderdate >= timestamp_ntz'2000-01-01 00:00:00'"), "doc", "o_orderdate", "o_orderkey").select("doc", "o_orderkey", "version")
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as saved documents of their customers."""
+    body = F.to_json(F.struct("o_orderkey"))
+    return table(spark, sf_dir, "orders").select(F.lit("org").alias("org"), F.col("o_custkey").cast("string").alias("doc"), F.col("o_orderdate").alias("saved_at"), body.alias("document"))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> tuple[store.Store, DataFrame]:
+    """A store with the orders of two saves, and between them the removal of some customers."""
+    held = store.Store(spark, scratch.Tables(spark, "store").base)
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    held.save(_orders(spark, sf_dir).where(F.col("saved_at") < cut))
+    gone = held.remove(table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.lit("org").alias("org"), F.col("c_custkey").cast("string").alias("doc")))
+    held.save(_orders(spark, sf_dir).where(F.col("saved_at") >= cut))
+    return held, gone
+
+
+@query("""
+WITH o AS (SELECT o_custkey::VARCHAR AS doc, o_orderkey, o_orderdate, o_orderdate < TIMESTAMP '2000-01-01' AS early FROM orders)
+SELECT doc, o_orderkey, row_number() OVER (PARTITION BY doc ORDER BY o_orderdate, '{"o_orderkey":' || o_orderkey || '}')::INT AS version FROM o WHERE NOT (early AND doc::BIGINT % 10 = 3)""")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions in a store after two saves and a removal; a removed document that returns starts at 1."""
+    held, _ = _saved(spark, sf_dir)
+    return held.versions().select("doc", F.get_json_object("document", "$.o_orderkey").cast("long").alias("o_orderkey"), "version")
+
+
+@query("SELECT c_custkey::VARCHAR AS doc, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') AS existed FROM customer WHERE c_custkey % 10 = 3")
+def store_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents asked to be removed, and whether they were there."""
+    return _saved(spark, sf_dir)[1].select("doc", "existed")
+
+
 _LAST_TWO = f"""{SQL_VERSIONS},
 m AS (SELECT doc, max(version) AS top FROM vs GROUP BY doc HAVING max(version) >= 2),
 li AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag || l_linestatus || floor(l_quantity / 10)::INT)) AS ln FROM lineitem GROUP BY 1),
