@@ -20,9 +20,11 @@ through wrongly is a bucket of one.
 
 The first round compares the SimHash pairs, and each document with the smallest
 or largest member of its buckets that promises most.  The second round compares
-it with the rest of these, the third members of a bucket pair by pair; a round
-takes only pairs that the rounds before left in different components, so a group
-of copies costs about one comparison a member and not one a pair.
+it with the rest of these.  A third compares each with the member of its buckets
+that has most links so far, which is the text that the others are copies of, and
+the last the members of a bucket pair by pair.  A round takes only pairs that the
+rounds before left in different components, so a group of copies costs about one
+comparison a member and not one a pair.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ LEAST = (4, 5)
 SAMPLE, COMMON = 64, 1000
 #: Bits of the bitmap of repeated shingles; its 32 MB are the same for any input.
 BITMAP_BITS = 1 << 28
+#: Rounds that compare a bucket's members with the one that has most links.
+HUB_ROUNDS = 1
 
 
 def _sets(batch: pa.RecordBatch, width: int):
@@ -294,18 +298,28 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
     found = components(first, scratch, "first-cc")
     more = scratch.save(_apart(stars, found).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
     second = _verified(more, docs, sketches, width, scratch, "second")
-    links = first.unionByName(second)
-    found = components(links, scratch, "second-cc")
-    named = members.join(found, members.id == found.node, "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("c"))
-    named = scratch.save(named, "named")
+    links, tried = first.unionByName(second), tried.select("a", "b").unionByName(stars.select("a", "b"))
+    for k in range(HUB_ROUNDS + 1):
+        found = components(links, scratch, f"cc-{k}")
+        named = members.join(found, members.id == found.node, "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("c"))
+        named = scratch.save(named, f"named-{k}")
+        open_ = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
+        left = scratch.save(named.join(open_, "h", "left_semi"), f"open-{k}")
+        scratch.drop(f"named-{k}")
+        if k == HUB_ROUNDS:
+            break
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = left.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        hubs = ranked.groupBy("h").agg(F.max_by(F.struct("id", "n", "at", "c"), F.struct("degree", (-F.col("id")).alias("first"))).alias("r"))
+        near = left.join(hubs, "h").where("c <> r.c").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("r.id").alias("b"), F.col("r.n").alias("n_b"), F.col("r.at").alias("at_b"))
+        near = scratch.save(_possible(near).join(tried, ["a", "b"], "left_anti"), f"hubs-{k}")
+        scratch.drop(f"open-{k}")
+        links, tried = links.unionByName(_verified(near, docs, sketches, width, scratch, f"hub-links-{k}")), tried.unionByName(near)
     scratch.drop("members")
-    open_ = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
-    left = scratch.save(named.join(open_, "h", "left_semi"), "open")
-    scratch.drop("named")
     a, b = (left.select("h", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "c")]) for x in "ab")
-    pairs = _possible(a.join(b, "h").where("c_a < c_b")).join(stars, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+    pairs = _possible(a.join(b, "h").where("c_a < c_b")).join(tried, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
-    scratch.drop("open")
+    scratch.drop(f"open-{HUB_ROUNDS}")
     third = _verified(pairs, docs, sketches, width, scratch, "third")
     found = components(links.unionByName(third), scratch)
     named = nodes.join(found, nodes.node == found.node, "left").select("n", "digest", F.coalesce("component", nodes.node).alias("component_id"))
