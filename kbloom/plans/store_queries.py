@@ -213,7 +213,7 @@ p AS (SELECT e.p_brand, e.k AS expected, g.k AS produced, e.x AS a, g.x AS b, {_
 h AS (SELECT * FROM p WHERE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR (least(len(s), len(t)) > 0 AND len(list_intersect(s, t)) / least(len(s), len(t)) >= 0.6)))"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
     expected = part.where("p_partkey % 2 = 0").select(key.alias("expected"), "p_brand", "p_size", F.concat("p_name", F.lit(" Services, Inc")).alias("a"))
     produced = part.where("p_partkey % 2 = 1").select(key.alias("produced"), "p_brand", "p_size", F.concat(F.lit("The "), "p_name", F.when(key % 3 == 0, " co").otherwise("'s")).alias("b"))
@@ -222,14 +222,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_PAIRS} SELECT p_brand, expected, produced FROM h")
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected, produced = _pairs(spark, sf_dir)
+    expected, produced = pairs(spark, sf_dir)
     return expected.join(produced, ["p_brand", "p_size"]).where(scoring.fuzzy_equal(F.col("a"), F.col("b"))).select("p_brand", "expected", "produced")
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT p_brand, count(DISTINCT k) AS expected FROM e GROUP BY 1), o AS (SELECT p_brand, count(*) AS produced FROM g GROUP BY 1), m AS (SELECT p_brand, count(DISTINCT expected) AS matched FROM h GROUP BY 1)
 SELECT p_brand AS field, coalesce(matched, 0) AS matched, expected, produced, floor(coalesce(matched, 0) / expected * 1000 + 0.5) / 1000 AS recall FROM n JOIN o USING (p_brand) LEFT JOIN m USING (p_brand)""")
 def recall_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected, produced = _pairs(spark, sf_dir)
+    expected, produced = pairs(spark, sf_dir)
     zero = F.lit(0).cast("long")
     hit = fuzzy_pairs(spark, sf_dir).select("p_brand", "expected").distinct().select(F.col("p_brand").alias("field"), F.lit(1).cast("long").alias("matched"), zero.alias("expected"), zero.alias("produced"))
     want = expected.select(F.col("p_brand").alias("field"), zero.alias("matched"), F.lit(1).cast("long").alias("expected"), zero.alias("produced"))
@@ -237,16 +237,6 @@ def recall_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.recall(hit.unionByName(want).unionByName(have))
 
 
-@query()
-def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected, produced = _pairs(spark, sf_dir)
-    listed = lambda df, key, text: F.transform(F.array_sort(F.collect_list(F.struct(key, text))), lambda x: x[text])
-    e = expected.groupBy("p_brand", "p_size").agg(listed(expected, "expected", "a").alias("want"))
-    g = produced.groupBy("p_brand", "p_size").agg(listed(produced, "produced", "b").alias("have"))
-    rows = e.join(g, ["p_brand", "p_size"]).select(F.col("p_brand").alias("site"), F.col("p_size").cast("string").alias("field"), F.col("want").alias("expected"), F.col("have").alias("produced"))
-    return scoring.greedy(rows)
-
-
 # --- progress ---
 
 SQL_PROGRESS = """
