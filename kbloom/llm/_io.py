@@ -26,7 +26,7 @@ def _local_dir() -> str:
 
 
 #: Text that one Arrow batch to a Python worker holds at most, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
