@@ -38,7 +38,11 @@ def verbatim(quotes: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
     alone.  Quotes of fewer than ``LEAST_QUOTE`` characters are not looked for.
     """
     keyed = quotes.where(F.length("q") >= LEAST_QUOTE).withColumn("anchor", let(F.split("q", " "), lambda p: _anchor(p, words)))
-    spread = docs.select("doc_id", F.explode(let(F.split("t", " "), lambda w: _anchors(w, words))).alias("anchor"))
+    # documents get the kinds of anchors that some quote has; there are five
+    kinds = {r[0] for r in keyed.select(F.left("anchor", F.lit(1))).distinct().collect()}
+    if not kinds:
+        return quotes.select("item_id").join(docs.select("doc_id"), F.lit(False))
+    spread = docs.select("doc_id", F.explode(let(F.split("t", " "), lambda w: _anchors(w, words, kinds))).alias("anchor"))
     near = spread.join(keyed.select("item_id", "anchor"), "anchor").select("item_id", "doc_id").distinct()
     return near.join(docs, "doc_id").join(keyed.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
 
@@ -57,16 +61,19 @@ def _anchor(parts: Column, words: int) -> Column:
     )
 
 
-def _anchors(w: Column, words: int) -> Column:
-    """All keys that a document of these words can be found by."""
+def _anchors(w: Column, words: int, kinds: set[str]) -> Column:
+    """All keys of the given kinds that a document of these words can be found by."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.concat(F.lit("R "), F.array_join(F.slice(w, i, words), " ")))
     known = F.array_distinct(w)
-    long = F.filter(known, lambda x: F.length(x) >= LEAST_QUOTE)
-    inside = F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (LEAST_QUOTE - 1)), lambda i: F.concat(F.lit("C "), F.substring(x, i, F.lit(LEAST_QUOTE))))))
-    four = F.filter(known, lambda x: F.length(x) >= 4)
-    ends = F.transform(four, lambda x: F.concat(F.lit("E "), F.right(x, F.lit(4))))
-    starts = F.transform(four, lambda x: F.concat(F.lit("S "), F.left(x, F.lit(4))))
-    return F.array_distinct(F.concat(runs, F.transform(known, lambda x: F.concat(F.lit("W "), x)), ends, starts, inside))
+    long, four = F.filter(known, lambda x: F.length(x) >= LEAST_QUOTE), F.filter(known, lambda x: F.length(x) >= 4)
+    parts = {
+        "R": runs,
+        "W": F.transform(known, lambda x: F.concat(F.lit("W "), x)),
+        "E": F.transform(four, lambda x: F.concat(F.lit("E "), F.right(x, F.lit(4)))),
+        "S": F.transform(four, lambda x: F.concat(F.lit("S "), F.left(x, F.lit(4)))),
+        "C": F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (LEAST_QUOTE - 1)), lambda i: F.concat(F.lit("C "), F.substring(x, i, F.lit(LEAST_QUOTE)))))),
+    }
+    return F.concat(*[part for kind, part in parts.items() if kind in kinds])
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
