@@ -25,6 +25,7 @@ schedule appointment years local area areas people support product products indu
 committed dedicated mission vision choose why us
 """.split()
 
+# Fixed value: what a word is.
 WORD = r"\b[a-zA-Z'’]+\b"
 # Patterns of what a text says.
 YOU = r"\b(you|your|yours|you're|you'll)\b"
@@ -96,17 +97,24 @@ def metrics(text: Column, split: Column, all_words: Column) -> Column:
     grade = F.lit(0.39) * mean + F.lit(11.8) * (spoken / w) - F.lit(15.59)
     empty = (n == 0) | (w == 0)
     ratio = lambda p: F.when(empty, 0.0).otherwise(half_up(F.size(F.filter(split, p)) / n, 2))
+
+    def matching(low: Column, pattern: str) -> Column:
+        return F.size(F.filter(low, lambda s: s.rlike(words_bounded(pattern))))
+
+    # the three patterns read the sentences in lower case, made once
+    marks = let(F.transform(split, F.lower), lambda low: F.array(*[matching(low, p) for p in (YOU, WE, IMPERATIVE)]))
+    share = lambda k: F.when(empty, 0.0).otherwise(half_up(F.get(marks, F.lit(k)) / n, 2))
     return F.struct(
         w.cast("long").alias("word_count"),
         n.cast("long").alias("sentence_count"),
         F.when(empty, 0.0).otherwise(half_up(mean, 2)).alias("mean_length"),
         F.when(empty, 0.0).otherwise(half_up(F.sqrt(spread), 2)).alias("length_stddev"),
         F.when(empty, 0.0).otherwise(half_up(F.greatest(grade, F.lit(0.0)), 2)).alias("reading_grade"),
-        ratio(lambda s: has(s, YOU)).alias("second_person"),
-        ratio(lambda s: has(s, WE)).alias("first_person"),
+        share(0).alias("second_person"),
+        share(1).alias("first_person"),
         ratio(lambda s: F.contains(s, F.lit("!"))).alias("exclamations"),
         ratio(lambda s: F.contains(s, F.lit("?"))).alias("questions"),
-        ratio(lambda s: has(s, IMPERATIVE)).alias("imperatives"),
+        share(2).alias("imperatives"),
     )
 
 

@@ -19,7 +19,9 @@ def incidence(docs: DataFrame) -> DataFrame:
     ``docs(site, doc, text)``; pos is the term's first place in the document.
     """
     each = docs.select("site", "doc", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
-    return each.select("site", "doc", "pos", T.term(F.col("word")).alias("term")).where("term is not null").groupBy("site", "doc", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    # a word is tested once for each document that has it
+    words = each.groupBy("site", "doc", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    return words.select("site", "doc", "n", "pos", T.term(F.col("word")).alias("term")).where("term is not null").groupBy("site", "doc", "term").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
 
 
 def statistics(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -31,8 +33,8 @@ def statistics(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def top_terms(docs: DataFrame, most: int = 15, least: int = 3) -> DataFrame:
     """The most frequent terms of each site of ``docs(site, text)``, alphabetical among equals."""
-    words = docs.select("site", F.explode(T.words(F.col("text"))).alias("word"))
-    each = words.select("site", T.term(F.col("word")).alias("term")).where("term is not null").groupBy("site", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    words = docs.select("site", F.explode(T.words(F.col("text"))).alias("word")).groupBy("site", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = words.select("site", "n", T.term(F.col("word")).alias("term")).where("term is not null").groupBy("site", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "term"))).where(F.col("rank") <= most)
 
 
