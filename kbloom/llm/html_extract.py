@@ -57,10 +57,23 @@ LAYOUT_WORDS = [
     "banner", "notice", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "masthead", "footer", "header", "modal", "overlay",
     "widget", "skip", "contentinfo", "complementary", "search",
 ]
-#: A name that begins so says what an element has or lacks, not what it is.
+#: A name that begins so says what an element has or lacks, not what it is; so does one that ends so.
 MODIFIERS = ["with", "without", "no", "not", "non", "has", "hide", "show"]
+STATES = ["open", "opened", "closed", "enabled", "disabled", "on", "off", "count", "allowed", "status"]
+#: Words that may stand beside a furniture word in the name of furniture; social-sciences is no such name.
+NEUTRAL = [
+    "list", "item", "items", "box", "bar", "block", "area", "zone", "slot", "unit", "row", "col", "column", "grid", "wrap", "wrapper", "container", "content", "inner", "outer", "body",
+    "link", "links", "button", "buttons", "btn", "icon", "icons", "media", "image", "img", "label", "title", "text", "section", "panel", "card", "cards", "group", "set", "holder",
+    "post", "posts", "article", "articles", "story", "stories", "news", "page", "site", "blog", "top", "bottom", "left", "right", "center", "main", "side", "inline", "sticky", "fixed", "float",
+    "form", "input", "field", "reply", "respond", "thread", "author", "meta", "date", "avatar", "message", "dialog", "policy", "banner", "notice", "bottom", "square", "leaderboard", "skyscraper",
+    "mpu", "dfp", "gpt", "google", "adsense", "facebook", "twitter", "instagram", "linkedin", "email", "mail", "print", "follow", "like", "us", "this", "more", "next", "prev", "previous", "up", "down",
+    "small", "large", "big", "mobile", "desktop", "primary", "secondary", "container", "js", "wp", "c", "m", "l", "o", "u", "the", "by", "for", "to", "and", "in", "of", "a",
+]
+#: Words that mark reader comments, whatever stands inside.
+COMMENT_WORDS = ["comment", "comments", "disqus"]
 
 _RAW, _FURNITURE, _BLOCKS, _VOID, _WORDS, _LAYOUT, _MODIFIERS = map(frozenset, (RAW, FURNITURE, BLOCKS, VOID, FURNITURE_WORDS, LAYOUT_WORDS, MODIFIERS))
+_STATES, _COMMENTS, _BESIDE = frozenset(STATES), frozenset(COMMENT_WORDS), frozenset([*FURNITURE_WORDS, *LAYOUT_WORDS, *NEUTRAL])
 #: Comments, declarations and tags; a quote opens a value only after an equals sign.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -77,24 +90,54 @@ _PAGE_ONLY = frozenset({"header", "banner", "masthead", "search", "skip"})
 COPY = (4, 5)
 
 
-def _marked(attributes: str, inside: bool) -> int:
-    """GONE, DOUBT or FREE by the names in class, id and role; inside an article fewer words do."""
-    out = FREE
+def _names(attributes: str):
+    """The words of each name in class, id and role that says what an element is."""
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
-            if not words or words[0] in _MODIFIERS:
-                continue
-            if not _WORDS.isdisjoint(words):
-                return GONE
-            if not (_LAYOUT - _PAGE_ONLY if inside else _LAYOUT).isdisjoint(words):
-                out = DOUBT
+            if words and words[0] not in _MODIFIERS and words[-1] not in _STATES:
+                yield words
+
+
+def _furniture_name(words: list[str]) -> bool:
+    """Whether a name has a furniture word, and none beside it that makes it the name of something else."""
+    return not _WORDS.isdisjoint(words) and all(w in _BESIDE or w.isdigit() or len(w) > 20 for w in words)
+
+
+def _comments(attributes: str) -> bool:
+    """Whether an element holds reader comments."""
+    return any(not _COMMENTS.isdisjoint(words) and _furniture_name(words) for words in _names(attributes))
+
+
+def _marked(attributes: str, inside: bool) -> int:
+    """GONE, DOUBT or FREE by the names in class, id and role; inside an article fewer words do."""
+    out = FREE
+    for words in _names(attributes):
+        if _furniture_name(words):
+            return GONE
+        if not (_LAYOUT - _PAGE_ONLY if inside else _LAYOUT).isdisjoint(words):
+            out = DOUBT
     return out
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
     """The text blocks of a page in order, each with its state.
 
+    A page whose every article and main element stands inside furniture by name
+    is read again with these elements as they are, unless they are comments: a
+    page's only article is never dropped for what its wrapper is called.
+    """
+    out = _lines(page, False)
+    if page and not any(s & ~LINKED in (ARTICLE, MAIN) for _, s in out) and re.search(r"<(?:article|main)\b|role\s*=\s*[\"']?main\b", page, re.I):
+        again = _lines(page, True)
+        if any(s & ~LINKED in (ARTICLE, MAIN) for _, s in again):
+            return again
+    return out
+
+
+def _lines(page: str | None, lenient: bool) -> list[tuple[str, int]]:
+    """`lines` in one pass; if lenient, articles count in all furniture but comments.
+
     Unclosed elements reach to the end of what encloses them; an end tag without
     a start is ignored; text of raw elements and comments is no line.  A script,
     style, title or text area without an end reaches to the page's end, and so
@@ -169,11 +212,13 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if name in ("html", "body") or main:
             furniture = FREE
         elif name == "article":
-            furniture = GONE if _comments(m[3]) else FREE
+            furniture = GONE if _comments(m[3]) or not lenient and _marked(m[3], True) == GONE else FREE
         elif name in _FURNITURE and not (name == "header" and state == ARTICLE):
             furniture = GONE
         else:
             furniture = _marked(m[3], inside)
+            if lenient and furniture == GONE and not _comments(m[3]):
+                furniture = DOUBT
         if name in _BLOCKS and name not in ("p", "li", "dd", "dt", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
             stack.append((name, state))
             if furniture == GONE or furniture == DOUBT and state != GONE:
@@ -190,10 +235,6 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def _comments(attributes: str) -> bool:
-    return re.search(r"comment|advert|\bads?\b|promo|related", attributes, re.I) is not None
-
-
 def shared(a: list[str], b: list[str]) -> set[int]:
     """Positions in ``a`` of a longest common subsequence of both line lists.
 

@@ -321,7 +321,7 @@ def test_pipeline_stages_chain(spark, tmp_path):
 def test_registered_names():
     from kbloom.llm import catalogue
 
-    assert [n.split("_")[0] for n in catalogue.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in catalogue.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
