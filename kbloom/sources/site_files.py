@@ -84,11 +84,11 @@ def discover(origins: DataFrame, files: DataFrame, cut) -> DataFrame:
     from pyspark.sql import Window
 
     entries = cut(sitemap_entries(files), "entries")
-    level = origins.select("site", "origin", "source", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at"))
+    level = origins.select("site", "origin", "source", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("at"))
     every = level
     for depth in range(1, MOST_FILES):
         deeper = level.join(entries.where("is_index"), "source").where(~F.lower("url").rlike(NOT_PAGES))
-        level = cut(deeper.select("site", "origin", F.col("url").alias("source"), F.lit(depth).alias("depth"), (F.col("at") * 1000 + F.col("pos")).alias("at")), f"level-{depth}")
+        level = cut(deeper.select("site", "origin", F.col("url").alias("source"), F.lit(depth).alias("depth"), F.concat("at", F.array("pos")).alias("at")), f"level-{depth}")
         if level.isEmpty():
             break
         every = every.unionByName(level)
