@@ -76,22 +76,29 @@ def _anchors(w: Column, words: int, kinds: set[str]) -> Column:
     return F.concat(*[part for kind, part in parts.items() if kind in kinds])
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from kbloom.operators.dom import parse
+def _reader(closed: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from kbloom.operators.dom import parse
 
-    for batch in batches:
-        rows = []
-        for page_id, html in zip(batch.page_id, batch.html, strict=True):
-            root = parse(html)
-            title, body = root.first("title"), root.first("body")
-            css = " ".join(k for n in root.find("style") for k in n.kids if isinstance(k, str)) + " " + " ".join(n.attrs["style"] for n in root.walk() if n.attrs.get("style"))
-            rows.append((page_id, title.text() if title else None, root.text(apart=True), (body or root).text(), css.strip(), html))
-        yield pd.DataFrame(rows, columns=["page_id", "title", "visible_text", "body_text", "css", "html"])
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch.page_id, batch.html, strict=True):
+                root = parse(html, closed)
+                title, body = root.first("title"), root.first("body")
+                css = " ".join(k for n in root.find("style") for k in n.kids if isinstance(k, str)) + " " + " ".join(n.attrs["style"] for n in root.walk() if n.attrs.get("style"))
+                rows.append((page_id, title.text() if title else None, root.text(apart=True), (body or root).text(), css.strip(), html))
+            yield pd.DataFrame(rows, columns=["page_id", "title", "visible_text", "body_text", "css", "html"])
 
+    return run
 
-def read(pages: DataFrame) -> DataFrame:
-    """Each page parsed once: title, visible text, body text and style sheets."""
-    return pages.select("page_id", "html").mapInPandas(_read, "page_id long, title string, visible_text string, body_text string, css string, html string")
+
+def read(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """Each page parsed once: title, visible text, body text and style sheets.
+
+    HTML decodes some references without a semicolon too; with ``closed`` only
+    those that have one are decoded.
+    """
+    return pages.select("page_id", "html").mapInPandas(_reader(closed), "page_id long, title string, visible_text string, body_text string, css string, html string")
 
 
 # Marks of frameworks that render in the browser.
@@ -163,15 +170,22 @@ def google_fonts(href: Column) -> Column:
 
 # Patterns of a copyright line and of legal forms.
 COPYRIGHT = r"(?i)(?:©|\(c\)|copyright)([^|\n]{3,120})"
-COPYRIGHT_NOISE = r"(?i)(?<![A-Za-z0-9_])all\s+rights\s+reserved.*$|copyright|©|\(c\)|(?:18|19|20)[0-9]{2}(?:\s*[\-–—]\s*(?:18|19|20)[0-9]{2})?"
+COPYRIGHT_NOISE = r"(?i)(?<![A-Za-z0-9_])all\s+rights\s+reserved.*$|copyright|©|\(c\)"
+_YEAR = r"(?<![0-9])(?:18|19|20)[0-9]{2}(?![0-9])"
+#: Years at the head or the end of a line; within it a number is part of the name.
+COPYRIGHT_YEARS = rf"^(?:[\s,.|·\-–—]*{_YEAR})+|(?:[\s,.|·\-–—]*{_YEAR})+[\s,.|·\-–—]*$"
 FOOTER_TAIL = r"(?i)(?<![A-Za-z0-9_])(privacy|terms|cookie\s+policy|sitemap|accessibility|disclaimer|web(?:site)?\s+(?:design|by)|designed?\s+by|powered\s+by|built\s+by).*$"
 ENTITY = r"(?:^|[\s,])(LLC|L\.L\.C\.|Inc\.?|Incorporated|Ltd\.?|Corp\.?|Corporation|LLP|PLLC|P\.C\.|PA)$"
 
 
 def legal_name(footer: Column) -> Column:
-    """The registered name of a copyright line; null if it is no name."""
+    """The registered name of a copyright line; null if it is no name.
+
+    Years before and after the name are left out, numbers within it are kept.
+    """
     line = F.regexp_extract(footer, COPYRIGHT, 1)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, COPYRIGHT_NOISE, " "), FOOTER_TAIL, " "), r"\s+", " ")
+    whole = F.regexp_replace(F.regexp_replace(line, COPYRIGHT_NOISE, " "), FOOTER_TAIL, " ")
+    bare = F.regexp_replace(F.regexp_replace(whole, COPYRIGHT_YEARS, " "), r"\s+", " ")
     name = F.regexp_replace(bare, r"^[\s,.|·©\-]+|[\s,.|·©\-]+$", "")
     return F.when(F.length(name).between(4, 70) & name.rlike("^[A-Z]") & name.rlike("[a-z]"), name)
 
