@@ -8,7 +8,7 @@ farther apart, about ten bits and up to a third of the 64, which no segment
 index prunes, so candidates are completed by prefix filtering and none is missed:
 under any common order of shingles, sets of that similarity share one among the
 first n - ceil(4n/5) + 1 of each.  A candidate is first bounded by the counts of
-both sets in hash buckets, one byte for about eight shingles, of which no pair of
+both sets in hash buckets, one byte for one or two shingles, of which no pair of
 sets shares more than the lesser; what the bound lets through is checked on the
 whole sets.  So texts are moved only for pairs that are alike in large parts.
 
@@ -97,9 +97,13 @@ def _enough(overlap: int, n_a: int, n_b: int) -> bool:
 
 
 def _sketch(h: np.ndarray) -> np.ndarray:
-    """Counts of a set in hash buckets, a power of two that is an eighth of it or more."""
+    """Counts of a set in hash buckets, a power of two that is half of it or more.
+
+    Fuller buckets hide differences: at eight to a bucket, sets of similarity 0.6
+    pass the bound, at one or two those of 0.7 hardly do.
+    """
     buckets = 16
-    while 8 * buckets < len(h):
+    while 2 * buckets < len(h):
         buckets *= 2
     return np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
 
