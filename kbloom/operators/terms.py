@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +21,11 @@ def incidence(docs: DataFrame) -> DataFrame:
     """(site, doc, term, n, pos): how often a term is in each document.
 
     ``docs(site, doc, text)``; pos is the term's first place in the document.
+    Texts are dealt out by site and document, so both groupings need no further
+    shuffle and a task holds the documents of few sites.
     """
-    each = docs.select("site", "doc", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
+    placed = docs.select("site", "doc", "text").repartitionByRange("site", "doc")
+    each = placed.select("site", "doc", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
     # a word is tested once for each document that has it
     words = each.groupBy("site", "doc", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     return words.select("site", "doc", "n", "pos", T.term(F.col("word")).alias("term")).where("term is not null").groupBy("site", "doc", "term").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
@@ -44,11 +51,101 @@ def candidates(stats: DataFrame) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("tf"), "first")))
 
 
-def co_occurrence(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(site, a, b, both, overlap) for pairs of the given (site, term, df)."""
-    kept = found.join(terms.select("site", "term", "df"), ["site", "term"]).select("site", "doc", "term", "df")
-    a, b = (kept.select("site", "doc", F.col("term").alias(x), F.col("df").alias(f"df_{x}")) for x in "ab")
-    pairs = a.join(b, ["site", "doc"]).where("a < b").groupBy("site", "a", "b").agg(F.count(F.lit(1)).alias("both"), F.first(F.least("df_a", "df_b")).alias("least"))
+#: Terms of a block; the counts of two blocks are one table of a task.
+BLOCK = 1024
+
+
+def _counted(block: int):
+    """(site, a, b, both, least) of sorted rows (site, p, q, doc, side, place, term, df).
+
+    Rows of one pair of blocks follow each other: first its terms, without a doc,
+    then the terms of one document after the other.  What is held is one table of
+    counts, the names of two blocks and one document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, counts = None, None, None
+        open_doc, held = None, ([], [])
+
+        def close_doc() -> None:
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in held)
+            held[0].clear(), held[1].clear()
+            if key[1] == key[2]:
+                b = a
+            # a document has a term once, so no cell is met twice
+            if len(a) and len(b):
+                counts[np.ix_(a, b)] += 1
+
+        def close_table():
+            found = np.triu(counts, 1) if key[1] == key[2] else counts
+            terms_, dfs = zip(*names, strict=True)
+            for row in range(0, block, 64):
+                a, b = np.nonzero(found[row : row + 64])
+                if len(a):
+                    both = found[row : row + 64][a, b]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key[0]] * len(a)), pa.array(terms_[0][a + row], pa.string()), pa.array(terms_[1][b], pa.string()), pa.array(both.astype(np.int64)), pa.array(np.minimum(dfs[0][a + row], dfs[1][b]))],
+                        ["site", "a", "b", "both", "least"],
+                    )
+
+        for batch in batches:
+            site, p, q, doc, side, place, term, df = batch.columns
+            p, q, side, place = (np.asarray(x).astype(np.int64) for x in (p, q, side, place))
+            named = ~np.asarray(doc.is_null())
+            ids = doc.dictionary_encode() if not pa.types.is_integer(doc.type) else doc
+            ids = np.asarray(ids.indices.fill_null(-1) if ids is not doc else doc.fill_null(0))
+            text = site.to_pylist() if batch.num_rows else []
+            new = np.ones(batch.num_rows, bool)
+            coded = np.asarray(site.dictionary_encode().indices)
+            new[1:] = (np.diff(coded) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0) | (np.diff(ids) != 0) | (named[1:] != named[:-1])
+            cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                now = (text[lo], int(p[lo]), int(q[lo]))
+                if now != key:
+                    if key is not None:
+                        close_doc()
+                        yield from close_table()
+                    key, open_doc = now, None
+                    names = [(np.empty(block, object), np.zeros(block, np.int64)) for _ in "ab"]
+                    counts = np.zeros((block, block), np.int32)
+                if not named[lo]:
+                    for k in range(lo, hi):
+                        at = [int(side[k])] if now[1] != now[2] else [0, 1]
+                        for x in at:
+                            names[x][0][place[k]], names[x][1][place[k]] = term[k].as_py(), df[k].as_py()
+                    continue
+                this = doc[lo].as_py()
+                if this != open_doc:
+                    close_doc()
+                    open_doc = this
+                for x in (0, 1):
+                    held[x].append(place[lo:hi][side[lo:hi] == x])
+        if key is not None:
+            close_doc()
+            yield from close_table()
+
+    return run
+
+
+def co_occurrence(found: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(site, a, b, both, overlap) for pairs of the given (site, term, df).
+
+    A site's terms are cut into blocks of ``block`` in their order; the documents'
+    terms are sent to each pair of blocks they belong to, and a task counts the
+    pairs of two blocks document by document.  So what is shuffled are terms of
+    documents, once for each block of their site, and never pairs; a task's table
+    has the same size for any input.
+    """
+    order = F.row_number().over(Window.partitionBy("site").orderBy("term")) - 1
+    placed = terms.select("site", "term", "df", F.floor(order / block).cast("int").alias("c"), (order % block).alias("place"))
+    last = terms.groupBy("site").agg(F.floor((F.count(F.lit(1)) - 1) / block).cast("int").alias("last"))
+    placed = placed.join(last, "site")
+    held = found.where("doc is not null").select("site", "doc", "term").join(placed, ["site", "term"]).select("site", "c", "last", "doc", "place", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("df"))
+    known = placed.select("site", "c", "last", F.lit(None).cast(found.schema["doc"].dataType).alias("doc"), "place", "term", F.col("df").cast("long").alias("df"))
+    spread = known.unionByName(held).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = spread.select("site", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "doc", (F.col("c") > F.col("o")).cast("int").alias("side"), "place", "term", "df")
+    rows = rows.repartition("site", "p", "q").sortWithinPartitions("site", "p", "q", F.asc_nulls_first("doc"))
+    pairs = rows.mapInArrow(_counted(block), "site string, a string, b string, both long, least long")
     return pairs.select("site", "a", "b", "both", half_up(F.col("both") / F.col("least"), 6).alias("overlap"))
 
 
@@ -56,18 +153,19 @@ def themes(found: DataFrame, ranked: DataFrame, cut, most: int = 8, related: int
     """Up to ``most`` themes of each site: a seed term and those that share its pages.
 
     One round finds every site's next seed, the best candidate not yet used, and
-    the terms whose pages overlap the seed's by 0.6 of the smaller set; rounds
-    are joins on the term's pages, so a large site is spread like any other.
+    the terms whose pages overlap the seed's by 0.6 of the smaller set.  Pages are
+    one row each, in the order of sites; a round counts the terms of those that
+    have their site's seed, and only the counts of each task are shuffled.
     ``cut(df, name)`` writes a table and reads it back.
     """
-    held = cut(found.join(ranked.select("site", "term", "tf", "df", "rank"), ["site", "term"]).select("site", "doc", "term", "tf", "df", "rank"), "incidence")
+    pages = cut(found.where("doc is not null").groupBy("site", "doc").agg(F.collect_list("term").alias("terms")), "pages")
     left = cut(ranked.select("site", "term", "tf", "df", "rank"), "left-0")
     out = None
     for k in range(most):
-        seed = left.groupBy("site").agg(F.min_by(F.struct("term", "tf", "df"), "rank").alias("s")).select("site", F.col("s.term").alias("seed"), F.col("s.tf").alias("seed_tf"), F.col("s.df").alias("seed_df"))
-        pages = held.join(seed, (held.site == seed.site) & (held.term == seed.seed)).select(held.site, held.doc, "seed", "seed_df")
-        others = held.join(left.select("site", "term"), ["site", "term"], "left_semi")
-        near = others.join(pages, ["site", "doc"]).where("term <> seed").groupBy("site", "seed", "term").agg(F.count(F.lit(1)).alias("both"), F.first("df").alias("df"), F.first("seed_df").alias("seed_df"), F.first("rank").alias("rank"))
+        seed = cut(left.groupBy("site").agg(F.min_by(F.struct("term", "tf", "df"), "rank").alias("s")).select("site", F.col("s.term").alias("seed"), F.col("s.tf").alias("seed_tf"), F.col("s.df").alias("seed_df")), f"seed-{k}")
+        mine = pages.join(seed.select("site", "seed"), "site").where(F.array_contains("terms", F.col("seed"))).select("site", F.explode("terms").alias("term"))
+        counts = mine.groupBy("site", "term").agg(F.count(F.lit(1)).alias("both"))
+        near = counts.join(left, ["site", "term"]).join(seed.select("site", "seed", "seed_df"), "site").where("term <> seed")
         near = near.where(F.col("both") / F.greatest(F.least("df", "seed_df"), F.lit(1)) >= 0.6)
         near = near.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("rank"))).where(F.col("place") <= related)
         joined = near.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("related"))
