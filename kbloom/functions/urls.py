@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kbloom.functions.dialect import trimmed, words_bounded
+from kbloom.functions.dialect import let, trimmed, words_bounded
 
 # Query parameters that never select content.
 TRACKING = [
@@ -80,18 +80,27 @@ def normalize_url(url: Column) -> Column:
     name, order kept within one; no closing slash but at the root.  Escapes are
     left as they are.
     """
-    raw = trimmed(url)
-    raw = F.when((raw == "") | raw.rlike(r"(?i)^(mailto|tel|javascript|data|sms):"), F.lit(None)).when(raw.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    scheme = F.lower(part(raw, 1))
-    port = F.regexp_extract(part(raw, 2), r":([0-9]+)$", 1)
-    shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_replace(path_of(raw), r"/+$", "")
-    path = F.when(path == "", "/").otherwise(path)
-    pairs = F.filter(F.split(part(raw, 4), "&"), lambda p: p.rlike("^[^=]*=.+") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
-    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))))
-    query = F.array_join(F.transform(keyed, lambda x: x["p"]), "&")
-    whole = F.concat(scheme, F.lit("://"), host_of(raw), shown, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(scheme.isin("http", "https") & host_of(raw).isNotNull(), whole)
+
+    def absolute(raw: Column) -> Column:
+        page = (raw != "") & ~raw.rlike(r"(?i)^(mailto|tel|javascript|data|sms):")
+        return F.when(page, F.when(raw.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw)))
+
+    def split(raw: Column) -> Column:
+        return F.struct(F.lower(part(raw, 1)).alias("scheme"), host_of(raw).alias("host"), F.regexp_extract(part(raw, 2), r":([0-9]+)$", 1).alias("port"), F.regexp_replace(path_of(raw), r"/+$", "").alias("path"), part(raw, 4).alias("query"))
+
+    def ordered(query: Column) -> Column:
+        pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.+") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
+        keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))))
+        return F.when(query == "", "").otherwise(let(F.array_join(F.transform(keyed, lambda x: x["p"]), "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+
+    def joined(x: Column) -> Column:
+        scheme, port = x["scheme"], x["port"]
+        shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+        path = F.when(x["path"] == "", "/").otherwise(x["path"])
+        return F.when(scheme.isin("http", "https") & x["host"].isNotNull(), F.concat(scheme, F.lit("://"), x["host"], shown, path, ordered(x["query"])))
+
+    # parts that are used more than once are bound, so each is found once
+    return let(let(let(trimmed(url), absolute), split), joined)
 
 
 def registrable_domain(host: Column) -> Column:
@@ -229,10 +238,16 @@ SOCIAL_HOSTS = [
 
 def social_profile(normal: Column, own_domain: Column) -> Column:
     """struct(platform, url, handle) of a normalised profile link; null for any other."""
-    host = host_of(normal)
-    platform = F.lit(None).cast("string")
-    for pattern, name in reversed(SOCIAL_HOSTS):
-        platform = F.when(host.rlike(pattern), name).otherwise(platform)
-    handle = F.try_element_at(F.filter(F.split(path_of(normal), "/"), lambda s: s != ""), F.lit(-1))
-    mine = F.coalesce(F.endswith(host, own_domain), F.lit(False))
-    return F.when(platform.isNotNull() & ~mine, F.struct(platform.alias("platform"), normal.alias("url"), handle.alias("handle")))
+
+    def named(host: Column) -> Column:
+        platform = F.lit(None).cast("string")
+        for pattern, name in reversed(SOCIAL_HOSTS):
+            platform = F.when(host.rlike(pattern), name).otherwise(platform)
+        return F.when(~F.coalesce(F.endswith(host, own_domain), F.lit(False)), platform)
+
+    def profile(url: Column) -> Column:
+        handle = F.try_element_at(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), F.lit(-1))
+        return let(let(host_of(url), named), lambda p: F.when(p.isNotNull(), F.struct(p.alias("platform"), url.alias("url"), handle.alias("handle"))))
+
+    # the link and its host are bound, so each is worked out once
+    return let(normal, profile)

@@ -228,8 +228,8 @@ def social_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.element_at(F.array(*map(F.lit, _PROFILES)), (key % len(_PROFILES) + 1).cast("int"))
     url = F.concat(F.lit("https://"), base, F.lit("user"), key.cast("string"), F.when(key % 2 == 0, "/").otherwise("?utm_source=x"))
     normal = table(spark, sf_dir, "customer").select("c_custkey", urls.normalize_url(url).alias("url"))
-    found = normal.select("c_custkey", urls.social_profile(F.col("url"), F.lit("g.page")).alias("p"))
-    return found.where("p is not null").select("c_custkey", "p.platform", "p.url", "p.handle")
+    # a generator leaves out the other links; a filter would work out each profile a second time
+    return normal.select("c_custkey", F.inline(F.array_compact(F.array(urls.social_profile(F.col("url"), F.lit("g.page"))))))
 
 
 _RANKED = ["robots-disallow", "bot-challenge", "redirect-offsite", "non-html", "js-rendered", "fetch-failed", "empty-body"]
