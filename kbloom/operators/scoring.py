@@ -19,11 +19,31 @@ def tokens(value: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal(value), " "), lambda t: (F.length(t) > 1) & ~t.isin(IGNORED)))
 
 
+def parsed(value: Column) -> Column:
+    """struct(x, s): a value in normal form and its tokens."""
+    return F.struct(normal(value).alias("x"), tokens(value).alias("s"))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """`fuzzy_equal` of two parsed values; null if either value is."""
+    near = F.size(F.array_intersect(a["s"], b["s"])) / F.nullif(F.least(F.size(a["s"]), F.size(b["s"])), F.lit(0)) >= 0.6
+    return (a["x"] != "") & (b["x"] != "") & (F.contains(a["x"], b["x"]) | F.contains(b["x"], a["x"]) | F.coalesce(near, F.lit(False)))
+
+
 def fuzzy_equal(a: Column, b: Column) -> Column:
     """Equal, one within the other, or 0.6 of the smaller set of tokens shared."""
-    x, y, s, t = normal(a), normal(b), tokens(a), tokens(b)
-    near = F.size(F.array_intersect(s, t)) / F.nullif(F.least(F.size(s), F.size(t)), F.lit(0)) >= 0.6
-    return F.coalesce((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | F.coalesce(near, F.lit(False))), F.lit(False))
+    return F.coalesce(alike(parsed(a), parsed(b)), F.lit(False))
+
+
+def fuzzy_names(expected: DataFrame, produced: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): names ``expected(keys, a)`` and ``produced(keys, b)`` of equal keys that are fuzzily equal.
+
+    Each distinct name of a key is parsed once and compared once with each of the
+    other side, however many rows have it.
+    """
+    a = expected.select(*keys, "a").distinct().withColumn("pa", parsed(F.col("a")))
+    b = produced.select(*keys, "b").distinct().withColumn("pb", parsed(F.col("b")))
+    return a.join(b, keys).where(alike(F.col("pa"), F.col("pb"))).select(*keys, "a", "b")
 
 
 def recall(scores: DataFrame) -> DataFrame:
@@ -40,20 +60,15 @@ def greedy(rows: DataFrame) -> DataFrame:
     site, a short list each.  A fold over the expected values carries those that
     are free.
     """
-    parts = lambda xs: F.transform(xs, lambda v: F.struct(normal(v).alias("x"), tokens(v).alias("s")))
-
-    def equal(a: Column, b: Column) -> Column:
-        near = F.size(F.array_intersect(a["s"], b["s"])) / F.nullif(F.least(F.size(a["s"]), F.size(b["s"])), F.lit(0)) >= 0.6
-        return (a["x"] != "") & (b["x"] != "") & (F.contains(a["x"], b["x"]) | F.contains(b["x"], a["x"]) | F.coalesce(near, F.lit(False)))
 
     def step(held: Column, want: Column) -> Column:
-        k = F.array_position(F.transform(held, lambda h: equal(want, h)), True).cast("int")
+        k = F.array_position(F.transform(held, lambda h: alike(want, h)), True).cast("int")
         return let(k, lambda k: F.when(k > 0, F.concat(F.slice(held, F.lit(1), k - 1), F.slice(held, k + 1, F.size(held)))).otherwise(held))
 
     free = F.aggregate("want", F.col("have"), step)
-    parsed = rows.withColumns({"want": parts(F.col("expected")), "have": parts(F.col("produced"))})
+    held = rows.withColumns({"want": F.transform("expected", parsed), "have": F.transform("produced", parsed)})
     matched = (F.size("have") - F.size(free)).cast("long")
-    return parsed.select("site", "field", matched.alias("matched"), F.size("expected").cast("long").alias("expected"), F.size("produced").cast("long").alias("produced"))
+    return held.select("site", "field", matched.alias("matched"), F.size("expected").cast("long").alias("expected"), F.size("produced").cast("long").alias("produced"))
 
 
 # What is scored, (field, kind, path in the golden profile, path in the document, attribute of its records).

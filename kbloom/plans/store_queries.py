@@ -223,7 +223,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_PAIRS} SELECT p_brand, expected, produced FROM h")
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected, produced = pairs(spark, sf_dir)
-    return expected.join(produced, ["p_brand", "p_size"]).where(scoring.fuzzy_equal(F.col("a"), F.col("b"))).select("p_brand", "expected", "produced")
+    names = scoring.fuzzy_names(expected, produced, ["p_brand", "p_size"])
+    return expected.join(names, ["p_brand", "p_size", "a"]).join(produced, ["p_brand", "p_size", "b"]).select("p_brand", "expected", "produced")
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT p_brand, count(DISTINCT k) AS expected FROM e GROUP BY 1), o AS (SELECT p_brand, count(*) AS produced FROM g GROUP BY 1), m AS (SELECT p_brand, count(DISTINCT expected) AS matched FROM h GROUP BY 1)
@@ -231,7 +232,9 @@ SELECT p_brand AS field, coalesce(matched, 0) AS matched, expected, produced, fl
 def recall_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected, produced = pairs(spark, sf_dir)
     zero = F.lit(0).cast("long")
-    hit = fuzzy_pairs(spark, sf_dir).select("p_brand", "expected").distinct().select(F.col("p_brand").alias("field"), F.lit(1).cast("long").alias("matched"), zero.alias("expected"), zero.alias("produced"))
+    # an expected value is found if its name is alike one that was produced; the pairs aren't needed
+    found = expected.join(scoring.fuzzy_names(expected, produced, ["p_brand", "p_size"]), ["p_brand", "p_size", "a"], "left_semi")
+    hit = found.select("p_brand", "expected").distinct().select(F.col("p_brand").alias("field"), F.lit(1).cast("long").alias("matched"), zero.alias("expected"), zero.alias("produced"))
     want = expected.select(F.col("p_brand").alias("field"), zero.alias("matched"), F.lit(1).cast("long").alias("expected"), zero.alias("produced"))
     have = produced.select(F.col("p_brand").alias("field"), zero.alias("matched"), zero.alias("expected"), F.lit(1).cast("long").alias("produced"))
     return scoring.recall(hit.unionByName(want).unionByName(have))
