@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbloom.functions import urls
-from kbloom.sources.scratch import Tables
+from kbloom.sources.scratch import Tables, small_batches
 
 #: Pages that one site may cost, requests for each of them, and pages fetched at a time.
 BUDGET, REQUESTS, WORKERS = 20, 2, 4
@@ -39,7 +39,7 @@ def links(pages: DataFrame) -> DataFrame:
     anchor, bonus (15 in a menu, 8 in a footer), pos, and ``first``, the place of
     the first link of that bonus.
     """
-    raw = pages.select("page_id", "url", "html").mapInPandas(_harvest, "page_id long, page_url string, target string, anchor string, bonus int, pos int")
+    raw = small_batches(pages.select("page_id", "url", "html")).mapInPandas(_harvest, "page_id long, page_url string, target string, anchor string, bonus int, pos int")
     found = raw.select("page_id", "page_url", urls.normalize_url(F.col("target")).alias("url"), "anchor", "bonus", "pos").where(urls.html_like(F.col("url")))
     best = F.min_by(F.struct("page_url", "anchor", "bonus", "pos"), F.struct(-F.col("bonus"), -F.length("anchor"), F.col("pos"))).alias("b")
     first = F.min_by("pos", F.struct(-F.col("bonus"), F.col("pos"))).alias("first")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbloom.functions.dialect import let
+from kbloom.sources.scratch import small_batches
 
 
 def excerpts(docs: DataFrame, site: str, order: str, budget: int) -> DataFrame:
@@ -98,7 +99,7 @@ def read(pages: DataFrame, closed: bool = False) -> DataFrame:
     HTML decodes some references without a semicolon too; with ``closed`` only
     those that have one are decoded.
     """
-    return pages.select("page_id", "html").mapInPandas(_reader(closed), "page_id long, title string, visible_text string, body_text string, css string, html string")
+    return small_batches(pages.select("page_id", "html")).mapInPandas(_reader(closed), "page_id long, title string, visible_text string, body_text string, css string, html string")
 
 
 # Marks of frameworks that render in the browser.

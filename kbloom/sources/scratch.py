@@ -25,6 +25,22 @@ def _local_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='kbloom-')}"
 
 
+#: Text that one Arrow batch to a Python worker holds at most, about.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in a session whose Arrow batches are bounded by bytes, unless it bounds them lower.
+
+    Batches of 10,000 pages are as large as their text, and what a worker makes
+    of them grows with them.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def cutter(spark: SparkSession, tag: str):
     """A function (df, name) that writes a table and reads it back."""
     base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
