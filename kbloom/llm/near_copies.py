@@ -8,7 +8,7 @@ farther apart, about ten bits and up to a third of the 64, which no segment
 index prunes, so candidates are completed by prefix filtering and none is missed:
 under any common order of shingles, sets of that similarity share one among the
 first n - ceil(4n/5) + 1 of each.  A candidate is first bounded by the counts of
-both sets in hash buckets, one byte for one or two shingles, of which no pair of
+both sets in hash buckets, half a byte for a shingle or less, of which no pair of
 sets shares more than the lesser; what the bound lets through is checked on the
 whole sets.  So texts are moved only for pairs that are alike in large parts.
 
@@ -25,6 +25,12 @@ that has most links so far, which is the text that the others are copies of, and
 the last the members of a bucket pair by pair.  A round takes only pairs that the
 rounds before left in different components, so a group of copies costs about one
 comparison a member and not one a pair.
+
+Texts that share a shingle and aren't near-copies must be told apart pair by pair.
+A bucket of more than ``PAIR_BUCKET`` such members is cut into blocks of about
+``BLOCK``, one row each with their sketches, and tasks compare block with block: a
+row is moved for each pair of blocks, and one made only for a pair of members that
+the sketches let through.
 """
 
 from __future__ import annotations
@@ -49,6 +55,10 @@ LEAST = (4, 5)
 SAMPLE, COMMON = 64, 1000
 #: Bits of the bitmap of repeated shingles; its 32 MB are the same for any input.
 BITMAP_BITS = 1 << 28
+#: Members of a bucket that are still paired by a join, and members of a block of a larger one.
+PAIR_BUCKET, BLOCK = 32, 256
+#: A count of a sketch is this or more; it bounds nothing.
+FULL = 15
 #: Rounds that compare a bucket's members with the one that has most links.
 HUB_ROUNDS = 1
 
@@ -97,27 +107,42 @@ def _enough(overlap: int, n_a: int, n_b: int) -> bool:
 
 
 def _sketch(h: np.ndarray) -> np.ndarray:
-    """Counts of a set in hash buckets, a power of two that is half of it or more.
+    """Counts of a set in hash buckets, half a byte each; a power of two that is no less than the set.
 
     Fuller buckets hide differences: at eight to a bucket, sets of similarity 0.6
-    pass the bound, at one or two those of 0.7 hardly do.
+    pass the bound, at one or two many of 0.75 do, and at less than one few.
     """
     buckets = 16
-    while 2 * buckets < len(h):
+    while buckets < len(h):
         buckets *= 2
-    return np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+    counts = np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), FULL).astype(np.uint8)
+    return counts[0::2] | counts[1::2] << 4
+
+
+def _counts(sketches: np.ndarray) -> np.ndarray:
+    """The counts of sketches of one size, a row each."""
+    return np.stack([sketches & 15, sketches >> 4], axis=-1).reshape(len(sketches), -1)
+
+
+def _folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """Counts in fewer buckets: the low bits of a hash choose its bucket, so halves add up."""
+    while counts.shape[1] > size:
+        half = counts.shape[1] // 2
+        counts = np.minimum(counts[:, :half] + counts[:, half:], FULL)
+    return counts
+
+
+def _most_in_common(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the set of counts x shares at most with each of those of y, n at any rate."""
+    least = np.minimum(x, y)
+    return np.where((least >= FULL).any(axis=1), n, np.minimum(n, least.sum(axis=1, dtype=np.int64)))
 
 
 def _most_common(x: np.ndarray, y: np.ndarray, n: int) -> int:
     """What sets with these sketches share at most, n at any rate."""
-    x, y = x.astype(np.int64), y.astype(np.int64)
-    # the low bits of a hash choose its bucket, so halves of a sketch add up to a smaller one
-    while len(x) > len(y):
-        x = x[: len(x) // 2] + x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    least = np.minimum(x, y)
-    return n if (least >= 255).any() else min(n, int(least.sum()))
+    x, y = _counts(x[None]), _counts(y[None])
+    size = min(x.shape[1], y.shape[1])
+    return int(_most_in_common(_folded(x, size)[0], _folded(y, size), np.array([n]))[0])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +156,52 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], ["a", "b"])
 
 
+def _facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) across two blocks (same, held_a, held_b) that may be similar enough."""
+    for batch in batches:
+        found = [np.zeros((2, 0), np.int64)]
+        for k, same in enumerate(batch.column(0).to_pylist()):
+            found.append(_across(_Block(batch.column(1), k), _Block(batch.column(2), k), same))
+        a, b = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+class _Block:
+    """Members of a bucket, from row k of a column of lists."""
+
+    def __init__(self, lists: pa.ListArray, k: int):
+        rows = lists.slice(k, 1).flatten()
+        *columns, sketches = rows.flatten()
+        self.id, self.n, self.at, self.c = (np.asarray(x).astype(np.int64) for x in columns)
+        held = sketches.to_pylist()
+        sizes = np.array([len(x) for x in held])
+        #: places and counts of the members by the size of the sketch
+        self.sketches = [(own := np.flatnonzero(sizes == n), _counts(np.frombuffer(b"".join(held[i] for i in own), np.uint8).reshape(len(own), n))) for n in np.unique(sizes)]
+
+
+def _across(x: _Block, y: _Block, same: bool) -> np.ndarray:
+    """The pairs of members of different components that sizes, places and sketches allow."""
+    num, den = LEAST[0], sum(LEAST)
+    both = (x.n[:, None] + y.n) * num
+    open_ = (np.minimum((x.n - x.at)[:, None], y.n - y.at) * den >= both) & (x.c[:, None] != y.c)
+    if same:
+        open_ = np.triu(open_, 1)
+    out = [np.zeros((2, 0), np.int64)]
+    for own, counts in x.sketches:
+        for theirs, others in y.sketches:
+            tried = open_[np.ix_(own, theirs)]
+            if not tried.any():
+                continue
+            size = min(counts.shape[1], others.shape[1])
+            left, right = _folded(counts, size), _folded(others, size)
+            for k in np.flatnonzero(tried.any(axis=1)):
+                i, at = own[k], np.flatnonzero(tried[k])
+                j = theirs[at]
+                j = j[_most_in_common(left[k], right[at], np.minimum(x.n[i], y.n[j])) * den >= both[i, j]]
+                out.append(np.stack([np.full(len(j), x.id[i]), y.id[j]]))
+    return np.concatenate(out, axis=1)
+
+
 def _repeated(bitmap: Shared):
     """(id, n, at, h) of the prefix shingles that the bitmap has."""
 
@@ -234,8 +305,29 @@ def _possible(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; only texts of likely ones are moved."""
+    return _checked(_close(pairs, sketches), docs, width, scratch, name)
+
+
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches let through."""
     a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    close = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bounded, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bounded, "a long, b long")
+
+
+def _crowded(left: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of ``left(h, id, n, at, c, many)``, the members of large buckets, that sketches let through."""
+    of = F.ceil(F.col("many") / BLOCK)
+    placed = left.join(sketches.select("id", "sketch"), "id").withColumn("of", of).withColumn("k", F.pmod(F.xxhash64("id"), "of"))
+    blocks = placed.groupBy("h", "of", "k").agg(F.collect_list(F.struct("id", "n", "at", "c", "sketch")).alias("held"))
+    blocks = scratch.save(blocks, "blocks")
+    facing = blocks.select("h", F.col("k").alias("k_a"), F.explode(F.sequence("k", F.col("of") - 1)).alias("k_b"))
+    a, b = (blocks.select("h", F.col("k").alias(f"k_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
+    facing = facing.join(a, ["h", "k_a"]).join(b, ["h", "k_b"]).select((F.col("k_a") == F.col("k_b")).alias("same"), "held_a", "held_b")
+    return facing.mapInArrow(_facing, "a long, b long").distinct()
+
+
+def _checked(close: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
     close = scratch.save(close, f"{name}-close")
     ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = scratch.save(docs.join(ends, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), f"{name}-texts")
@@ -320,11 +412,15 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = SHINGLE_WORDS) ->
         scratch.drop(f"open-{k}")
         links, tried = links.unionByName(_verified(near, docs, sketches, width, scratch, f"hub-links-{k}")), tried.unionByName(near)
     scratch.drop("members")
-    a, b = (left.select("h", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "c")]) for x in "ab")
+    sizes = scratch.save(left.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PAIR_BUCKET), "crowds")
+    few, many = left.join(sizes, "h", "left_anti"), left.join(sizes, "h")
+    a, b = (few.select("h", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "c")]) for x in "ab")
     pairs = _possible(a.join(b, "h").where("c_a < c_b")).join(tried, ["a", "b"], "left_anti")
     pairs = scratch.save(pairs, "pairs")
+    across = scratch.save(_crowded(many, sketches, scratch).join(tried, ["a", "b"], "left_anti"), "across")
     scratch.drop(f"open-{HUB_ROUNDS}")
-    third = _verified(pairs, docs, sketches, width, scratch, "third")
+    scratch.drop("blocks")
+    third = _checked(_close(pairs, sketches).unionByName(across).distinct(), docs, width, scratch, "third")
     found = components(links.unionByName(third), scratch)
     named = nodes.join(found, nodes.node == found.node, "left").select("n", "digest", F.coalesce("component", nodes.node).alias("component_id"))
     named = scratch.save(named, "classes")

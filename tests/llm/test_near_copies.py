@@ -85,3 +85,35 @@ def test_sketches_never_bound_too_low():
     assert not near_copies._enough(near_copies._most_common(near_copies._sketch(x), near_copies._sketch(y), 5000), 5000, 5000)
     full = np.arange(5000, dtype=np.uint64) * np.uint64(1 << 20)
     assert near_copies._most_common(near_copies._sketch(full), near_copies._sketch(full), 5000) == 5000
+
+
+def unlike(draw, base, n):
+    """Texts with two or three other words each: alike in large parts, few of them near-copies."""
+    out = []
+    for k in range(n):
+        near = list(base)
+        for j in draw.sample(range(len(near)), draw.randrange(2, 4)):
+            near[j] = f"y{k}x{j}"
+        out.append(" ".join(near))
+    return out
+
+
+def test_a_large_bucket_makes_no_row_for_a_pair(spark, monkeypatch):
+    draw, made = random.Random(8), {}
+    texts = unlike(draw, [f"b{k}" for k in range(120)], 300)
+    texts += unlike(draw, [f"d{k}" for k in range(130)], 20)
+    # some are near-copies of one member each
+    texts += [f"{texts[k]} end{k}" for k in range(0, 300, 7)]
+    save = near_copies.Scratch.save
+
+    def counted(self, df, name):
+        made[name] = (out := save(self, df, name)).count()
+        return out
+
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(near_copies.Scratch, "save", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_copies.classes(spark, docs).collect()}
+    assert got == brute(texts)
+    assert max(made.values()) < 30 * len(texts), made
