@@ -218,10 +218,20 @@ def quote_key(quote: Column) -> Column:
     return F.substring(F.regexp_replace(F.lower(quote), "[^a-z0-9]", ""), 1, 120)
 
 
+# Signs read as an ASCII one, and letters whose lower case is ASCII.
+EVENED = {"'": "‘’‚‛", "-": "‐‑‒–—―", "i": "\u0130", "k": "\u212a"}
+
+
 def for_match(text: Column) -> Column:
-    """Text for verbatim comparison: case, quotes, dashes and signs evened out."""
-    out = F.translate(F.lower(text), "‘’‚‛“”„‟‐‑‒–—― ", "''''\"\"\"\"------ ")
-    return squash(F.regexp_replace(out, r"[^A-Za-z0-9_\s'\-]", " "))
+    """Text for verbatim comparison: case, quotes, dashes and signs evened out.
+
+    All but ASCII words, apostrophes and hyphens becomes a space, so only ASCII
+    is lower-cased; the pattern's one class is read several times faster than ranges.
+    """
+    for sign, others in EVENED.items():
+        for other in others:
+            text = F.replace(text, F.lit(other), F.lit(sign))
+    return F.trim(F.lower(F.regexp_replace(text, r"[^\w'\-]+", " ")))
 
 
 # Headline patterns, first match wins.

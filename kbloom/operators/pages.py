@@ -27,6 +27,8 @@ def excerpts(docs: DataFrame, site: str, order: str, budget: int) -> DataFrame:
 
 #: Characters of a quote that is looked for.
 LEAST_QUOTE = 8
+#: Quotes of so many bytes in all are sent to every task.
+SENT_QUOTES = 32 << 20
 
 
 def verbatim(quotes: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
@@ -36,43 +38,58 @@ def verbatim(quotes: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
     anchor is the run of its second to fourth words; with three or four words its
     longest inner word; with two, four characters of the longer one at the space
     between; with one, its first characters.  Documents are looked up by anchors
-    alone.  Quotes of fewer than ``LEAST_QUOTE`` characters are not looked for.
+    alone, hashed to 64 bits, and searched for the quotes they meet.  Quotes of
+    fewer than ``LEAST_QUOTE`` characters are not looked for.
+
+    Up to ``SENT_QUOTES`` the quotes go to the documents, whose text is made once
+    and searched where it is read; more of them meet the anchors by a shuffle.
     """
-    keyed = quotes.where(F.length("q") >= LEAST_QUOTE).withColumn("anchor", let(F.split("q", " "), lambda p: _anchor(p, words)))
+    keyed = quotes.where(F.length("q") >= LEAST_QUOTE).select("item_id", "q", let(F.split("q", " "), lambda p: _anchor(p, words)).alias("k")).select("item_id", "q", "k.kind", "k.anchor")
     # documents get the kinds of anchors that some quote has; there are five
-    kinds = {r[0] for r in keyed.select(F.left("anchor", F.lit(1))).distinct().collect()}
+    held = keyed.agg(F.collect_set("kind").alias("kinds"), F.sum(F.octet_length("q")).alias("size")).first()
+    kinds, keyed = set(held["kinds"]), keyed.drop("kind")
     if not kinds:
         return quotes.select("item_id").join(docs.select("doc_id"), F.lit(False))
-    spread = docs.select("doc_id", F.explode(let(F.split("t", " "), lambda w: _anchors(w, words, kinds))).alias("anchor"))
-    near = spread.join(keyed.select("item_id", "anchor"), "anchor").select("item_id", "doc_id").distinct()
-    return near.join(docs, "doc_id").join(keyed.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("item_id", "doc_id")
+    # no text is null and no array is left out: a filter on either would make it twice
+    docs = docs.select("doc_id", F.coalesce("t", F.lit("")).alias("t"))
+    spread = docs.withColumn("anchors", let(F.split("t", " "), lambda w: F.array_distinct(_anchors(w, words, kinds))))
+    if held["size"] <= SENT_QUOTES:
+        near = spread.select("doc_id", "t", F.explode_outer("anchors").alias("anchor")).join(F.broadcast(keyed), "anchor")
+    else:
+        near = spread.select("doc_id", F.explode_outer("anchors").alias("anchor")).join(keyed.drop("q"), "anchor").select("item_id", "doc_id").distinct()
+        near = near.join(docs, "doc_id").join(keyed.drop("anchor"), "item_id")
+    return near.where(F.contains("t", "q")).select("item_id", "doc_id")
+
+
+def _key(kind: str, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(kind), *parts)
 
 
 def _anchor(parts: Column, words: int) -> Column:
-    """The key of a quote by its words; its first letter tells the kinds apart."""
+    """The kind and the key of a quote by its words."""
+    of = lambda kind, *x: F.struct(F.lit(kind).alias("kind"), _key(kind, *x).alias("anchor"))
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    at_space = F.when(F.length(first) >= 4, F.concat(F.lit("E "), F.right(first, F.lit(4)))).otherwise(F.concat(F.lit("S "), F.left(second, F.lit(4))))
+    at_space = F.when(F.length(first) >= 4, of("E", F.right(first, F.lit(4)))).otherwise(of("S", F.left(second, F.lit(4))))
     return (
-        F.when(F.size(inner) >= words, F.concat(F.lit("R "), F.array_join(F.slice(inner, 1, words), " ")))
-        .when(F.size(inner) > 0, F.concat(F.lit("W "), longest))
+        F.when(F.size(inner) >= words, of("R", *[F.get(inner, F.lit(k)) for k in range(words)]))
+        .when(F.size(inner) > 0, of("W", longest))
         .when(F.size(parts) == 2, at_space)
-        .otherwise(F.concat(F.lit("C "), F.left(first, F.lit(LEAST_QUOTE))))
+        .otherwise(of("C", F.left(first, F.lit(LEAST_QUOTE))))
     )
 
 
 def _anchors(w: Column, words: int, kinds: set[str]) -> Column:
     """All keys of the given kinds that a document of these words can be found by."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.concat(F.lit("R "), F.array_join(F.slice(w, i, words), " ")))
     known = F.array_distinct(w)
     long, four = F.filter(known, lambda x: F.length(x) >= LEAST_QUOTE), F.filter(known, lambda x: F.length(x) >= 4)
     parts = {
-        "R": runs,
-        "W": F.transform(known, lambda x: F.concat(F.lit("W "), x)),
-        "E": F.transform(four, lambda x: F.concat(F.lit("E "), F.right(x, F.lit(4)))),
-        "S": F.transform(four, lambda x: F.concat(F.lit("S "), F.left(x, F.lit(4)))),
-        "C": F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (LEAST_QUOTE - 1)), lambda i: F.concat(F.lit("C "), F.substring(x, i, F.lit(LEAST_QUOTE)))))),
+        "R": F.transform(w, lambda x, i: _key("R", x, *[F.get(w, i + k) for k in range(1, words)])),
+        "W": F.transform(known, lambda x: _key("W", x)),
+        "E": F.transform(four, lambda x: _key("E", F.right(x, F.lit(4)))),
+        "S": F.transform(four, lambda x: _key("S", F.left(x, F.lit(4)))),
+        "C": F.flatten(F.transform(long, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (LEAST_QUOTE - 1)), lambda i: _key("C", F.substring(x, i, F.lit(LEAST_QUOTE)))))),
     }
     return F.concat(*[part for kind, part in parts.items() if kind in kinds])
 

@@ -106,3 +106,14 @@ def test_syllables_of_a_text_are_those_of_its_words(spark):
     rows = df.select("t", plain.alias("p"), T.words(F.col("t")).alias("w")).select("t", "p", "w", T.syllable_sum(F.col("w")).alias("s"), F.aggregate("w", F.lit(0), lambda a, x: a + T.syllables(x)).alias("each"))
     for r in rows.collect():
         assert r.p == r.w and r.s == r.each, r
+
+
+def test_text_for_match_equals_its_sql_for_every_character(spark):
+    import duckdb
+
+    from kbloom.plans.text_queries import _MATCH
+
+    characters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["x".join(characters[k : k + 512]) for k in range(0, len(characters), 512)]
+    want = duckdb.execute(f"SELECT list_transform($1, lambda t: {_MATCH.format('t')})", [rows]).fetchone()[0]
+    assert values(spark, rows, text.for_match) == want

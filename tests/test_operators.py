@@ -111,6 +111,15 @@ def test_short_quotes_as_by_brute_force(spark):
     assert sorted(tuple(x) for x in found.collect()) == [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if q and q in t]
 
 
+@pytest.mark.parametrize("sent", [pages.SENT_QUOTES, 0])
+def test_quotes_sent_or_shuffled(spark, monkeypatch, sent):
+    monkeypatch.setattr(pages, "SENT_QUOTES", sent)
+    quotes = [(1, "ell one two three fo"), (2, "two three"), (2, "not there at all here"), (3, "one two threads"), (4, "well one"), (5, "onetwothree"), (6, None)]
+    texts = [(1, "well one two three four well one two three four"), (1, "one two three"), (2, None), (3, ""), (4, "xonetwothreex")]
+    found = pages.verbatim(spark.createDataFrame(quotes, "item_id long, q string"), spark.createDataFrame(texts, "doc_id long, t string"))
+    assert sorted(tuple(x) for x in found.collect()) == sorted((i, d) for i, q in quotes for d, t in texts if q and t and q in t)
+
+
 def test_diff_and_apply_round_trip(spark):
     before = spark.createDataFrame([(1, "a", ["x"]), (1, "b", []), (1, "c", ["y", "z"])], "doc long, path string, lines array<string>")
     after = spark.createDataFrame([(1, "a", ["x"]), (1, "b", ["n"]), (1, "c", ["z", "w"])], "doc long, path string, lines array<string>")

@@ -34,3 +34,9 @@ def test_pages_are_parsed_once(spark):
     assert plan(spark, "crawl_topk").count("MapInPandas") == 1
     for name in ("text_metrics", "reconcile_scalar", "classify_url", "phones"):
         assert "Python" not in plan(spark, name) and "Pandas" not in plan(spark, name)
+
+
+def test_quoted_texts_are_made_once_and_stay_in_place(spark):
+    shown = plan(spark, "verbatim_quotes")
+    assert shown.count("documents.parquet") == 1 and "hashpartitioning" not in shown
+    assert sum("replace(" in line for line in shown.splitlines() if "doc_id" in line) == 1
