@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbloom.functions import text as T
 from kbloom.functions.dialect import half_up
+from kbloom.sources.scratch import small_batches
 
 
 #: Terms frequent enough for a theme, and not on nearly every page.
@@ -51,102 +54,236 @@ def candidates(stats: DataFrame) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("tf"), "first")))
 
 
-#: Terms of a block; the counts of two blocks are one table of a task.
-BLOCK = 1024
+#: Terms of a strip, where a site's terms are known; strips of a site at most, and bytes of text that give one strip, where they aren't.
+BLOCK, STRIPS, STRIP_BYTES = 1024, 4, 8 << 20
+#: Postings that a task holds at once, and cells and pairs that it counts at once.
+POSTINGS, CELLS = 1 << 22, 1 << 20
+#: Rows of an Arrow batch.
+ROWS = 1 << 15
 
 
-def _counted(block: int):
-    """(site, a, b, both, least) of sorted rows (site, p, q, doc, side, place, term, df).
+def _posted(most: int):
+    """(site, term, tf, df, chunk, docs) of rows (site, term, doc, n) in the order of documents.
 
-    Rows of one pair of blocks follow each other: first its terms, without a doc,
-    then the terms of one document after the other.  What is held is one table of
-    counts, the names of two blocks and one document.
+    A partition's documents are numbered in their order, so a task that runs anew
+    gives the same numbers; chunk has the upper part of a number and docs the
+    lower 16 bits of each.  Documents without an id count, but have no number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, counts = None, None, None
-        open_doc, held = None, ([], [])
-
-        def close_doc() -> None:
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in held)
-            held[0].clear(), held[1].clear()
-            if key[1] == key[2]:
-                b = a
-            # a document has a term once, so no cell is met twice
-            if len(a) and len(b):
-                counts[np.ix_(a, b)] += 1
-
-        def close_table():
-            found = np.triu(counts, 1) if key[1] == key[2] else counts
-            terms_, dfs = zip(*names, strict=True)
-            for row in range(0, block, 64):
-                a, b = np.nonzero(found[row : row + 64])
-                if len(a):
-                    both = found[row : row + 64][a, b]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key[0]] * len(a)), pa.array(terms_[0][a + row], pa.string()), pa.array(terms_[1][b], pa.string()), pa.array(both.astype(np.int64)), pa.array(np.minimum(dfs[0][a + row], dfs[1][b]))],
-                        ["site", "a", "b", "both", "least"],
-                    )
+        part, at, last = TaskContext.get().partitionId() << 32, -1, None
+        codes, held, open_chunk = {}, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, low, n, named = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(code[named], kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(code[named], minlength=len(codes)))]).astype(np.int32) * 2
+            docs = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(low[named][order].tobytes())])
+            site, term = zip(*codes, strict=True)
+            tf, df = np.bincount(code, weights=n, minlength=len(codes)).astype(np.int64), np.bincount(code, minlength=len(codes))
+            columns = [pa.array(site, pa.string()), pa.array(term, pa.string()), pa.array(tf), pa.array(df.astype(np.int64)), pa.array(np.full(len(codes), part | open_chunk)), docs]
+            codes.clear(), held.clear()
+            whole = pa.RecordBatch.from_arrays(columns, ["site", "term", "tf", "df", "chunk", "docs"])
+            for row in range(0, whole.num_rows, ROWS):
+                yield whole.slice(row, ROWS)
 
         for batch in batches:
-            site, p, q, doc, side, place, term, df = batch.columns
-            p, q, side, place = (np.asarray(x).astype(np.int64) for x in (p, q, side, place))
+            if not batch.num_rows:
+                continue
+            site, term, doc, n = batch.columns
             named = ~np.asarray(doc.is_null())
-            ids = doc.dictionary_encode() if not pa.types.is_integer(doc.type) else doc
-            ids = np.asarray(ids.indices.fill_null(-1) if ids is not doc else doc.fill_null(0))
-            text = site.to_pylist() if batch.num_rows else []
-            new = np.ones(batch.num_rows, bool)
-            coded = np.asarray(site.dictionary_encode().indices)
-            new[1:] = (np.diff(coded) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0) | (np.diff(ids) != 0) | (named[1:] != named[:-1])
-            cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            ids = np.asarray(doc.dictionary_encode().indices.fill_null(-1))
+            new = np.concatenate([[doc[0].as_py() != last], np.diff(ids) != 0]) & named
+            number, last = at + np.cumsum(new), doc[-1].as_py()
+            at = int(number[-1])
+            # a pair of site and term is looked up once a batch
+            sites, words = site.dictionary_encode(), term.dictionary_encode()
+            each, back = np.unique(np.asarray(sites.indices).astype(np.int64) << 32 | np.asarray(words.indices), return_inverse=True)
+            site, term = sites.dictionary.to_pylist(), words.dictionary.to_pylist()
+            keys = [(site[x >> 32], term[x & 0xFFFFFFFF]) for x in each.tolist()]
+            upper = np.maximum(number, 0) >> 16
+            for chunk in range(int(upper[0]), int(upper[-1]) + 1):
+                if held and (chunk != open_chunk or sum(len(x[0]) for x in held) >= most):
+                    yield from flush()
+                open_chunk, here = chunk, upper == chunk
+                code = np.array([codes.setdefault(k, len(codes)) for k in keys] if here.all() else [codes.setdefault(keys[k], len(codes)) for k in back[here].tolist()], np.int64)
+                held.append((code[back] if here.all() else code, (number[here] & 0xFFFF).astype("<u2"), np.asarray(n)[here], named[here]))
+        if held:
+            yield from flush()
+
+    return run
+
+
+def postings(found: DataFrame, most: int = POSTINGS) -> DataFrame:
+    """(site, term, tf, df, posts): a term's documents by number, two bytes each.
+
+    All rows of a document are in one partition of ``found(site, doc, term, n)``.
+    Tasks gather the documents of a term before the shuffle, so a term is moved
+    once for each partition of its site, and not for each of its documents.
+    """
+    placed = found.select("site", "term", "doc", F.col("n").cast("long").alias("n")).sortWithinPartitions("doc")
+    each = placed.mapInArrow(_posted(most), "site string, term string, tf long, df long, chunk long, docs binary")
+    return each.groupBy("site", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.collect_list(F.struct("chunk", "docs")).alias("posts"))
+
+
+class _Cell:
+    """Terms of two strips of a site, or of one, and the pairs that they are in.
+
+    Postings beyond a bound are in a file of the task's own that has no name.
+    """
+
+    def __init__(self, site: str, alone: bool, most: int):
+        self.site, self.alone, self.most = site, alone, most
+        self.names, self.rows, self.chunks = [], [], {}
+        self.docs = [tempfile.SpooledTemporaryFile(8 * most) for _ in range(1 if alone else 2)]
+
+    def add(self, side: np.ndarray, term: pa.Array, df: np.ndarray, posts: pa.ListArray) -> None:
+        """Further terms, in their order."""
+        bounds, each = np.asarray(posts.offsets), posts.flatten()
+        chunk, docs = np.asarray(each.field(0)), each.field(1)
+        ends = np.frombuffer(docs.buffers()[1], np.int32)[docs.offset : docs.offset + len(docs) + 1] if len(docs) else np.zeros(1, np.int32)
+        low = np.frombuffer(docs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2") if ends[-1] > ends[0] else np.zeros(0, "<u2")
+        base = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in chunk.tolist()], np.int64) << 16
+        number = np.repeat(base, np.diff(ends) // 2) + low
+        size = np.diff((ends[bounds - bounds[0]] - ends[0]) // 2)
+        of = np.repeat(side, size)
+        for k, file in enumerate(self.docs):
+            file.write(number[of == k].tobytes())
+        self.names.append(term)
+        self.rows.append((side, df, size))
+
+    def _strips(self, ends: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of terms with a bounded number of postings, or of one term."""
+        out, lo = [], 0
+        while lo < len(ends) - 1:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + self.most, "right")) - 1)
+            out.append((lo, hi))
+            lo = hi
+        return out
+
+    def _read(self, k: int, lo: int, hi: int) -> np.ndarray:
+        self.docs[k].seek(8 * lo)
+        return np.frombuffer(self.docs[k].read(8 * (hi - lo)), np.int64)
+
+    def pairs(self) -> Iterator[pa.RecordBatch]:
+        names = pa.chunked_array(self.names, pa.string()).combine_chunks()
+        names = names if isinstance(names, pa.Array) else names.chunk(0)
+        side, df, size = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        ranks = [np.flatnonzero(side == k) for k in range(len(self.docs))]
+        ends = [np.concatenate([[0], np.cumsum(size[x])]) for x in ranks]
+        p, q = 0, len(self.docs) - 1
+        site = pa.repeat(pa.scalar(self.site, pa.string()), ROWS)
+        for q0, q1 in self._strips(ends[q]):
+            docs = self._read(q, ends[q][q0], ends[q][q1])
+            order = np.argsort(docs, kind="stable")
+            # terms of one document after the other, each document's in their order
+            terms = np.repeat(np.arange(q1 - q0), np.diff(ends[q][q0 : q1 + 1]))[order]
+            docs = docs[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(docs)), bool), docs[1:] != docs[:-1]]))
+            stop, docs = np.append(first[1:], len(docs)), docs[first]
+            if not len(docs):
+                continue
+            for p0, p1 in self._strips(ends[p]):
+                if self.alone and p0 > q0:
+                    break
+                mine = self._read(p, ends[p][p0], ends[p][p1])
+                at = np.minimum(np.searchsorted(docs, mine), len(docs) - 1)
+                lo, hi = first[at], np.where(docs[at] == mine, stop[at], first[at])
+                if self.alone and p0 == q0:
+                    # only the terms that follow in the document
+                    lo = np.empty(len(order), np.int64)
+                    lo[order] = np.arange(1, len(order) + 1)
+                for x, y, both in _counts(ends[p][p0 : p1 + 1] - ends[p][p0], lo, hi, terms, q1 - q0):
+                    x, y = ranks[p][p0 + x], ranks[q][q0 + y]
+                    overlap = np.floor(both / np.minimum(df[x], df[y]) * 1e6 + 0.5) / 1e6
+                    a, b = np.minimum(x, y), np.maximum(x, y)
+                    for k in range(0, len(a), ROWS):
+                        n = slice(k, k + ROWS)
+                        yield pa.RecordBatch.from_arrays([site[: len(a[n])], names.take(pa.array(a[n])), names.take(pa.array(b[n])), pa.array(both[n]), pa.array(overlap[n])], ["site", "a", "b", "both", "overlap"])
+        for file in self.docs:
+            file.close()
+
+
+def _counts(ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, terms: np.ndarray, width: int):
+    """(row, term, number) of the terms[lo:hi] of each row's postings, a bounded number of rows at a time."""
+    sums = np.concatenate([[0], np.cumsum(hi - lo)])
+    at_row, row, last = sums[ends], 0, len(ends) - 1
+    while row < last:
+        to = max(row + 1, min(row + CELLS // width, int(np.searchsorted(at_row, at_row[row] + CELLS, "right")) - 1))
+        e, end, table = int(ends[row]), int(ends[to]), None
+        while e < end:
+            f = min(end, max(e + 1, int(np.searchsorted(sums, sums[e] + CELLS, "right")) - 1))
+            n = hi[e:f] - lo[e:f]
+            if sums[f] > sums[e]:
+                cell = terms[np.repeat(lo[e:f] - (sums[e:f] - sums[e]), n) + np.arange(sums[f] - sums[e])]
+                if to > row + 1:
+                    cell = cell + np.repeat((np.searchsorted(ends, np.arange(e, f), "right") - 1 - row) * width, n)
+                more = np.bincount(cell, minlength=(to - row) * width)
+                table = more if table is None else table + more
+            e = f
+        if table is not None:
+            x, y = np.nonzero(table.reshape(to - row, width))
+            yield row + x, y, table[x * width + y]
+        row = to
+
+
+def _paired(most: int):
+    """(site, a, b, both, overlap) of sorted rows (site, p, q, side, term, df, posts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            site, p, q, side, term, df, posts = batch.columns
+            p, q, side, df = (np.asarray(x).astype(np.int64) for x in (p, q, side, df))
+            names = site.dictionary_encode()
+            new = (np.diff(np.asarray(names.indices)) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                now = (text[lo], int(p[lo]), int(q[lo]))
+                now = (site[lo].as_py(), int(p[lo]), int(q[lo]))
                 if now != key:
-                    if key is not None:
-                        close_doc()
-                        yield from close_table()
-                    key, open_doc = now, None
-                    names = [(np.empty(block, object), np.zeros(block, np.int64)) for _ in "ab"]
-                    counts = np.zeros((block, block), np.int32)
-                if not named[lo]:
-                    for k in range(lo, hi):
-                        at = [int(side[k])] if now[1] != now[2] else [0, 1]
-                        for x in at:
-                            names[x][0][place[k]], names[x][1][place[k]] = term[k].as_py(), df[k].as_py()
-                    continue
-                this = doc[lo].as_py()
-                if this != open_doc:
-                    close_doc()
-                    open_doc = this
-                for x in (0, 1):
-                    held[x].append(place[lo:hi][side[lo:hi] == x])
-        if key is not None:
-            close_doc()
-            yield from close_table()
+                    if cell:
+                        yield from cell.pairs()
+                    key, cell = now, _Cell(now[0], now[1] == now[2], most)
+                cell.add(side[lo:hi], term.slice(lo, hi - lo), df[lo:hi], posts.slice(lo, hi - lo))
+        if cell:
+            yield from cell.pairs()
 
     return run
 
 
-def co_occurrence(found: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(site, a, b, both, overlap) for pairs of the given (site, term, df).
+def _pairs(posted: DataFrame, most: int) -> DataFrame:
+    """Pairs of the terms of (site, term, df, posts, strips), each in the cell of its terms' strips."""
+    strip = F.pmod(F.xxhash64("term"), F.col("strips")).cast("int")
+    spread = posted.withColumn("c", strip).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+    rows = spread.select("site", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), (F.col("c") > F.col("o")).cast("int").alias("side"), "term", "df", "posts")
+    # so many partitions whatever their bytes: few bytes give many pairs
+    parts = 8 * posted.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(parts, "site", "p", "q").sortWithinPartitions("site", "p", "q", "term")
+    return small_batches(rows).mapInArrow(_paired(most), "site string, a string, b string, both long, overlap double")
+
 
-    A site's terms are cut into blocks of ``block`` in their order; the documents'
-    terms are sent to each pair of blocks they belong to, and a task counts the
-    pairs of two blocks document by document.  So what is shuffled are terms of
-    documents, once for each block of their site, and never pairs; a task's table
-    has the same size for any input.
+def theme_pairs(found: DataFrame, docs: DataFrame, most: int = POSTINGS) -> DataFrame:
+    """(site, a, b, both, overlap) for all pairs of terms that may found a theme.
+
+    A site's terms are dealt out to ``STRIPS`` strips at most and a term's
+    documents are sent to each pair of strips that it belongs to, so what is
+    shuffled stays in proportion to the texts while the pairs grow as a square;
+    no pair is shuffled.  ``found`` is what ``incidence`` gives for ``docs``.
     """
-    order = F.row_number().over(Window.partitionBy("site").orderBy("term")) - 1
-    placed = terms.select("site", "term", "df", F.floor(order / block).cast("int").alias("c"), (order % block).alias("place"))
-    last = terms.groupBy("site").agg(F.floor((F.count(F.lit(1)) - 1) / block).cast("int").alias("last"))
-    placed = placed.join(last, "site")
-    held = found.where("doc is not null").select("site", "doc", "term").join(placed, ["site", "term"]).select("site", "c", "last", "doc", "place", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("df"))
-    known = placed.select("site", "c", "last", F.lit(None).cast(found.schema["doc"].dataType).alias("doc"), "place", "term", F.col("df").cast("long").alias("df"))
-    spread = known.unionByName(held).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = spread.select("site", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "doc", (F.col("c") > F.col("o")).cast("int").alias("side"), "place", "term", "df")
-    rows = rows.repartition("site", "p", "q").sortWithinPartitions("site", "p", "q", F.asc_nulls_first("doc"))
-    pairs = rows.mapInArrow(_counted(block), "site string, a string, b string, both long, least long")
-    return pairs.select("site", "a", "b", "both", half_up(F.col("both") / F.col("least"), 6).alias("overlap"))
+    size = docs.groupBy("site").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    each = postings(found).join(size, "site").withColumn("spread", F.col("df") / F.greatest(F.col("docs"), F.lit(1)))
+    strips = F.least(F.lit(STRIPS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("bytes") / STRIP_BYTES)))).cast("int")
+    return _pairs(each.where(MAY_FOUND).select("site", "term", "df", "posts", strips.alias("strips")), most)
+
+
+def co_occurrence(found: DataFrame, terms: DataFrame, block: int = BLOCK, most: int = POSTINGS) -> DataFrame:
+    """(site, a, b, both, overlap) for pairs of the given (site, term, df), in strips of about ``block`` terms."""
+    held = found.where("doc is not null").select("site", "doc", "term", F.lit(1).alias("n")).repartition("site", "doc")
+    strips = terms.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("strips"))
+    known = terms.select("site", "term", F.col("df").cast("long").alias("df")).join(strips, "site")
+    return _pairs(postings(held, most).select("site", "term", "posts").join(known, ["site", "term"]), most)
 
 
 def themes(found: DataFrame, ranked: DataFrame, cut, most: int = 8, related: int = 5) -> DataFrame:

@@ -126,9 +126,7 @@ SELECT a.site, a.term AS a, b.term AS b, count(*) AS "both", {_up('count(*) / le
 FROM k a JOIN k b ON a.site = b.site AND a.doc = b.doc AND a.term < b.term GROUP BY a.site, a.term, b.term""")
 def term_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of all terms of a site that may found a theme."""
-    found, docs = _incidence(spark, sf_dir)
-    found = cutter(spark, "terms")(found, "found")
-    return terms.co_occurrence(found, terms.statistics(found, docs).where(terms.MAY_FOUND))
+    return terms.theme_pairs(*_incidence(spark, sf_dir))
 
 
 @query()
