@@ -57,7 +57,7 @@ def candidates(stats: DataFrame) -> DataFrame:
 #: Terms of a strip, where a site's terms are known; strips of a site at most, and bytes of text that give one strip, where they aren't.
 BLOCK, STRIPS, STRIP_BYTES = 1024, 4, 8 << 20
 #: Postings that a task holds at once, and cells and pairs that it counts at once.
-POSTINGS, CELLS = 1 << 22, 1 << 20
+POSTINGS, CELLS = 1 << 21, 1 << 20
 #: Rows of an Arrow batch.
 ROWS = 1 << 15
 
@@ -121,7 +121,7 @@ def postings(found: DataFrame, most: int = POSTINGS) -> DataFrame:
     Tasks gather the documents of a term before the shuffle, so a term is moved
     once for each partition of its site, and not for each of its documents.
     """
-    placed = found.select("site", "term", "doc", F.col("n").cast("long").alias("n")).sortWithinPartitions("doc")
+    placed = found.where("site is not null").select("site", "term", "doc", F.col("n").cast("long").alias("n")).sortWithinPartitions("doc")
     each = placed.mapInArrow(_posted(most), "site string, term string, tf long, df long, chunk long, docs binary")
     return each.groupBy("site", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.collect_list(F.struct("chunk", "docs")).alias("posts"))
 

@@ -88,12 +88,14 @@ def test_strips_and_parts_give_the_same_pairs(spark, monkeypatch):
         texts.setdefault((s, d), []).append(t)
     # a document in two rows is one; both rows count as documents
     split = [(s, d, " ".join(x)) for (s, d), ts in texts.items() for x in ((ts, ts[:2]) if d == 3 else (ts,))]
+    # texts of no site give no pairs
+    split += [(None, d, " ".join(vowels)) for d in range(6)]
     docs = spark.createDataFrame(split, "site string, doc long, text string").repartition(5)
     found = terms.incidence(docs)
     good = terms.statistics(found, docs).where(terms.MAY_FOUND)
     df = {(x.site, x.term): x.df for x in good.collect()}
     want = plain([(x.site, x.doc, x.term) for x in found.collect()], df)
-    assert len(want) > 100
+    assert len(want) > 100 and {x[0] for x in want} == {"a", "b"}
     for size, most in ((8 << 20, 1 << 22), (1, 1 << 22), (1, 7), (8 << 20, 7)):
         monkeypatch.setattr(terms, "STRIP_BYTES", size)
         assert {(x.site, x.a, x.b): (x.both, x.overlap) for x in terms.theme_pairs(found, docs, most).collect()} == want, (size, most)
