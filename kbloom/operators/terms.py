@@ -63,27 +63,37 @@ ROWS = 1 << 15
 
 
 def _posted(most: int):
-    """(site, term, tf, df, chunk, docs) of rows (site, term, doc, n) in the order of documents.
+    """(site, term, tf, df, docs) of rows (site, term, doc, n) in the order of documents.
 
     A partition's documents are numbered in their order, so a task that runs anew
-    gives the same numbers; chunk has the upper part of a number and docs the
-    lower 16 bits of each.  Documents without an id count, but have no number.
+    gives the same numbers; docs has two-byte words: two for the partition, one
+    for the upper half of all numbers, how many follow less one, and their lower
+    halves.  Documents without an id count, but have no number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, last = TaskContext.get().partitionId() << 32, -1, None
+        part, at, last = TaskContext.get().partitionId(), -1, None
         codes, held, open_chunk = {}, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             code, low, n, named = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(code[named], kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(code[named], minlength=len(codes)))]).astype(np.int32) * 2
-            docs = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(low[named][order].tobytes())])
+            n_docs = np.bincount(code[named], minlength=len(codes))
+            head, size = np.array([part & 0xFFFF, part >> 16, open_chunk, 0], "<u2"), np.where(n_docs > 0, n_docs + 4, 0)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            words, some = np.empty(ends[-1], "<u2"), np.flatnonzero(n_docs)
+            at_head = ends[some][:, None] + np.arange(4)
+            words[at_head] = head
+            words[at_head[:, 3]] = n_docs[some] - 1
+            body = np.ones(len(words), bool)
+            body[at_head] = False
+            words[body] = low[named][order]
+            docs = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
             site, term = zip(*codes, strict=True)
             tf, df = np.bincount(code, weights=n, minlength=len(codes)).astype(np.int64), np.bincount(code, minlength=len(codes))
-            columns = [pa.array(site, pa.string()), pa.array(term, pa.string()), pa.array(tf), pa.array(df.astype(np.int64)), pa.array(np.full(len(codes), part | open_chunk)), docs]
+            columns = [pa.array(site, pa.string()), pa.array(term, pa.string()), pa.array(tf), pa.array(df.astype(np.int64)), docs]
             codes.clear(), held.clear()
-            whole = pa.RecordBatch.from_arrays(columns, ["site", "term", "tf", "df", "chunk", "docs"])
+            whole = pa.RecordBatch.from_arrays(columns, ["site", "term", "tf", "df", "docs"])
             for row in range(0, whole.num_rows, ROWS):
                 yield whole.slice(row, ROWS)
 
@@ -122,8 +132,8 @@ def postings(found: DataFrame, most: int = POSTINGS) -> DataFrame:
     once for each partition of its site, and not for each of its documents.
     """
     placed = found.where("site is not null").select("site", "term", "doc", F.col("n").cast("long").alias("n")).sortWithinPartitions("doc")
-    each = placed.mapInArrow(_posted(most), "site string, term string, tf long, df long, chunk long, docs binary")
-    return each.groupBy("site", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.collect_list(F.struct("chunk", "docs")).alias("posts"))
+    each = placed.mapInArrow(_posted(most), "site string, term string, tf long, df long, docs binary")
+    return each.groupBy("site", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.listagg("docs").alias("posts"))
 
 
 class _Cell:
@@ -135,17 +145,30 @@ class _Cell:
     def __init__(self, site: str, alone: bool, most: int):
         self.site, self.alone, self.most = site, alone, most
         self.names, self.rows, self.chunks = [], [], {}
-        self.docs = [tempfile.SpooledTemporaryFile(8 * most) for _ in range(1 if alone else 2)]
+        self.docs = [tempfile.SpooledTemporaryFile(4 * most) for _ in range(1 if alone else 2)]
 
-    def add(self, side: np.ndarray, term: pa.Array, df: np.ndarray, posts: pa.ListArray) -> None:
+    def add(self, side: np.ndarray, term: pa.Array, df: np.ndarray, posts: pa.BinaryArray) -> None:
         """Further terms, in their order."""
-        bounds, each = np.asarray(posts.offsets), posts.flatten()
-        chunk, docs = np.asarray(each.field(0)), each.field(1)
-        ends = np.frombuffer(docs.buffers()[1], np.int32)[docs.offset : docs.offset + len(docs) + 1] if len(docs) else np.zeros(1, np.int32)
-        low = np.frombuffer(docs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2") if ends[-1] > ends[0] else np.zeros(0, "<u2")
-        base = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in chunk.tolist()], np.int64) << 16
-        number = np.repeat(base, np.diff(ends) // 2) + low
-        size = np.diff((ends[bounds - bounds[0]] - ends[0]) // 2)
+        bounds = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset : posts.offset + len(posts) + 1]
+        words = np.frombuffer(posts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u2") if bounds[-1] > bounds[0] else np.zeros(0, "<u2")
+        at, ends = (bounds[:-1] - bounds[0]) // 2, (bounds[1:] - bounds[0]) // 2
+        # the next part of every term at a time
+        of, parts = np.flatnonzero(at < ends), []
+        while len(of):
+            parts.append((of, at[of]))
+            at[of] += words[at[of] + 3].astype(np.int32) + 5
+            of = of[at[of] < ends[of]]
+        of, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(at)
+        of, at = of[order], at[order].astype(np.int64)
+        n = words[at + 3].astype(np.int64) + 1
+        chunk = words[at].astype(np.int64) | words[at + 1].astype(np.int64) << 16 | words[at + 2].astype(np.int64) << 32
+        each, back = np.unique(chunk, return_inverse=True)
+        base = np.array([self.chunks.setdefault(c, len(self.chunks)) for c in each.tolist()], np.int64)
+        if len(self.chunks) > 1 << 16:
+            raise ValueError("texts of one site are in more than 65,536 parts")
+        number = (np.repeat(base[back] << 16, n) + words[np.repeat(at + 4 - (np.cumsum(n) - n), n) + np.arange(n.sum())]).astype(np.uint32)
+        size = np.bincount(of, weights=n, minlength=len(side)).astype(np.int64)
         of = np.repeat(side, size)
         for k, file in enumerate(self.docs):
             file.write(number[of == k].tobytes())
@@ -162,8 +185,8 @@ class _Cell:
         return out
 
     def _read(self, k: int, lo: int, hi: int) -> np.ndarray:
-        self.docs[k].seek(8 * lo)
-        return np.frombuffer(self.docs[k].read(8 * (hi - lo)), np.int64)
+        self.docs[k].seek(4 * int(lo))
+        return np.frombuffer(self.docs[k].read(4 * int(hi - lo)), np.uint32)
 
     def pairs(self) -> Iterator[pa.RecordBatch]:
         names = pa.chunked_array(self.names, pa.string()).combine_chunks()
